@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exactdedup, langid, mixing, piece, simhash, urlfilter
+from tidemark.llm import exactdedup, htmltext, langid, lzprint, mixing, piece, simhash, toxicity, urlfilter, warc
 
 #: The vocabulary that the queries encode with.
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -32,6 +32,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece.digests(_table(spark, sf_dir, "documents"), PIECE_MODEL, ["doc_id"])
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(_table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.decisions(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
@@ -40,25 +44,49 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(_table(spark, sf_dir, "pages"), ["page_id"]).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    scorer = toxicity.fit(docs, labels.where(_remainder(4) != 2))
+    found = toxicity.score(docs, scorer, ["doc_id"])
+    return found.select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return warc.merged(warc.read(archives)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     found = mixing.copies(docs)
     return found.select("doc_id", "source", F.col("__mx_tokens").alias("n_tokens"), F.col("__mx_copies").alias("copies"), F.col("__mx_share").alias("share"), F.col("__mx_weight").alias("weight"))
 
 
+def op9_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lzprint.edited_pairs(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = simhash.components(simhash.fingerprints(docs, ["doc_id"]), "doc_id")
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_sentencepiece, op4_exact_dedup, op5_url_filter, op8_mixing, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_language_id, op2_sentencepiece, op3_html_text, op4_exact_dedup, op5_url_filter, op6_toxicity, op7_warc, op8_mixing, op9_lz_fingerprint, op10_simhash)
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": """
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(x) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY x)""",
+    "op7_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+        d AS (SELECT page_id, octet_length(body) AS payload_bytes, sha256(body) AS payload_digest FROM p),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS head FROM d)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> head THEN 'revisit' ELSE 'response' END AS record_type,
+          CASE WHEN payload_bytes >= 100 AND page_id <> head THEN head END AS refers_to FROM f""",
     "op5_url_filter": """
         WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
         c AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS h, regexp_extract(rest, '^[^?#]*') AS hp FROM u),
