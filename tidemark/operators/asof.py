@@ -45,7 +45,7 @@ def latest_set(history: DataFrame, targets: DataFrame, keys: Sequence[str], t: s
     """One row for each target and member of its latest snapshot: all history rows that share the last time at or before the target's."""
     snapshots = history.groupBy(*keys, h).agg(F.sort_array(F.collect_list(F.struct(*values))).alias("__members"))
     found = latest(targets, snapshots, keys, t, h, ["__members", h])
-    return found.select(*targets.columns, h, F.inline_outer("__members")) if values else found
+    return found.select(*targets.columns, h, F.inline("__members"))
 
 
 def sums_before(targets: DataFrame, history: DataFrame, keys: Sequence[str], t: str, h: str, frames: Mapping[str, tuple[int, int]], measures: Mapping[str, Column]) -> DataFrame:
