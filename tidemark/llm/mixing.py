@@ -53,8 +53,8 @@ def weights(docs: DataFrame, source: str = "source", text: str = "text", tokens:
     total_of = table.agg(F.sum("tokens").alias("all"), F.array_sort(F.collect_list(F.col("tokens").cast("double"))).alias("each"))
     total_of = total_of.select("all", F.expr("transform(each, x -> x / all)").alias("shares"))
     if target_entropy is None:
-        # shares are sorted: the largest over the smallest w / p is (p_last / p_first)^(1 - a); at a = 1 it is 1
-        fits = f"pow(element_at(:shares, -1) / element_at(:shares, 1), 1D - :a) > {float(repetition_limit)!r}D"
+        # the largest over the smallest w / p is (p_max / p_min)^(1 - a); at a = 1 it is 1
+        fits = f"pow(array_max(:shares) / array_min(:shares), 1D - :a) > {float(repetition_limit)!r}D"
     else:
         powers = "transform(:shares, p -> pow(p, :a))"
         norm = f"aggregate({powers}, 0D, (s, x) -> s + x)"
