@@ -30,7 +30,7 @@ WINDOW, STRIDE = 20, 10
 LETTERS = 20
 HIDDEN = 6
 #: Documents of the training sample: the bound of what the driver gathers.
-TOXIC_SAMPLE, CLEAN_SAMPLE = 700, 1400
+TOXIC_SAMPLE, CLEAN_SAMPLE = 600, 1200
 #: Likelihood ratio (chi-squared with one degree of freedom) from which a feature counts: chance gives it to none of 100,000.
 EVIDENCE = 20.0
 #: Score from which a document is predicted toxic.
@@ -42,6 +42,8 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BEGINNINGS, _RUN = range(2, 9), 4
 _KINDS = ((0, 1), (1, 1 + len(_BEGINNINGS)), (1 + len(_BEGINNINGS), 1 + len(_BEGINNINGS) + LETTERS - _RUN + 1))
 _INPUTS = 5
+#: Words whose features are made at a time; parts of the names counted at a time; documents that a sample may hold.
+_CHUNK, _PARTS, _DOCUMENTS = 32_768, 16, 1 << 14
 
 
 def _mixed(x: np.ndarray, kind: int) -> np.ndarray:
@@ -84,21 +86,27 @@ class Lexicon:
     @classmethod
     def learned(cls, texts: list[str], toxic: np.ndarray) -> Lexicon:
         codes, words, sizes = _words(texts)
-        owner = np.repeat(np.arange(len(texts)), sizes)
-        pairs = np.unique(owner * (len(words) + 1) + codes)
-        owner, names = pairs // (len(words) + 1), features(words)[pairs % (len(words) + 1)]
+        n = len(texts)
+        pairs = np.unique(codes.astype(np.int64) * n + np.repeat(np.arange(n), sizes))
+        word, owner = pairs // n, (pairs % n).astype(np.uint64)
+        names = np.concatenate([features(words[a : a + _CHUNK]) for a in range(0, len(words), _CHUNK)] or [features([])])
         n1, n0 = toxic.sum(), (~toxic).sum()
+        share, low = n1 / (n1 + n0), np.uint64(_DOCUMENTS - 1)
         keys, odds = [], []
-        for k in range(_KINDS[1][1] + 1):
-            own = names[:, k] if k < _KINDS[1][1] else names[:, _KINDS[2][0] :].ravel()
-            whose = owner if k < _KINDS[1][1] else np.repeat(owner, names.shape[1] - _KINDS[2][0])
-            some, at = np.unique(own, return_inverse=True)
-            once = np.unique(at * len(texts) + whose)  # a document counts once for a feature
-            df1, df0 = (np.bincount(once[toxic[once % len(texts)] == t] // len(texts), minlength=len(some)) for t in (True, False))
+        for part in range(_PARTS):  # a part of all names at a time, so that memory stays small
+            seen = []
+            for k in range(names.shape[1]):
+                own = names[word, k]
+                pick = (own >> np.uint64(60) == part) & (own != 0)
+                seen.append(own[pick] & ~low | owner[pick])  # the name's upper bits, then the document: each pair counts once
+            once = np.unique(np.concatenate(seen))
+            some, at = np.unique(once & ~low, return_inverse=True)
+            kind = toxic[(once & low).astype(np.int64)]
+            df1, df0 = np.bincount(at[kind], minlength=len(some)), np.bincount(at[~kind], minlength=len(some))
             lo = np.log((df1 + 0.5) / (n1 + 1)) - np.log((df0 + 0.5) / (n0 + 1))
-            n, share = df1 + df0, n1 / (n1 + n0)
-            gain = 2 * (df1 * np.log(np.maximum(df1, 1) / (n * share)) + df0 * np.log(np.maximum(df0, 1) / (n * (1 - share))))
-            keep = (df1 >= 3) & (lo >= 1.2) & (gain >= EVIDENCE) & (some != 0)
+            df = df1 + df0
+            gain = 2 * (df1 * np.log(np.maximum(df1, 1) / (df * share)) + df0 * np.log(np.maximum(df0, 1) / (df * (1 - share))))
+            keep = (df1 >= 3) & (lo >= 1.2) & (gain >= EVIDENCE)
             keys.append(some[keep])
             odds.append(lo[keep])
         keys, odds = np.concatenate(keys), np.concatenate(odds)
@@ -107,12 +115,15 @@ class Lexicon:
 
     def inputs(self, words: list[str]) -> np.ndarray:
         """The network's inputs for each word."""
-        names = features(words)
-        if not len(self.keys):
+        if not len(self.keys) or not len(words):
             return np.zeros((len(words), _INPUTS), np.float32)
-        at = np.searchsorted(self.keys, names)
+        if len(words) > _CHUNK:
+            return np.concatenate([self.inputs(words[a : a + _CHUNK]) for a in range(0, len(words), _CHUNK)])
+        names = features(words)
+        cut = names & ~np.uint64(_DOCUMENTS - 1)
+        at = np.searchsorted(self.keys, cut)
         at[at == len(self.keys)] = 0
-        odds = np.where(self.keys[at] == names, self.odds[at], np.float32(0)) / np.float32(4)
+        odds = np.where((self.keys[at] == cut) & (names != 0), self.odds[at], np.float32(0)) / np.float32(4)
         (_, a), (b, c), (d, _) = _KINDS
         filled = np.maximum(1, (names != 0)[:, b:c].sum(1)), np.maximum(1, (names != 0)[:, d:].sum(1))
         return np.column_stack([odds[:, 0], odds[:, b:c].max(1), odds[:, b:c].sum(1) / filled[0], odds[:, d:].max(1), odds[:, d:].sum(1) / filled[1]]).astype(np.float32)
