@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 #: Times that a document may be taken at most, by weights (the last block may add no more than one document a source).
 REPETITION_LIMIT = 2.0
 #: Documents of a block, about.
-BLOCK_ROWS = 2000
+BLOCK_ROWS = 500
 STEPS = 60
 SEED = 17
 
