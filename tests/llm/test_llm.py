@@ -244,6 +244,43 @@ def test_simhash_links_every_radius(spark):
     assert again == comp
 
 
+def test_near_copies_brute_force(spark):
+    rng = random.Random(9)
+    rows = [(0, None), (1, ""), (2, "one two"), (3, "one  TWO"), (4, "x y z")]
+    for _ in range(25):
+        w = [rng.choice(WORDS) + str(rng.randint(0, 99)) for _ in range(rng.randint(120, 400))]
+        rows.append((len(rows), " ".join(w)))
+        for k in (1, 2, 4, 30):  # words that are changed
+            v = list(w)
+            for i in rng.sample(range(len(w)), k):
+                v[i] = "changed"
+            rows.append((len(rows), " ".join(v)))
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, fp string")
+    sets = {i: set(simhash.shingle_hashes(lower(t), 5).tolist()) for i, t in rows}
+
+    def alike(a, b):
+        x, y = sets[a], sets[b]
+        return len(x & y) / len(x | y) if x | y else 1.0
+
+    for limit in (simhash.ALL_PAIRS, 1):
+        old, simhash.ALL_PAIRS = simhash.ALL_PAIRS, limit
+        try:
+            comp = {r.doc_id: r.component_id for r in simhash.near_copies(df).collect()}
+        finally:
+            simhash.ALL_PAIRS = old
+        assert len(comp) == len(rows) and comp[0] == comp[1] == 0 and comp[2] == comp[3] == 2 and comp[4] == 4
+        if limit > 1:
+            for a, _ in rows:
+                for b, _ in rows:
+                    if alike(a, b) >= 0.88:
+                        assert comp[a] == comp[b]
+        for a, _ in rows:  # nobody is linked without anyone alike
+            if comp[a] != a:
+                assert max(alike(a, b) for b, _ in rows if b != a) >= 0.7
+    assert simhash.near_copies(df.limit(0)).count() == 0
+    assert simhash.near_copies(df.union(df)).count() == 2 * len(rows)
+
+
 # -- mixing
 
 
@@ -424,7 +461,7 @@ def test_pipeline_stages(spark, docs, tmp_path):
         best[lower(r["text"])] = max(best.get(lower(r["text"]), -1), r["doc_id"])
     two = cp.exact_dedup(spark, one, "")
     assert sorted(r.doc_id for r in two.collect()) == sorted(best.values()) and two.columns == list(cp.COLUMNS)
-    comp = {r.doc_id: r.component_id for r in simhash.components(simhash.fingerprints(two, ["doc_id"]), "doc_id").collect()}
+    comp = {r.doc_id: r.component_id for r in simhash.near_copies(two).collect()}
     three = cp.near_dedup(spark, two, "")
     assert sorted(r.doc_id for r in three.collect()) == sorted(set(comp.values())) and three.columns == list(cp.COLUMNS)
     four = cp.mix(spark, three, "")
