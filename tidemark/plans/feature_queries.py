@@ -207,9 +207,9 @@ def j8_availability_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who is out on a day, by moves strictly before it; NULL while the archive isn't alive."""
     txns = B.entity(spark, sf_dir, "transactions")
     targets = txns.select("player_id", F.col("at_day").alias("start_day")).distinct()
-    first = txns.agg(F.min("at_day").alias("first_day"))  # one row
-    found = X.out_as_of(targets, txns).join(F.broadcast(first))
-    return found.select("player_id", "start_day", F.when(F.col("first_day") < F.col("start_day"), F.col("is_out")).alias("is_out"))
+    first = txns.agg(F.min("at_day")).first()[0]  # one number: since when the archive is alive
+    found = X.out_as_of(targets, txns)
+    return found.select("player_id", "start_day", F.when(F.lit(first) < F.col("start_day"), F.col("is_out")).alias("is_out"))
 
 
 @query(
