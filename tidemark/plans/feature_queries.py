@@ -192,6 +192,21 @@ def f23_lineup_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.lineup(batters(spark, sf_dir))
 
 
+@query(
+    B.cte("probables")
+    + f""", h AS (SELECT event_id, seen_at_us // {6 * 3_600_000_000} AS seen, count_if(seen_id % 8 = 0) AS starters FROM probables WHERE kind <> 'view' GROUP BY ALL),
+    t AS (SELECT seen_id, event_id, seen_at_us // {6 * 3_600_000_000} AS asked FROM probables WHERE kind = 'view')
+    SELECT t.seen_id, t.event_id, CASE WHEN starters > 0 THEN 1 ELSE 0 END AS lineup_is_confirmed FROM t ASOF LEFT JOIN h ON t.event_id = h.event_id AND t.asked >= h.seen"""
+)
+def f24_lineup_confirmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the latest line-up known at an instant has a starter."""
+    rows = B.entity(spark, sf_dir, "probables").withColumn("cell", F.expr(f"seen_at_us div {6 * 3_600_000_000}"))
+    order = F.when(F.col("seen_id") % 8 == 0, 300).otherwise(301)
+    history = rows.where("kind <> 'view'").select("event_id", F.col("cell").alias("seen"), order.alias("batting_order"))
+    targets = rows.where("kind = 'view'").select("seen_id", "event_id", F.col("cell").alias("asked"))
+    return X.lineup_confirmed(targets, history, ["event_id"], "asked", "seen").drop("asked")
+
+
 _OUT = """, moves AS (SELECT player_id, at_day, coalesce(txn_id, -1) AS id, effect FROM transactions WHERE effect IS NOT NULL),
     alive AS (SELECT min(at_day) AS first_day FROM transactions)"""
 

@@ -195,6 +195,16 @@ def lineup(batters: DataFrame) -> DataFrame:
     return b.groupBy("event_id", "team", "is_home").agg(mean("batter_woba", F.lit(True)).alias("lineup_woba_proj"), mean("batter_vs_hand", F.col("slot") <= 4).alias("top4_woba_vs_hand"))
 
 
+def lineup_confirmed(targets: DataFrame, lineups: DataFrame, keys: list[str], t: str, seen: str) -> DataFrame:
+    """targets with 1 if the latest line-up known at their time has a starter (a slot that is a multiple of 100), else 0.
+
+    A realised line-up, as a bulk frame has it, is never a confirmed one: such callers take 0."""
+    starter = (F.col("batting_order") >= 100) & (F.col("batting_order") % 100 == 0)
+    snapshots = lineups.groupBy(*keys, seen).agg(F.count_if(starter).alias("starters"))
+    found = asof.latest(targets, snapshots, keys, t, seen, ["starters"])
+    return found.withColumn("lineup_is_confirmed", F.coalesce((F.col("starters") > 0).cast("int"), F.lit(0))).drop("starters")
+
+
 def il_effect(type_desc: Column, description: Column) -> Column:
     """what a transaction's text does to availability: -1 back, +1 out, NULL nothing."""
     text = F.lower(F.concat_ws(" ", type_desc, description))
