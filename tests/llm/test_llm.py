@@ -281,6 +281,28 @@ def test_near_copies_brute_force(spark):
     assert simhash.near_copies(df.union(df)).count() == 2 * len(rows)
 
 
+def test_near_copies_large_group(spark):
+    """Several hundred different copies, in twos that are each other's nearest, are one group; with small shards too."""
+    rng = random.Random(21)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(300)]
+    rows = []
+    for k in range(150):
+        v = list(base)
+        v[rng.randrange(10, 290)] = f"own{k}"
+        rows += [(len(rows), " ".join(v)), (len(rows) + 1, " ".join([*v[:-1], f"end{k}"]))]
+    other = [f"v{rng.randint(0, 10**6)}" for _ in range(300)]
+    rows.append((len(rows), " ".join(base[:180] + other[:120])))  # shares a passage only
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    old = simhash.SHARD
+    for shard in (old, 40):
+        simhash.SHARD = shard
+        try:
+            comp = {r.doc_id: r.component_id for r in simhash.near_copies(df).collect()}
+        finally:
+            simhash.SHARD = old
+        assert comp == {i: 0 if i < 300 else 300 for i, _ in rows}
+
+
 # -- mixing
 
 

@@ -237,13 +237,18 @@ def components(fps: DataFrame, key: str, radius: int = RADIUS) -> DataFrame:
     return fps.join(named, "fp")
 
 
-#: Near copies by their words: shingle size and least similarity; estimates below ``ACCEPT`` of the minimum hashes' agreement don't
-#: count (its error is 0.03 at 0.8). Fingerprints of such texts were never seen to differ in more than 18 bits.
-COPY_SHINGLE, SIMILARITY, ACCEPT, COPY_RADIUS = 5, 0.8, 0.78, 20
-#: Minimum hashes, and bands of them (of five each) that deal fingerprints to buckets: a pair at 0.8 shares one with odds of 0.9996.
+#: Near copies by their words: shingle size and least similarity (exact, of the sets of shingles).
+COPY_SHINGLE, SIMILARITY = 5, 0.8
+#: Minimum hashes, and bands of them (of five each) that deal texts to buckets: a pair at 0.8 shares one with odds of 0.9996.
 _HASHES, _BANDS, _BAND = 200, 20, 5
-#: Fingerprints of a bucket of which every close pair is looked at; in larger ones each is linked to its nearest.
+#: Agreement of minimum hashes below which a pair in a large bucket isn't looked at (a pair at 0.8 falls below with odds of 1e-6).
+LOOSE = 0.65
+#: Nodes of a bucket whose pairs are listed one by one; the sets of larger buckets' nodes go to the bucket's task, which joins them there.
 ALL_PAIRS = 64
+#: Hashes of all sets in a shard of a large bucket.
+SHARD_HASHES = 1 << 21
+#: Bits of the map of rows whose sets are read a second time.
+_SLOTS = 1 << 26
 _SALT = np.random.default_rng(97).integers(0, 1 << 63, _HASHES, dtype=np.uint64)[:, None]
 
 
@@ -256,61 +261,140 @@ def minima(hashes: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(32)).astype(np.uint32)
 
 
-def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, component_id (the smallest key of its group) of every row; rows are linked if their five-word shingles are alike
-    by 0.8 or more.
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets of shingle hashes have a Jaccard similarity of SIMILARITY or more."""
+    if min(len(a), len(b)) / max(len(a), len(b), 1) < SIMILARITY:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) >= SIMILARITY
+
 
-    At that likeness fingerprints differ in up to 18 bits, where no choice of equal bands finds them; so buckets are dealt by
-    bands of minimum hashes, BK-trees in the buckets' shards find fingerprints within 20 bits, and a link
-    stands if the minimum hashes agree. Texts with the same shingles, or without a word, are one node."""
+def _node(hashes: np.ndarray) -> int:
     from xxhash import xxh64_intdigest
 
+    return _signed(xxh64_intdigest(hashes.tobytes(), 1))
+
+
+def _joined(own: list, other: list, same: bool) -> list[tuple[int, int]]:
+    """Links (larger, smaller node) that join all similar rows of a unit that no link joins yet. Rows: node, root, sig, hashes."""
+    rows = own if same else [*own, *other]
+    sigs = np.frombuffer(b"".join(r[2] for r in rows), np.uint32).reshape(-1, _HASHES)
+    sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+    group = np.unique([r[1] for r in rows], return_inverse=True)[1]
+    found = []
+    for q in range(1 if same else len(own), len(rows)):
+        rest = np.flatnonzero(group[: q if same else len(own)] != group[q])
+        agree = (sigs[rest] == sigs[q]).mean(1)
+        for i in rest[np.argsort(-agree, kind="stable")[: (agree >= LOOSE).sum()]]:
+            if group[i] != group[q] and alike(sets[i], sets[q]):
+                found.append((max(rows[i][0], rows[q][0]), min(rows[i][0], rows[q][0])))
+                group[group == group[i]] = group[q]
+    return found
+
+
+def _together(units: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) in units: choice, bits, i, j (the shards that meet), own (the row's shard), node, root."""
+    dealt = units.join(sets, "node").select(F.xxhash64("choice", "bits", "i", "j").alias("u"), "choice", "bits", "i", "j", "own", "node", "root", "sig", "hashes")
+    dealt = dealt.repartition("u").sortWithinPartitions("choice", "bits", "i", "j", "own", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def unit(key, rows):
+            if len(rows) < 2:
+                return []
+            own = [r[1:] for r in rows if r[0] == key[2]]
+            return _joined(own, own if key[2] == key[3] else [r[1:] for r in rows if r[0] == key[3]], key[2] == key[3])
+
+        held, rows = None, []
+        for b in batches:
+            found = []
+            for _, choice, bits, i, j, *row in zip(*[c.to_pylist() for c in b.columns]):
+                if (key := (choice, bits, i, j)) != held:
+                    found += unit(held, rows)
+                    held, rows = key, []
+                rows.append(row)
+            yield _pairs(found)
+        yield _pairs(unit(held, rows))
+
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+
+def _sets(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """node, sig, hashes of the nodes in named (node, key: one of its rows). The texts aren't shuffled: a map of fixed size tells
+    most other rows apart, the join the rest."""
+    slot = F.pmod(F.xxhash64("key"), F.lit(_SLOTS))
+    parts = named.select(slot.alias("slot")).groupBy(F.expr("bitmap_bucket_number(slot)").alias("part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits"))
+    bits = np.zeros((_SLOTS // 32768 + 1, 4096), np.uint8)
+    for part, one in parts.collect():
+        bits[part] = np.frombuffer(one, np.uint8)
+    held = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = held.value
+        for b in batches:
+            part, bit = (b.column(k).to_numpy() for k in (1, 2))
+            b = b.filter(pa.array((seen[part, bit >> 3] >> (bit & 7)) & 1 == 1))
+            sets = [np.unique(shingle_hashes(x, COPY_SHINGLE)) for x in raw_texts(b.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array([_node(h) for h in sets], pa.int64()), pa.array([minima(h).tobytes() for h in sets], pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())], names=["node", "sig", "hashes"])
+
+    placed = rows.select("text", slot.alias("slot")).select("text", F.expr("bitmap_bucket_number(slot)").alias("part"), F.expr("bitmap_bit_position(slot)").alias("bit"))
+    found = placed.mapInArrow(run, "node bigint, sig binary, hashes binary").join(named.select("node"), "node", "left_semi")
+    return stored(found.groupBy("node").agg(F.first("sig").alias("sig"), F.first("hashes").alias("hashes")), "sets")
+
+
+def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, component_id (the smallest key of its group) of every row; rows are linked if their sets of five-word shingles are alike
+    by 0.8 or more.
+
+    At that likeness fingerprints differ in more bits than buckets of equal bits allow; so buckets are dealt by bands of minimum hashes.
+    Only the exact similarity of the sets makes a link. Pairs of a small bucket are listed and settled by joins. A large bucket's
+    shards are joined in their tasks, where a pair that other links join already needs no look, and at most one link a node leaves.
+    Shards are dealt otherwise in each band, so a large group is mostly one after that; only buckets that still hold several
+    groups have their shards meet pair by pair. Texts with the same shingles, or without a word, are one node."""
     prepare(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, fps, sigs = [], [], []
-            for x in raw_texts(b.column(1)):
-                h = shingle_hashes(x, COPY_SHINGLE)
-                fps.append(fingerprint(h))
-                different = np.unique(h)
-                m = minima(different)
-                nodes.append(_signed(xxh64_intdigest(different.tobytes(), 1)))
-                sigs.append(m.tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(fps, pa.int64()), pa.array(sigs, pa.binary())], names=["key", "node", "fp", "sig"])
-
-    made = stored(rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, node bigint, fp bigint, sig binary"), "copies")
-    bands = F.array(*[F.xxhash64(F.substring("sig", 4 * _BAND * k + 1, 4 * _BAND)) for k in range(_BANDS)])
-    nodes = made.withColumn("bands", bands).groupBy("node").agg(F.min("fp").alias("fp"), F.first("bands").alias("bands"))
-    dealt = nodes.select("node", "fp", F.posexplode("bands").alias("choice", "bits"))
-
-    def close(own: list, other: list, same: bool) -> list[tuple[int, int]]:
-        tree = BkTree([x for x, _ in own])
-        every, found = len(own) + len(other) <= 2 * ALL_PAIRS, []
-        for x, n in other:
-            near = [i for i in tree.within(x, COPY_RADIUS) if own[i][1] != n]
-            if not every and near:
-                near = [min(near, key=lambda i: ((own[i][0] ^ x).bit_count(), own[i][1]))]
-            found += [(n, own[i][1]) for i in near if not (same and every) or own[i][1] < n]
-        return found
-
-    pairs = cut(_searched(dealt, close))
-    sketch = made.select("node", "sig").groupBy("node").agg(F.first("sig").alias("sig"))
-    sketch = stored(sketch.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"), "sketches")
-    both = pairs.join(sketch.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sketch.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
+            sets = [np.unique(shingle_hashes(x, COPY_SHINGLE)) for x in raw_texts(b.column(1))]
+            cols = [pa.array([_node(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array([minima(h).tobytes() for h in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["key", "node", "n", "sig"])
 
-    def agreed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bands = F.array(*[F.xxhash64(F.substring("sig", 4 * _BAND * k + 1, 4 * _BAND)) for k in range(_BANDS)])
+    made = rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, node bigint, n bigint, sig binary")
+    made = stored(made.select("key", "node", "n", bands.alias("bands")), "copies")
+    nodes = cut(made.groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    dealt = nodes.select("node", "n", F.posexplode("bands").alias("choice", "bits"))
+    sizes = dealt.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("hashes")).where("size > 1")
+    shards = F.ceil(F.greatest(F.col("size") / SHARD, F.col("hashes") / SHARD_HASHES)).cast("int")
+    dealt = cut(dealt.drop("n").join(sizes.select("choice", "bits", "size", F.greatest(shards, F.lit(1)).alias("shards")), ["choice", "bits"]))
+    sets = _sets(rows, cut(nodes.select("node", "key").join(dealt.select("node").distinct(), "node", "left_semi")))
+
+    listed = dealt.where(F.col("size") <= ALL_PAIRS).groupBy("choice", "bits").agg(F.sort_array(F.collect_list("node"), False).alias("of"))
+    pairs = listed.select(F.posexplode("of").alias("at", "a"), "of").select("a", F.explode(F.slice("of", F.col("at") + 2, ALL_PAIRS)).alias("b")).distinct()
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+
+    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint32).reshape(-1, _HASHES) for k in (2, 3))
-                yield b.select(["a", "b"]).filter(pa.array((x == y).mean(1) >= ACCEPT))
+            good = [alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    true = both.select("a", "b", "sa", "sb").mapInArrow(agreed, "a bigint, b bigint")
+    true = both.select("a", "b", "x", "y").mapInArrow(settled, "a bigint, b bigint")
+    large = dealt.where(F.col("size") > ALL_PAIRS).withColumn("own", F.pmod(F.xxhash64("node", "choice"), F.col("shards")).cast("int"))
+    units = large.select("choice", "bits", F.col("own").alias("i"), F.col("own").alias("j"), "own", "node", F.col("node").alias("root"))
+    true = cut(true.unionByName(_together(units, sets)))
     roots = contracted(true)
-    named = cut(nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
-    keyed = cut(made.select("key", "node"))
-    least = keyed.groupBy("node").agg(F.min("key").alias("least"))
-    ids = cut(named.join(least, "node").groupBy("root").agg(F.min("least").alias("component_id")))
+    several = cut(large.where("shards > 1").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    mixed = several.groupBy("choice", "bits").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+    several = cut(several.join(mixed.select("choice", "bits"), ["choice", "bits"], "left_semi"))
+    if not several.isEmpty():
+        meet = F.explode(F.transform(F.sequence(F.lit(0), F.col("shards") - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j"))))
+        units = several.withColumn("unit", meet).where("unit.i < unit.j").select("choice", "bits", "unit.i", "unit.j", "own", "node", "root")
+        roots = contracted(true.unionByName(_together(units, sets)))
+    named = cut(nodes.select("node", F.col("key").alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    ids = cut(named.groupBy("root").agg(F.min("least").alias("component_id")))
     named = cut(named.join(ids, "root").select("node", "component_id"))
-    return keyed.join(named, "node").select(F.col("key").alias(key), "component_id")
+    return made.select("key", "node").join(named, "node").select(F.col("key").alias(key), "component_id")
