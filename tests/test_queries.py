@@ -33,3 +33,23 @@ def test_no_range_or_cross_joins(spark):
     for name in ("f1_f4_rolling_form", "f17_f19_offense", "j6_asof_probable", "j13_siblings", "j14_nearest_match", "w7_v7_gaps"):
         plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan, name
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the tables aren't here")
+@pytest.mark.parametrize("name", ("r4_boxscore_pitching", "r5_boxscore_batting", "r6_boxscore_lineup"))
+def test_boxscores_of_every_log(spark, name):
+    """The _all forms against the SQL without its condition on ids."""
+    import duckdb
+
+    from tidemark import plans
+
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    for t in verify.TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    cut = " WHERE event_id % 7 = 0 AND event_id < 40000"
+    assert plans.ORACLE[name].count(cut) == 1
+    df = plans.QUERIES[f"{name}_all"](spark, SF)
+    got, cur = [tuple(r) for r in df.collect()], con.execute(plans.ORACLE[name].replace(cut, ""))
+    assert len(got) > 5 * plans.QUERIES[name](spark, SF).count()
+    assert verify.rows(df.columns, got) == verify.rows([c[0] for c in cur.description], cur.fetchall())

@@ -73,10 +73,14 @@ def r3_results_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.results(_schedule(spark, sf_dir))
 
 
-def _boxscores(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: The rows that the SQL of r4, r5 and r6 is stated for; their _all forms read every log.
+_STATED = "event_id % 7 = 0 and event_id < 40000"
+
+
+def _boxscores(spark: SparkSession, sf_dir: str, rows: str = _STATED) -> DataFrame:
     """One payload a contest with its lines as players; some lines lack a count or contradict themselves."""
     c = F.col
-    lines = B.logs(spark, sf_dir).where("event_id % 7 = 0 and event_id < 40000")
+    lines = B.logs(spark, sf_dir).where(rows)
     i = lambda x: x.cast("int")
     bat = F.struct(i(c("outs")).alias("atBats"), F.when(c("player_id") % 9 != 0, i(c("k"))).alias("hits"), i(c("bb") % 4).alias("doubles"), i(c("hr") % 2).alias("homeRuns"), i(c("bb")).alias("baseOnBalls"), i(c("k") % 5).alias("strikeOuts"))
     pit = F.struct(F.when(c("player_id") % 4 == 0, 1).otherwise(0).alias("gamesStarted"), F.concat((c("outs") / 3).cast("int").cast("string"), F.lit("."), (c("outs") % 3).cast("string")).alias("inningsPitched"), F.when(c("player_id") % 8 != 0, i(c("bf"))).alias("battersFaced"), i(c("k")).alias("strikeOuts"), i(c("bb")).alias("baseOnBalls"), i(c("hr")).alias("homeRuns"))
@@ -91,6 +95,11 @@ def _boxscores(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BOX = B.cte("logs") + ", box AS (SELECT *, row_number() OVER (PARTITION BY event_id, is_home ORDER BY player_id) AS place FROM logs WHERE event_id % 7 = 0 AND event_id < 40000)"
 
 
+def _batting(boxscores: DataFrame) -> DataFrame:
+    rows, left = feeds.batting(boxscores)
+    return rows.select("game", "person", F.lit("kept").alias("disposition")).unionByName(left.select("game", "person", F.col("reason").alias("disposition")))
+
+
 @query(
     _BOX
     + """, s AS (SELECT *, CASE WHEN player_id % 9 = 0 THEN 'batting_missing:hits' WHEN k > outs OR bb % 4 + hr % 2 > k THEN 'batting_inconsistent' WHEN outs + bb = 0 THEN 'zero_pa' END AS reason FROM box),
@@ -99,8 +108,18 @@ _BOX = B.cte("logs") + ", box AS (SELECT *, row_number() OVER (PARTITION BY even
 )
 def r5_boxscore_batting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batting lines by what became of them."""
-    rows, left = feeds.batting(_boxscores(spark, sf_dir))
-    return rows.select("game", "person", F.lit("kept").alias("disposition")).unionByName(left.select("game", "person", F.col("reason").alias("disposition")))
+    return _batting(_boxscores(spark, sf_dir))
+
+
+@query()
+def r5_boxscore_batting_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """r5_boxscore_batting over every log."""
+    return _batting(_boxscores(spark, sf_dir, "true"))
+
+
+def _pitching(boxscores: DataFrame) -> DataFrame:
+    rows, _ = feeds.pitching(boxscores)
+    return rows.select("game", "person", "is_home", "is_starter", "outs_recorded", "hand")
 
 
 @query(
@@ -111,8 +130,19 @@ def r5_boxscore_batting(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def r4_boxscore_pitching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pitching lines with one starter a side; innings become outs."""
-    rows, _ = feeds.pitching(_boxscores(spark, sf_dir))
-    return rows.select("game", "person", "is_home", "is_starter", "outs_recorded", "hand")
+    return _pitching(_boxscores(spark, sf_dir))
+
+
+@query()
+def r4_boxscore_pitching_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """r4_boxscore_pitching over every log."""
+    return _pitching(_boxscores(spark, sf_dir, "true"))
+
+
+def _lineups(boxscores: DataFrame) -> DataFrame:
+    rows, left = feeds.lineups(boxscores)
+    partial = left.where("reason like 'partial%'").select("game", F.lit(None).cast("int").alias("person"), F.lit(None).cast("int").alias("batting_order"), F.concat("side", F.lit(":"), "reason").alias("state"))
+    return rows.select("game", "person", "batting_order", F.lit("kept").alias("state")).unionByName(partial)
 
 
 @query(
@@ -123,9 +153,13 @@ def r4_boxscore_pitching(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def r6_boxscore_lineup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posted starters; incomplete sides told."""
-    rows, left = feeds.lineups(_boxscores(spark, sf_dir))
-    partial = left.where("reason like 'partial%'").select("game", F.lit(None).cast("int").alias("person"), F.lit(None).cast("int").alias("batting_order"), F.concat("side", F.lit(":"), "reason").alias("state"))
-    return rows.select("game", "person", "batting_order", F.lit("kept").alias("state")).unionByName(partial)
+    return _lineups(_boxscores(spark, sf_dir))
+
+
+@query()
+def r6_boxscore_lineup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """r6_boxscore_lineup over every log."""
+    return _lineups(_boxscores(spark, sf_dir, "true"))
 
 
 @query(
