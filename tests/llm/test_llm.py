@@ -303,6 +303,32 @@ def test_near_copies_large_group(spark):
         assert comp == {i: 0 if i < 300 else 300 for i, _ in rows}
 
 
+def test_near_copies_at_the_limit(spark):
+    """Pairs of exactly 0.8 are linked and pairs of 0.79 aren't, by lists of pairs and in a bucket's task."""
+    rng = random.Random(22)
+    rows = []
+    for k in range(80):
+        base = [f"w{rng.randint(0, 10**9)}" for _ in range(184)]
+        gone = 20 + k % 2  # of 180 shingles: 160 of 200, or 159 of 201
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[:-gone] + [f"v{rng.randint(0, 10**9)}" for _ in range(gone)]))]
+    passage = " ".join(f"p{i}" for i in range(40))  # a repeated passage moves the fingerprint, not the set of shingles
+    rows += [(160, rows[0][1] + " " + passage), (161, rows[0][1] + f" {passage}" * 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [set(simhash.shingle_hashes(lower(t), 5).tolist()) for _, t in rows]
+    want = {}
+    for i, s in enumerate(sets):
+        near = {want[j] for j in range(i) if len(s & sets[j]) / len(s | sets[j]) >= 0.8}
+        assert len(near) <= 1
+        want[i] = near.pop() if near else i
+    assert [want[2 * k + 1] == 2 * k for k in range(80)] == [k % 2 == 0 for k in range(80)] and want[161] == want[160]
+    for limit in (simhash.ALL_PAIRS, 1):
+        old, simhash.ALL_PAIRS = simhash.ALL_PAIRS, limit
+        try:
+            assert {r.doc_id: r.component_id for r in simhash.near_copies(df).collect()} == want
+        finally:
+            simhash.ALL_PAIRS = old
+
+
 # -- mixing
 
 
