@@ -53,3 +53,23 @@ def test_boxscores_of_every_log(spark, name):
     got, cur = [tuple(r) for r in df.collect()], con.execute(plans.ORACLE[name].replace(cut, ""))
     assert len(got) > 5 * plans.QUERIES[name](spark, SF).count()
     assert verify.rows(df.columns, got) == verify.rows([c[0] for c in cur.description], cur.fetchall())
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the tables aren't here")
+def test_identity_of_every_order(spark):
+    """The _all form against the SQL without its condition on ids; every feed row has one action."""
+    import duckdb
+
+    from tidemark import plans
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{sf}/orders.parquet'")
+    sql = plans.ORACLE["u9_u10_identity"]
+    assert sql.count("o_orderkey < 3000") == 2
+    got = plans.QUERIES["u9_u10_identity_all"](spark, sf).first()
+    assert (got.matched, got.restamped, got.rows) == con.execute(sql.replace("o_orderkey < 3000", "true")).fetchone()
+    assert got.rows == sum(got[a] for a in ("matched", "restamped", "merged", "created", "created_ambiguous")) and got.rows > 3000
+    old = plans.QUERIES["u9_u10_identity"](spark, sf).first()
+    assert (old.matched, old.restamped, old.rows) == con.execute(sql).fetchone()

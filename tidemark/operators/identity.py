@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 RESTAMP_US, MERGE_US = 5 * 60_000_000, 3 * 3_600_000_000
 
 
+def _within(feed: DataFrame, events: DataFrame, within: int) -> DataFrame:
+    """Feed rows with the events of their teams (start: s) at most ``within`` away: each event is in its time cell and both next to it."""
+    cell = lambda t: F.floor(F.col(t) / F.lit(max(1, within)))
+    near = events.withColumn("cell", F.explode(F.array(cell("s") - 1, cell("s"), cell("s") + 1)))
+    return feed.withColumn("cell", cell("start_us")).join(near, ["home", "away", "cell"]).drop("cell").where(F.abs(F.col("s") - F.col("start_us")) <= within)
+
+
 def resolve(feed: DataFrame, events: DataFrame, restamp: int = RESTAMP_US, merge: int = MERGE_US) -> DataFrame:
     """feed: feed_id, home, away, start_us (one cycle). events: event_id, home, away, start_us, odds_id (or NULL).
 
@@ -21,7 +28,7 @@ def resolve(feed: DataFrame, events: DataFrame, restamp: int = RESTAMP_US, merge
     matched = exact.where("event_id is not null").select("feed_id", "event_id", F.lit("matched").alias("action"))
     rest = exact.where("event_id is null").drop("event_id")
     stale = ids.join(feed.select(F.col("feed_id").alias("odds_id")), "odds_id", "left_anti").select("event_id", "home", "away", F.col("start_us").alias("s"))
-    near = rest.join(stale, ["home", "away"]).where(F.abs(F.col("s") - F.col("start_us")) <= restamp)
+    near = _within(rest, stale, restamp)
     by_feed = Window.partitionBy("feed_id")
     near = near.withColumn("n", F.count(F.lit(1)).over(by_feed)).withColumn("turn", F.row_number().over(Window.partitionBy("event_id").orderBy("start_us", "feed_id")))
     restamped = near.where("n = 1 and turn = 1").select("feed_id", "event_id", F.lit("restamped").alias("action"))
@@ -37,7 +44,7 @@ def resolve(feed: DataFrame, events: DataFrame, restamp: int = RESTAMP_US, merge
 def assign(feed: DataFrame, free: DataFrame, within: int) -> DataFrame:
     """Greedy one-to-one assignment, nearest starts first, each event taken once. Works on each pair of teams, whose
     candidates within the window are few; that choice depends on the choices before it, which no join expresses."""
-    pairs = feed.join(free, ["home", "away"]).withColumn("gap", F.abs(F.col("s") - F.col("start_us"))).where(F.col("gap") <= within).select("home", "away", "feed_id", "event_id", "gap")
+    pairs = _within(feed, free, within).withColumn("gap", F.abs(F.col("s") - F.col("start_us"))).select("home", "away", "feed_id", "event_id", "gap")
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         feeds, events, out = set(), set(), []

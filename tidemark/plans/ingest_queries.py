@@ -174,6 +174,16 @@ def r7_transactions_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("transaction_id").alias("id"), F.lit("kept").alias("state"), F.col("transaction_date").cast("string").alias("day")).unionByName(left.select("id", F.col("reason").alias("state"), F.lit(None).cast("string").alias("day")))
 
 
+def _resolved(spark: SparkSession, sf_dir: str, rows: str, actions: tuple[str, ...]) -> DataFrame:
+    o, c = F.col("o_orderkey"), F.col
+    base = table(spark, sf_dir, "orders").where(rows).select(o, (c("o_custkey") % 40).alias("home"), (c("o_custkey") % 7).alias("away"), F.unix_micros("o_orderdate").alias("start_us"))
+    events = base.select(o.alias("event_id"), "home", "away", "start_us", F.when(o % 3 == 1, F.concat(F.lit("id"), o.cast("string"))).when(o % 3 == 2, F.concat(F.lit("old"), o.cast("string"))).alias("odds_id"))
+    feed = base.where("o_orderkey % 5 <> 0").select(F.concat(F.lit("id"), o.cast("string")).alias("feed_id"), "home", "away", (c("start_us") + (o % 4) * 60_000_000).alias("start_us"))
+    found = identity.resolve(feed, events)
+    n = lambda a: F.count_if(F.col("action") == a).alias(a)
+    return found.agg(*map(n, actions), F.count(F.lit(1)).alias("rows"))
+
+
 @query(
     """WITH e AS (SELECT o_orderkey AS event_id, o_custkey % 40 AS home, o_custkey % 7 AS away, epoch_us(o_orderdate) AS s, CASE o_orderkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'id' || o_orderkey ELSE 'old' || o_orderkey END AS odds_id FROM orders WHERE o_orderkey < 3000),
     f AS (SELECT 'id' || o_orderkey AS feed_id, o_custkey % 40 AS home, o_custkey % 7 AS away, epoch_us(o_orderdate) + (o_orderkey % 4) * 60000000 AS t FROM orders WHERE o_orderkey < 3000 AND o_orderkey % 5 <> 0),
@@ -184,13 +194,13 @@ def r7_transactions_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def u9_u10_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feed rows resolved tier by tier; counts of the tiers that SQL can state."""
-    o, c = F.col("o_orderkey"), F.col
-    base = table(spark, sf_dir, "orders").where("o_orderkey < 3000").select(o, (c("o_custkey") % 40).alias("home"), (c("o_custkey") % 7).alias("away"), F.unix_micros("o_orderdate").alias("start_us"))
-    events = base.select(o.alias("event_id"), "home", "away", "start_us", F.when(o % 3 == 1, F.concat(F.lit("id"), o.cast("string"))).when(o % 3 == 2, F.concat(F.lit("old"), o.cast("string"))).alias("odds_id"))
-    feed = base.where("o_orderkey % 5 <> 0").select(F.concat(F.lit("id"), o.cast("string")).alias("feed_id"), "home", "away", (c("start_us") + (o % 4) * 60_000_000).alias("start_us"))
-    found = identity.resolve(feed, events)
-    n = lambda a: F.count_if(F.col("action") == a).alias(a)
-    return found.agg(n("matched"), n("restamped"), F.count(F.lit(1)).alias("rows"))
+    return _resolved(spark, sf_dir, "o_orderkey < 3000", ("matched", "restamped"))
+
+
+@query()
+def u9_u10_identity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """u9_u10_identity over every order, with the count of each action."""
+    return _resolved(spark, sf_dir, "true", ("matched", "restamped", "merged", "created", "created_ambiguous"))
 
 
 @query(
