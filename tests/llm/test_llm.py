@@ -184,6 +184,14 @@ def test_exact_dedup(docs, empty, block):
     assert exactdedup.decisions(empty, "doc_id").count() == 0
 
 
+def test_exact_dedup_deep_texts(spark):
+    """Twelve levels of names, with texts that differ in one byte at either end."""
+    long = "ab c" * 4096
+    rows = [(1, long), (2, "x" + long[1:]), (3, long[:-1] + "x"), (4, long.upper()), (None, long), (5, long + "a")]
+    got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exactdedup.decisions(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", block=4).collect()}
+    assert got == {(1, 4, 3, False), (4, 4, 3, True), (None, 4, 3, False), (2, 2, 1, True), (3, 3, 1, True), (5, 5, 1, True)}
+
+
 def test_exact_dedup_carries_columns(docs):
     out = exactdedup.unique(docs, "doc_id")
     assert out.columns == docs.columns and out.count() == len({lower(r.text) for r in docs.select("text").collect()})
@@ -262,25 +270,65 @@ def test_near_copies_brute_force(spark):
         x, y = sets[a], sets[b]
         return len(x & y) / len(x | y) if x | y else 1.0
 
-    for limit in (simhash.ALL_PAIRS, 1):
-        old, simhash.ALL_PAIRS = simhash.ALL_PAIRS, limit
+    for shard in (simhash.SHARD, 2):  # 2: all buckets of three or more become pairs of shards
+        old, simhash.SHARD = simhash.SHARD, shard
         try:
             comp = {r.doc_id: r.component_id for r in simhash.near_copies(df).collect()}
         finally:
-            simhash.ALL_PAIRS = old
+            simhash.SHARD = old
         assert len(comp) == len(rows) and comp[0] == comp[1] == 0 and comp[2] == comp[3] == 2 and comp[4] == 4
-        if limit > 1:
-            for a, _ in rows:
-                for b, _ in rows:
-                    if alike(a, b) >= 0.88:
-                        assert comp[a] == comp[b]
+        lost = sum(alike(a, b) >= 0.8 and comp[a] != comp[b] for a, _ in rows for b, _ in rows if a < b)
+        assert lost == 0
         for a, _ in rows:  # nobody is linked without anyone alike
             if comp[a] != a:
-                assert max(alike(a, b) for b, _ in rows if b != a) >= 0.7
+                assert max(alike(a, b) for b, _ in rows if b != a) >= 0.8
     assert simhash.near_copies(df.limit(0)).count() == 0
     assert simhash.near_copies(df.union(df)).count() == 2 * len(rows)
 
 
+def test_near_copies_repeated_lines(spark):
+    """Pairs that repeat a passage differently, and short texts: links follow the sets of shingles, not how often they come."""
+    rng = random.Random(31)
+    rows = []
+    for k in range(60):
+        w = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.choice([6, 9, 14, 60]))]
+        line = " ".join(f"l{rng.randint(0, 10**6)}" for _ in range(9))
+        rows += [(len(rows), " ".join(w) + f" {line}" * 60), (len(rows) + 1, " ".join(w) + f" {line}" * 2)]
+        rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join([*w, "end"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [set(simhash.shingle_hashes(lower(t), 5).tolist()) for _, t in rows]
+    comp = {r.doc_id: r.component_id for r in simhash.near_copies(df).collect()}
+    for i in range(0, len(rows), 2):
+        near = len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) >= 0.8
+        assert (comp[i] == comp[i + 1]) == near, i
+
+
+def test_distinct_texts_keeps_rows_of_shared_and_null_ids(spark):
+    a = " ".join(f"w{i}" for i in range(100))
+    near, u, v = a + " end", " ".join(f"u{i}" for i in range(100)), " ".join(f"v{i}" for i in range(100))
+    rows = [(1, a, "x"), (7, near, "y"), (7, u, "z"), (None, v, "p"), (None, v + " end", "q"), (None, near + " end", "r"), (9, u, "s"), (9, u, "s"), (3, None, "n"), (4, "", "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    out = simhash.distinct_texts(df)
+    got = sorted((r.doc_id or 0, r.text, r.row) for r in out.collect())
+    assert out.columns == df.columns
+    assert got[1:] == sorted([(1, a, "x"), (7, u, "z"), (3, None, "n")]) and got[0] in ((0, v, "p"), (0, v + " end", "q"))
+    assert simhash.distinct_texts(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n,kind", [(10, "sorted"), (10, "reversed"), (10, "random"), (100_000, "sorted"), (100_000, "random")])
+def test_contracted_chains(spark, monkeypatch, n, kind):
+    """Chains end within a logarithmic number of written tables, whatever their order."""
+    ids = list(range(n))
+    if kind == "random":
+        random.Random(1).shuffle(ids)
+    edges = spark.createDataFrame([(max(a, b), min(a, b)) for a, b in zip(ids, ids[1:])][:: -1 if kind == "reversed" else 1], "a long, b long")
+    made = []
+    held = simhash.cut
+    monkeypatch.setattr(simhash, "cut", lambda df: made.append(1) or held(df))
+    got = simhash.contracted(edges).agg(F.count(F.lit(1)), F.max("root")).first()
+    assert tuple(got) == (n, 0) and len(made) <= 100
+
+
 def test_near_copies_large_group(spark):
     """Several hundred different copies, in twos that are each other's nearest, are one group; with small shards too."""
     rng = random.Random(21)
@@ -304,7 +352,7 @@ def test_near_copies_large_group(spark):
 
 
 def test_near_copies_at_the_limit(spark):
-    """Pairs of exactly 0.8 are linked and pairs of 0.79 aren't, by lists of pairs and in a bucket's task."""
+    """Pairs of exactly 0.8 are linked and pairs of 0.79 aren't, whatever their fingerprints count."""
     rng = random.Random(22)
     rows = []
     for k in range(80):
@@ -321,12 +369,7 @@ def test_near_copies_at_the_limit(spark):
         assert len(near) <= 1
         want[i] = near.pop() if near else i
     assert [want[2 * k + 1] == 2 * k for k in range(80)] == [k % 2 == 0 for k in range(80)] and want[161] == want[160]
-    for limit in (simhash.ALL_PAIRS, 1):
-        old, simhash.ALL_PAIRS = simhash.ALL_PAIRS, limit
-        try:
-            assert {r.doc_id: r.component_id for r in simhash.near_copies(df).collect()} == want
-        finally:
-            simhash.ALL_PAIRS = old
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(df).collect()} == want
 
 
 # -- mixing

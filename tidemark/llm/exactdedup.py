@@ -6,7 +6,7 @@ and each run of equal ones is named. Adjacent pairs of names are then named the
 has one name. No hash decides: two texts of equal length have the same name exactly if they are equal.
 
 Task-local names and rows are written once to the shared folder, so later steps and retries see the same names; each
-level's names are checkpointed. A block that a third of all rows hold meets other slices' copies only, and pairs that
+level's names are written there too. A block that a third of all rows hold meets other slices' copies only, and pairs that
 many texts share are counted before the shuffle and joined with Spark's skew handling.
 
 Cases: null counts as the empty text; empty texts equal each other. Of equal texts the row with the largest key stays;
@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, prepare, raw_texts, stored
+from tidemark.llm.common import cut, discard, prepare, raw_texts, stored
 
 BLOCK = 16384
 #: Bytes of different blocks whose names a task remembers at a time.
@@ -86,6 +86,7 @@ def _named(rows: DataFrame) -> DataFrame:
             return done
         names = cut(pairs.select("left", "right").distinct().sortWithinPartitions("left", "right").withColumn("name", F.monotonically_increasing_id()))
         level = cut(pairs.join(names, ["left", "right"]).select("row", "at", "name"))
+        discard(pairs, names)
 
 
 def identities(docs: DataFrame, keep: list[str], text: str = "text", block: int = BLOCK) -> DataFrame:

@@ -10,7 +10,7 @@ to the parent, so a search follows only edges within the radius of the query's d
 the tasks that hold the bucket's queries, a tree and a shard of queries at a time; all trees together have no size bound,
 so they aren't broadcast whole to every executor. A task's links go through a union-find, and at most one link a
 fingerprint leaves it, so copies and clusters never become all pairs. Groups are then contracted to their smallest
-member round by round, each round checkpointed.
+member in a logarithmic number of rounds, each written to the shared folder.
 
 Cases: null and empty texts and texts without a word have fingerprint zero, linked like any other. A text with fewer words
 than a shingle has one shingle: all its words. Texts of any length are read whole. Repeated rows are kept, one row
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, prepare, raw_texts, stored
+from tidemark.llm.common import cut, discard, prepare, raw_texts, stored
 
 SHINGLE, RADIUS = 4, 4
 #: Fingerprints of a shard, and of a bucket on average before bands are made narrower.
@@ -77,19 +77,25 @@ def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", size: int
 
 
 class BkTree:
-    """A BK-tree of different fingerprints: each node's children are keyed by their distance to it."""
+    """A BK-tree of fingerprints: each node's children are keyed by their distance to it (an equal one is a child at 0)."""
 
     def __init__(self, fps: list[int]):
-        self.fps, self.children = fps, [{} for _ in fps]
-        for i in range(1, len(fps)):
-            at, x = 0, fps[i]
-            while True:
-                d = (fps[at] ^ x).bit_count()
-                nxt = self.children[at].get(d)
-                if nxt is None:
-                    self.children[at][d] = i
-                    break
-                at = nxt
+        self.fps: list[int] = []
+        self.children: list[dict[int, int]] = []
+        for x in fps:
+            self.add(x)
+
+    def add(self, x: int) -> None:
+        fps, at, i = self.fps, 0, len(self.fps)
+        fps.append(x)
+        self.children.append({})
+        while at < i:
+            d = (fps[at] ^ x).bit_count()
+            nxt = self.children[at].get(d)
+            if nxt is None:
+                self.children[at][d] = i
+                return
+            at = nxt
 
     def within(self, x: int, radius: int) -> list[int]:
         """Places of the fingerprints within the radius of x."""
@@ -207,21 +213,36 @@ _ALL = (1 << 64) - 1
 
 
 def contracted(edges: DataFrame) -> DataFrame:
-    """For each node of the links (a, b): ``root``, the smallest node that it reaches."""
-    edges = cut(edges)
+    """For each node of the links (a, b): ``root``, the smallest node that it reaches.
+
+    A round points each node to its smallest neighbour, if that is smaller, and follows these pointers to their ends by doubling; then
+    links are taken over to the ends. At least half of the nodes that still have links go in a round, and a pointer
+    chain of n nodes takes log2(n) steps, so chains end as soon as stars."""
+    edges = cut(edges.select("a", "b").where("a <> b"))
     comp = None
     while True:
         both = edges.select("a", "b").union(edges.select("b", "a"))
-        low = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
+        up = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up"), F.lit(True).alias("moved")))
+        while True:
+            over = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
+            far = cut(up.select("node", "up").join(over, "up").select("node", F.col("top").alias("up"), (F.col("up") != F.col("top")).alias("moved")))
+            still = not far.where("moved").isEmpty()
+            discard(up)
+            up = far
+            if not still:
+                break
         if comp is None:
-            comp = low.select("node", F.col("label").alias("root"))
+            found = cut(up.select("node", F.col("up").alias("root")))
         else:
-            comp = comp.join(low.select(F.col("node").alias("root"), "label"), "root", "left").select("node", F.coalesce("label", "root").alias("root"))
-        comp = cut(comp)
-        x = edges.join(low.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").select("b", "la")
-        x = x.join(low.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").where("la <> lb")
-        edges = cut(x.select(F.greatest("la", "lb").alias("a"), F.least("la", "lb").alias("b")).distinct())
+            over = up.select(F.col("node").alias("root"), F.col("up").alias("top"))
+            found = cut(comp.join(over, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+        x = edges.join(up.select(F.col("node").alias("a"), F.col("up").alias("la")), "a").select("b", "la")
+        x = x.join(up.select(F.col("node").alias("b"), F.col("up").alias("lb")), "b").where("la <> lb")
+        left = cut(x.select(F.greatest("la", "lb").alias("a"), F.least("la", "lb").alias("b")).distinct())
+        discard(comp, edges, up)
+        comp, edges = found, left
         if edges.isEmpty():
+            discard(edges)
             return comp
 
 
@@ -230,22 +251,25 @@ def components(fps: DataFrame, key: str, radius: int = RADIUS) -> DataFrame:
     fps = cut(fps)
     nodes = cut(fps.groupBy("fp").agg(F.min(key).alias("least")))
     roots = contracted(linked(nodes.select("fp"), radius))
-    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = cut(named)
-    ids = cut(named.groupBy("root").agg(F.min("least").alias("component_id")))
-    named = cut(named.join(ids, "root").select("fp", "component_id"))
-    return fps.join(named, "fp")
+    named = cut(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = cut(named.join(ids, "root").select("fp", "component_id"))
+    discard(nodes, roots, named)
+    return fps.join(of, "fp")
 
 
 #: Near copies by their words: shingle size and least similarity (exact, of the sets of shingles).
 COPY_SHINGLE, SIMILARITY = 5, 0.8
 #: Minimum hashes, and bands of them (of five each) that deal texts to buckets: a pair at 0.8 shares one with odds of 0.9996.
 _HASHES, _BANDS, _BAND = 200, 20, 5
-#: Agreement of minimum hashes below which a pair in a large bucket isn't looked at (a pair at 0.8 falls below with odds of 1e-6).
+#: Bands whose buckets are searched first; of the others only those are searched that still hold several groups.
+_FIRST = 4
+#: Bits in which fingerprints of two sets may differ to be looked at. At 0.8 a bit differs with odds of 0.15 to 0.19, so that 12 are
+#: expected and more than 26 have odds of 1e-5.
+COPY_RADIUS = 26
+#: Agreement of minimum hashes below which a pair isn't looked at (a pair at 0.8 falls below with odds of 1e-6).
 LOOSE = 0.65
-#: Nodes of a bucket whose pairs are listed one by one; the sets of larger buckets' nodes go to the bucket's task, which joins them there.
-ALL_PAIRS = 64
-#: Hashes of all sets in a shard of a large bucket.
+#: Hashes of all sets in a shard.
 SHARD_HASHES = 1 << 21
 #: Bits of the map of rows whose sets are read a second time.
 _SLOTS = 1 << 26
@@ -276,25 +300,37 @@ def _node(hashes: np.ndarray) -> int:
 
 
 def _joined(own: list, other: list, same: bool) -> list[tuple[int, int]]:
-    """Links (larger, smaller node) that join all similar rows of a unit that no link joins yet. Rows: node, root, sig, hashes."""
+    """Links (larger, smaller node) that join all similar rows of a unit that no link joins yet. Rows: node, root, fp, sig, hashes.
+
+    A BK-tree of the rows before it gives each row those whose fingerprints are near; the sketches and then the sets decide. Rows
+    of one group need no look at each other, so the search ends where the tree holds the row's group alone."""
     rows = own if same else [*own, *other]
-    sigs = np.frombuffer(b"".join(r[2] for r in rows), np.uint32).reshape(-1, _HASHES)
-    sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+    fps = [r[2] & _ALL for r in rows]
+    sigs = np.frombuffer(b"".join(r[3] for r in rows), np.uint32).reshape(-1, _HASHES)
+    sets = [np.frombuffer(r[4], np.uint64) for r in rows]
     group = np.unique([r[1] for r in rows], return_inverse=True)[1]
-    found = []
-    for q in range(1 if same else len(own), len(rows)):
-        rest = np.flatnonzero(group[: q if same else len(own)] != group[q])
-        agree = (sigs[rest] == sigs[q]).mean(1)
-        for i in rest[np.argsort(-agree, kind="stable")[: (agree >= LOOSE).sum()]]:
-            if group[i] != group[q] and alike(sets[i], sets[q]):
-                found.append((max(rows[i][0], rows[q][0]), min(rows[i][0], rows[q][0])))
-                group[group == group[i]] = group[q]
+    tree, found = BkTree([] if same else fps[: len(own)]), []
+    within = set(group[: 0 if same else len(own)].tolist())  # groups in the tree
+    for q in range(0 if same else len(own), len(rows)):
+        if within - {int(group[q])}:
+            near = np.array(tree.within(fps[q], COPY_RADIUS), np.int64)
+            near = near[group[near] != group[q]]
+            agree = (sigs[near] == sigs[q]).mean(1)
+            for i in near[np.argsort(-agree, kind="stable")[: (agree >= LOOSE).sum()]]:
+                if group[i] != group[q] and alike(sets[i], sets[q]):
+                    found.append((max(rows[i][0], rows[q][0]), min(rows[i][0], rows[q][0])))
+                    within.discard(int(group[i]))
+                    group[group == group[i]] = group[q]
+                    within.add(int(group[q]))
+        if same:
+            tree.add(fps[q])
+            within.add(int(group[q]))
     return found
 
 
 def _together(units: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) in units: choice, bits, i, j (the shards that meet), own (the row's shard), node, root."""
-    dealt = units.join(sets, "node").select(F.xxhash64("choice", "bits", "i", "j").alias("u"), "choice", "bits", "i", "j", "own", "node", "root", "sig", "hashes")
+    dealt = units.join(sets, "node").select(F.xxhash64("choice", "bits", "i", "j").alias("u"), "choice", "bits", "i", "j", "own", "node", "root", "fp", "sig", "hashes")
     dealt = dealt.repartition("u").sortWithinPartitions("choice", "bits", "i", "j", "own", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,9 +359,9 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _sets(rows: DataFrame, named: DataFrame) -> DataFrame:
-    """node, sig, hashes of the nodes in named (node, key: one of its rows). The texts aren't shuffled: a map of fixed size tells
-    most other rows apart, the join the rest."""
-    slot = F.pmod(F.xxhash64("key"), F.lit(_SLOTS))
+    """node, fp, sig, hashes of the nodes in named (node, row: one of its rows). The texts aren't shuffled: a map of fixed size tells
+    most other rows apart, the join the rest. rows: row, text."""
+    slot = F.pmod(F.xxhash64("row"), F.lit(_SLOTS))
     parts = named.select(slot.alias("slot")).groupBy(F.expr("bitmap_bucket_number(slot)").alias("part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits"))
     bits = np.zeros((_SLOTS // 32768 + 1, 4096), np.uint8)
     for part, one in parts.collect():
@@ -338,63 +374,91 @@ def _sets(rows: DataFrame, named: DataFrame) -> DataFrame:
             part, bit = (b.column(k).to_numpy() for k in (1, 2))
             b = b.filter(pa.array((seen[part, bit >> 3] >> (bit & 7)) & 1 == 1))
             sets = [np.unique(shingle_hashes(x, COPY_SHINGLE)) for x in raw_texts(b.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array([_node(h) for h in sets], pa.int64()), pa.array([minima(h).tobytes() for h in sets], pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())], names=["node", "sig", "hashes"])
+            cols = [pa.array([f(h) for h in sets], t) for f, t in ((_node, pa.int64()), (fingerprint, pa.int64()), (lambda h: minima(h).tobytes(), pa.binary()), (lambda h: h.tobytes(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["node", "fp", "sig", "hashes"])
 
     placed = rows.select("text", slot.alias("slot")).select("text", F.expr("bitmap_bucket_number(slot)").alias("part"), F.expr("bitmap_bit_position(slot)").alias("bit"))
-    found = placed.mapInArrow(run, "node bigint, sig binary, hashes binary").join(named.select("node"), "node", "left_semi")
-    return stored(found.groupBy("node").agg(F.first("sig").alias("sig"), F.first("hashes").alias("hashes")), "sets")
+    found = placed.mapInArrow(run, "node bigint, fp bigint, sig binary, hashes binary").join(named.select("node"), "node", "left_semi")
+    return stored(found.groupBy("node").agg(F.first("fp").alias("fp"), F.first("sig").alias("sig"), F.first("hashes").alias("hashes")), "sets")
 
 
-def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, component_id (the smallest key of its group) of every row; rows are linked if their sets of five-word shingles are alike
-    by 0.8 or more.
+def _mixed(dealt: DataFrame, *unit: str) -> DataFrame:
+    """The rows of units that hold several groups."""
+    several = dealt.groupBy(*unit).agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select(*unit)
+    return dealt.join(several, list(unit), "left_semi")
 
-    At that likeness fingerprints differ in more bits than buckets of equal bits allow; so buckets are dealt by bands of minimum hashes.
-    Only the exact similarity of the sets makes a link. Pairs of a small bucket are listed and settled by joins. A large bucket's
-    shards are joined in their tasks, where a pair that other links join already needs no look, and at most one link a node leaves.
-    Shards are dealt otherwise in each band, so a large group is mostly one after that; only buckets that still hold several
-    groups have their shards meet pair by pair. Texts with the same shingles, or without a word, are one node."""
-    prepare(docs.sparkSession)
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+
+def _rooted(dealt: DataFrame, roots: DataFrame) -> DataFrame:
+    return dealt.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _copies(rows: DataFrame) -> DataFrame:
+    """row, key, root of every row, the root being the same number in each group of near copies. rows: row (all different), key, text.
+
+    At a similarity of 0.8 fingerprints differ in more bits than buckets of equal bits allow; so buckets are dealt by bands of minimum
+    hashes. A bucket's shards of bounded size are searched in their tasks, each by a BK-tree of the fingerprints of the
+    sets; only the exact similarity of the sets makes a link, and at most one link a node leaves a task. The first bands' buckets
+    join most groups. Then only those buckets are searched that still hold several groups, and at last only the large
+    ones that still do have their shards meet pair by pair. Texts with the same shingles, or without a word, are one node."""
+    prepare(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.unique(shingle_hashes(x, COPY_SHINGLE)) for x in raw_texts(b.column(1))]
+            sets = [np.unique(shingle_hashes(x, COPY_SHINGLE)) for x in raw_texts(b.column(2))]
             cols = [pa.array([_node(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array([minima(h).tobytes() for h in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["key", "node", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], *cols], names=["row", "key", "node", "n", "sig"])
 
     bands = F.array(*[F.xxhash64(F.substring("sig", 4 * _BAND * k + 1, 4 * _BAND)) for k in range(_BANDS)])
-    made = rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, node bigint, n bigint, sig binary")
-    made = stored(made.select("key", "node", "n", bands.alias("bands")), "copies")
-    nodes = cut(made.groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    made = rows.select("row", "key", "text").mapInArrow(run, f"row bigint, key {rows.schema['key'].dataType.simpleString()}, node bigint, n bigint, sig binary")
+    made = stored(made.select("row", "key", "node", "n", bands.alias("bands")), "copies")
+    nodes = cut(made.groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands")))
     dealt = nodes.select("node", "n", F.posexplode("bands").alias("choice", "bits"))
     sizes = dealt.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("hashes")).where("size > 1")
-    shards = F.ceil(F.greatest(F.col("size") / SHARD, F.col("hashes") / SHARD_HASHES)).cast("int")
-    dealt = cut(dealt.drop("n").join(sizes.select("choice", "bits", "size", F.greatest(shards, F.lit(1)).alias("shards")), ["choice", "bits"]))
-    sets = _sets(rows, cut(nodes.select("node", "key").join(dealt.select("node").distinct(), "node", "left_semi")))
-
-    listed = dealt.where(F.col("size") <= ALL_PAIRS).groupBy("choice", "bits").agg(F.sort_array(F.collect_list("node"), False).alias("of"))
-    pairs = listed.select(F.posexplode("of").alias("at", "a"), "of").select("a", F.explode(F.slice("of", F.col("at") + 2, ALL_PAIRS)).alias("b")).distinct()
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-
-    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            good = [alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    true = both.select("a", "b", "x", "y").mapInArrow(settled, "a bigint, b bigint")
-    large = dealt.where(F.col("size") > ALL_PAIRS).withColumn("own", F.pmod(F.xxhash64("node", "choice"), F.col("shards")).cast("int"))
-    units = large.select("choice", "bits", F.col("own").alias("i"), F.col("own").alias("j"), "own", "node", F.col("node").alias("root"))
-    true = cut(true.unionByName(_together(units, sets)))
+    shards = F.greatest(F.lit(1), F.ceil(F.greatest(F.col("size") / SHARD, F.col("hashes") / SHARD_HASHES)).cast("int"))
+    dealt = dealt.drop("n").join(sizes.select("choice", "bits", shards.alias("shards")), ["choice", "bits"])
+    # shards are dealt otherwise in each band, so that a large group is mostly one after a few of them
+    dealt = cut(dealt.withColumn("own", F.pmod(F.xxhash64("node", "choice"), F.col("shards")).cast("int")))
+    wanted = cut(nodes.select("node", "row").join(dealt.select("node").distinct(), "node", "left_semi"))
+    sets = _sets(rows, wanted)
+    alone = [F.col("own").alias("i"), F.col("own").alias("j"), "own", "node", "root"]
+    true = cut(_together(dealt.where(F.col("choice") < _FIRST).withColumn("root", F.col("node")).select("choice", "bits", *alone), sets))
     roots = contracted(true)
-    several = cut(large.where("shards > 1").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    mixed = several.groupBy("choice", "bits").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-    several = cut(several.join(mixed.select("choice", "bits"), ["choice", "bits"], "left_semi"))
+    rest = cut(_mixed(_rooted(dealt.where(F.col("choice") >= _FIRST), roots), "choice", "bits", "own"))
+    more = cut(true.unionByName(_together(rest.select("choice", "bits", *alone), sets)))
+    discard(true, roots, rest, nodes, wanted)
+    roots = contracted(more)
+    several = cut(_mixed(_rooted(dealt.where("shards > 1"), roots), "choice", "bits"))
     if not several.isEmpty():
         meet = F.explode(F.transform(F.sequence(F.lit(0), F.col("shards") - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j"))))
         units = several.withColumn("unit", meet).where("unit.i < unit.j").select("choice", "bits", "unit.i", "unit.j", "own", "node", "root")
-        roots = contracted(true.unionByName(_together(units, sets)))
-    named = cut(nodes.select("node", F.col("key").alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    ids = cut(named.groupBy("root").agg(F.min("least").alias("component_id")))
-    named = cut(named.join(ids, "root").select("node", "component_id"))
-    return made.select("key", "node").join(named, "node").select(F.col("key").alias(key), "component_id")
+        whole = contracted(more.unionByName(_together(units, sets)))
+        discard(roots)
+        roots = whole
+    discard(sets, dealt, more, several)
+    return made.select("row", "key", "node").join(roots, "node", "left").select("row", "key", F.coalesce("root", "node").alias("root"))
+
+
+def _with_rows(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, written once, so that every later step and retry sees the same ones."""
+    return stored(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+
+
+def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, component_id (the smallest key of its group) of every row; rows are linked if their sets of five-word shingles are alike
+    by 0.8 or more."""
+    found = cut(_copies(_with_rows(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))))
+    ids = found.groupBy("root").agg(F.min("key").alias("component_id"))
+    return found.join(ids, "root").select(F.col("key").alias(key), "component_id")
+
+
+def distinct_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that stay: of each group of near copies the one with the smallest key.
+
+    Of rows that share that key one stays, null keys coming last; rows of other groups with the same key aren't touched."""
+    names = docs.columns
+    table = _with_rows(docs.toDF(*[f"c{k}" for k in range(len(names))]))
+    found = cut(_copies(table.select("row", F.col(f"c{names.index(key)}").alias("key"), F.col(f"c{names.index(text)}").alias("text"))))
+    order = F.struct(F.col("key").isNull().alias("none"), "key", "row")
+    groups = found.groupBy("root").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("root", "first.row")
+    gone = found.join(groups.withColumnRenamed("row", "stays"), "root").where("row <> stays").select("row")
+    return table.join(cut(gone), "row", "left_anti").drop("row").toDF(*names)
