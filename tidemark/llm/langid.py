@@ -9,7 +9,8 @@ alone: the fit resolves the escape chain for every known gram once, and a text's
 sum of table look-ups, done in numpy for a whole batch.
 
 Cases: null text and text without any letter give ``und`` with score 0; so does everything if no labelled
-row is left to learn from. Ties go to the language that sorts first. Texts of any length are scored whole.
+row is left to learn from. ``bits`` are those of the shortest code for each byte (NULL without bytes or languages): from
+``UNIFORM`` on no language's statistics shorten the text. Ties go to the language that sorts first. Texts of any length are scored whole.
 Repeated rows get equal results, one row each. Columns other than the named ones are ignored; an empty table
 gives an empty result.
 """
@@ -30,9 +31,9 @@ from tidemark.llm.common import prepare, raw_texts
 ORDER = 3
 #: Labelled documents of a language to learn from, about: the bound of the training sample.
 SAMPLE_PER_LANGUAGE = 300
-#: Languages to tell apart, at most; the most frequent ones are learned.
-MAX_LANGUAGES = 256
 UND = "und"
+#: Bits of a byte without any statistics.
+UNIFORM = 8.0
 _PAD = b"\n" * ORDER
 _LETTER = re.compile(r"[^\W\d_]")
 _CHUNK = 1 << 20
@@ -122,44 +123,46 @@ class PpmModel:
             at = end
         return out
 
-    def predict(self, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
-        """The language with the shortest code, and its posterior under equal priors."""
+    def predict(self, texts: list[bytes]) -> tuple[list[str], np.ndarray, list]:
+        """The language with the shortest code, its posterior under equal priors, and the code's bits for each byte."""
         if not self.langs:
-            return [UND] * len(texts), np.zeros(len(texts))
+            return [UND] * len(texts), np.zeros(len(texts)), [None] * len(texts)
         bits = self.code_lengths(texts)
         best = bits.argmin(1)
         score = 1 / np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000)).sum(1)
         lettered = np.array([bool(_LETTER.search(x.decode("utf-8", "replace"))) for x in texts], bool)
-        return [self.langs[b] if ok else UND for b, ok in zip(best, lettered)], np.where(lettered, score, 0.0)
+        return [self.langs[b] if ok else UND for b, ok in zip(best, lettered)], np.where(lettered, score, 0.0), [float(b) / len(x) if x else None for b, x in zip(bits.min(1), texts)]
 
 
 def fit(docs: DataFrame, label: str = "lang", text: str = "text", key: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE) -> PpmModel:
-    """Learns from about ``per_language`` rows of each label, picked by a hash of the key; the driver gets that bounded sample alone."""
+    """Learns from about ``per_language`` rows of each label, picked by a hash of the key; the driver gets that bounded sample alone.
+
+    Every language that the label column names is learned, so the labels have to be languages: a few hundred at most."""
     known = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull())
-    sizes = known.groupBy(label).count().orderBy(F.desc("count"), label).limit(MAX_LANGUAGES).collect()
+    sizes = known.groupBy(label).count().collect()
     picked = F.lit(False)
     for lang, n in sizes:
         share = int(min(1.0, per_language / n) * (1 << 30))
         picked = picked | ((F.col(label) == lang) & (F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(1)), F.lit(1 << 30)) < share))
     texts: dict[str, list[bytes]] = {}
-    for lang, x in known.where(picked).select(label, text).limit(2 * per_language * max(1, len(sizes))).collect() if sizes else []:
+    for lang, x in known.where(picked).select(label, text).collect() if sizes else []:
         texts.setdefault(lang, []).append(x.encode())
     return PpmModel.fit({k: sorted(v) for k, v in texts.items()}) if texts else PpmModel([], [], [])
 
 
 def identify(docs: DataFrame, model: PpmModel, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns named in keep with ``lang_pred`` and ``score`` of each row's whole text."""
+    """The columns named in keep with ``lang_pred``, ``score`` and ``bits`` of each row's whole text."""
     spark = docs.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast((model.langs, model.grams, model.contexts))
     out = docs.select(*[F.col(c) for c in keep], F.col(text).alias("__text"))
-    names = [*keep, "lang_pred", "score"]
+    names = [*keep, "lang_pred", "score", "bits"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = PpmModel(*shared.value)
         for b in batches:
-            langs, score = own.predict(raw_texts(b.column(len(keep))))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=names)
+            langs, score, bits = own.predict(raw_texts(b.column(len(keep))))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())], names=names)
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema[:-1]), "lang_pred string, score double"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema[:-1]), "lang_pred string, score double, bits double"])
     return out.mapInArrow(run, schema)

@@ -10,7 +10,7 @@ texts have fewer phrases than that; two empty texts are alike (1), an empty and
 are dealt to ranges of the key; the first document of a range is also sent to the range before, so each range
 is worked off as a stream that holds two documents at a time, and no document is alone in a task with all others.
 
-Cases: null counts as the empty text. Rows that share a key are ordered by a hash of their text; null keys come last. The
+Cases: null counts as the empty text. Keys are whole numbers. Rows that share a key are ordered by a hash of their text, and are one range; null keys come last. The
 next of the last row is the first row, of an only row itself. Equal texts have equal fingerprints. Texts of any length are
 parsed whole; the dictionary starts anew after ``DICTIONARY`` phrases so that memory stays bounded. Extra columns are
 ignored; an empty table gives an empty result.
@@ -22,8 +22,8 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -174,21 +174,23 @@ def edited_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     The edited text has its last third (code points, rounded down) replaced by as many of the next document's first ones."""
     prepare(docs.sparkSession)
+    if docs.schema[key].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{key} has to be a whole number: documents are put in order by it")
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     rows = rows.select("key", F.coalesce("key", F.lit(-(1 << 63))).alias("place"), "text")
     n = docs.count()
     parts = max(1, min(RANGES, n // RANGE_ROWS))
     cuts = rows.agg(F.max("place").alias("top"), F.percentile_approx("place", [k / parts for k in range(1, parts)] or [0.5], 100 * RANGES if parts > 1000 else 10_000).alias("cuts")).first()
-    tops = np.array(sorted({cuts["top"], *(cuts["cuts"] if parts > 1 else [])}) if n else [0], np.int64)  # each is a key that exists
-    last = len(tops) - 1
-
-    @F.pandas_udf("array<struct<range: int, first: boolean>>")
-    def ranges(places: pd.Series) -> pd.Series:
-        at = np.searchsorted(tops, places.to_numpy(np.int64))  # range k ends with the key tops[k]; ranges run upwards, rows down
-        ends = tops[at] == places.to_numpy(np.int64)
-        return pd.Series([[{"range": int(k), "first": False}] + ([{"range": int(k + 1) if k < last else 0, "first": True}] if e else []) for k, e in zip(at, ends)])
-
-    dealt = rows.withColumn("to", F.explode(ranges("place"))).select("to.range", F.col("to.first").alias("first"), "place", F.xxhash64("text").alias("tie"), "key", "text")
+    # each range begins with a key that exists; ranges and rows run downwards, so places are negated: they have to rise
+    begins = sorted({-float(x) for x in [cuts["top"], *(cuts["cuts"] if parts > 1 else [])]}) if n else [0.0]
+    last = len(begins) - 1
+    down = rows.withColumn("down", -F.col("place").cast("double"))
+    split = Bucketizer(splits=[*begins, float("inf")], inputCol="down", outputCol="range", handleInvalid="keep").transform(down).withColumn("range", F.col("range").cast("int"))
+    heads = F.col("down") == F.element_at(F.array(*map(F.lit, begins)), F.col("range") + 1)
+    before = F.when(F.col("range") > 0, F.col("range") - 1).otherwise(last)  # the first row of a range is also sent to the range before
+    own = F.struct("range", F.lit(False).alias("first"))
+    sent = F.when(heads, F.array(own, F.struct(before.alias("range"), F.lit(True).alias("first")))).otherwise(F.array(own))
+    dealt = split.withColumn("to", F.explode(sent)).select("to.range", F.col("to.first").alias("first"), "place", F.xxhash64("text").alias("tie"), "key", "text")
     dealt = dealt.repartition("range").sortWithinPartitions("range", "first", F.desc("place"), "tie")
     names, kinds = [key, *[x for x, _ in _OUT]], [pa.int64(), *[t for _, t in _OUT]]
 

@@ -4,14 +4,14 @@ Each source's share p of all tokens is raised to an exponent and normalised, w =
 [0, 1] is found by bisection, either to a target entropy of w or to the largest one whose repetition
 (largest over smallest w / p) keeps to a limit. Budgets in tokens are w times a total; without a total
 it is the least one at which no source is cut. They are realised as block permutations: a source's documents
-are dealt to blocks by a hash, blocks and documents within a block are put in a hashed order of each
+are dealt to blocks by a hash of key and text, blocks and documents within a block are put in a hashed order of each
 source, all of it is taken as many whole times as the budget holds, and of the rest every document that begins before
-the rest of the budget ends. Prefix sums run over block totals and within a block, so a source that
-holds a third of all rows meets in no single task.
+the rest of the budget ends. Prefix sums run over block totals and within a block, so the documents of a source that
+holds a third of all rows meet in no single task (its block totals do: one number for ``BLOCK_ROWS`` documents).
 
 A document's tokens are ceil(code points / 4), at least 1, or a column that the caller names. Cases: null texts
 and empty texts have 1 token; a null source is a source of its own, apart from the empty name; one source alone has weight
-1; equal sources get equal weights. Repeated rows are rows of their own. Extra columns are kept; names with
+1; equal sources get equal weights. Rows that share key and text are the only ones whose order isn't fixed. Repeated rows are rows of their own. Extra columns are kept; names with
 ``__mx_`` are reserved. An empty table gives an empty result.
 """
 
@@ -82,14 +82,18 @@ def copies(docs: DataFrame, source: str = "source", key: str = "doc_id", text: s
     size = F.col(tokens).cast("long") if tokens else _tokens(text)
     plan = weights(docs, source, text, tokens, **target)
     blocks = max(1, -(-docs.count() // BLOCK_ROWS))
-    block = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(blocks)).cast("int").alias("__mx_block")
+    # a row's place comes from its key and text, so that rows with one key (or none) are dealt to all blocks
+    said = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit("")), said).cast("binary"))
+    block = F.pmod(F.conv(F.substring(draw, 1, 12), 16, 10).cast("bigint"), F.lit(blocks)).cast("int").alias("__mx_block")
     marked = [_source(source), block, size.alias("__mx_tokens")]
     totals = docs.select(*marked).groupBy("__mx_source", "__mx_block").agg(F.sum("__mx_tokens").alias("t"))
-    order = Window.partitionBy("__mx_source").orderBy(F.xxhash64("__mx_source", "__mx_block", F.lit(seed)), "__mx_block")
+    shuffled = F.md5(F.concat_ws("|", F.lit(str(seed)), "__mx_source", F.col("__mx_block").cast("string")).cast("binary"))
+    order = Window.partitionBy("__mx_source").orderBy(shuffled, "__mx_block")
     before = totals.withColumn("__mx_before", F.sum("t").over(order) - F.col("t")).drop("t")
     parts = before.join(plan, "__mx_source").select("__mx_source", "__mx_block", "__mx_before", F.col("tokens").alias("__mx_all"), F.col("budget").alias("__mx_budget"), F.col("weight").alias("__mx_weight"), F.col("exponent").alias("__mx_exponent"), F.col("share").alias("__mx_share"))
-    rows = docs.select("*", *marked)
-    own = Window.partitionBy("__mx_source", "__mx_block").orderBy(F.xxhash64(F.col(key), F.lit(seed + 1)), key)
+    rows = docs.select("*", *marked, draw.alias("__mx_draw"))
+    own = Window.partitionBy("__mx_source", "__mx_block").orderBy(F.substring("__mx_draw", 13, 20), "__mx_draw")
     rows = rows.withColumn("__mx_at", F.sum("__mx_tokens").over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__mx_tokens"))
     rows = rows.join(parts, ["__mx_source", "__mx_block"])
     times = F.floor(F.round(F.col("__mx_budget") / F.col("__mx_all"), 9))

@@ -11,6 +11,8 @@ Texts are cut before that where no piece of the vocabulary holds the two charact
 never cross such a place, so parts are encoded alone and remembered (bounded caches). Characters
 without a piece become their UTF-8 bytes' pieces.
 
+A model with other rules is refused: probes are encoded and decoded by the library when a codec is made.
+
 Cases: null and empty texts have no ids, the hash of an empty string, and decode to an empty text. Texts of
 any length are encoded whole. Repeated rows get equal results, one row each; other columns are ignored; an
 empty table gives an empty result.
@@ -33,6 +35,8 @@ SPACE = "▁"
 PARTS, PAIRS, LONGEST = 400_000, 1_000_000, 48
 #: Stands for the place before the first piece in a pair's key (20 bits for each of both).
 _START = (1 << 20) - 1
+#: Texts that models with other rules than these (a space put first, no normalisation, bytes for unknown characters) encode otherwise.
+_PROBES = ("a", " a", "a  b ", "\ta\n", "Ａ ﬁ", "e\u0301 é", "ͼ\U000F0000", "\u00a0x")
 
 
 class PieceCodec:
@@ -69,6 +73,10 @@ class PieceCodec:
         self.plain = [None if i in self.bytes else p.replace(SPACE, " ") for i, p in enumerate(self.pieces)]
         self.pair: dict[int, bool] = {}
         self.known: dict[str, tuple[str, int, str]] = {}
+        for x in _PROBES:
+            ids = lib.encode(x)
+            if self.encode(x) != ids or self.decode(ids) != lib.decode(ids):
+                raise ValueError(f"the model encodes {x!r} by other rules (normalisation, first space or unknown characters)")
 
     def merged(self, text: str) -> list[str]:
         """The merge procedure itself: the best-scored adjacent pair first, the leftmost of equals."""
@@ -115,6 +123,8 @@ class PieceCodec:
         out, at, sizes = [], len(part), self.sizes
         while at:
             i = last[at] >> 20
+            if i < 0:
+                raise ValueError(f"no encoding of {part!r} in this vocabulary")
             out.append(i)
             at -= sizes[i]
         out.reverse()

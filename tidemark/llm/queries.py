@@ -59,7 +59,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     found = mixing.copies(docs)
-    return found.select("doc_id", "source", F.col("__mx_tokens").alias("n_tokens"), F.col("__mx_copies").alias("copies"), F.col("__mx_share").alias("share"), F.col("__mx_weight").alias("weight"))
+    return found.select("doc_id", "source", F.col("__mx_tokens").alias("n_tokens"), F.col("__mx_copies").alias("copies"), F.round("__mx_share", 9).alias("share"), F.round("__mx_weight", 9).alias("weight"))
 
 
 def op9_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +77,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_mixing": f"""
+        WITH d AS (SELECT doc_id, source, coalesce('=' || source, 'null') AS s, greatest(1, CAST(ceil(length(coalesce(text, '')) / 4) AS BIGINT)) AS t,
+          md5('{mixing.SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS draw FROM documents),
+        n AS (SELECT greatest(1, CAST(ceil(count(*) / {mixing.BLOCK_ROWS}) AS BIGINT)) AS blocks FROM documents),
+        b AS (SELECT d.*, CAST('0x' || substr(draw, 1, 12) AS BIGINT) % blocks AS block FROM d, n),
+        src AS (SELECT s, sum(t) AS tokens FROM d GROUP BY s), p AS (SELECT *, tokens / sum(tokens) OVER () AS share FROM src),
+        a AS (SELECT CASE WHEN max(share) / min(share) <= 1 THEN 1 ELSE greatest(0, 1 - ln({mixing.REPETITION_LIMIT}) / ln(max(share) / min(share))) END AS e FROM p),
+        w AS (SELECT s, tokens, share, pow(share, e) / sum(pow(share, e)) OVER () AS weight FROM p, a), g AS (SELECT *, weight * max(tokens / weight) OVER () AS budget FROM w),
+        k AS (SELECT s, block, sum(t) AS t FROM b GROUP BY s, block),
+        o AS (SELECT s, block, sum(t) OVER (PARTITION BY s ORDER BY md5('{mixing.SEED}|' || s || '|' || block), block ROWS UNBOUNDED PRECEDING) - t AS before FROM k),
+        r AS (SELECT b.*, sum(t) OVER (PARTITION BY s, block ORDER BY substr(draw, 13, 20), draw ROWS UNBOUNDED PRECEDING) - t AS at FROM b)
+        SELECT doc_id, source, t AS n_tokens, CAST(floor(round(budget / tokens, 9)) + CASE WHEN before + at < round(budget - floor(round(budget / tokens, 9)) * tokens, 3) THEN 1 ELSE 0 END AS BIGINT) AS copies,
+          round(share, 9) AS share, round(weight, 9) AS weight FROM r JOIN o USING (s, block) JOIN g USING (s)""",
     "op4_exact_dedup": """
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(x) AS text_sha256

@@ -1,8 +1,8 @@
 """URL filters: glob rules in one bit-parallel wildcard automaton, host rules with the longest fit on top.
 
 All glob rules are packed into one multiword Shift-And automaton: each pattern character owns a bit, ``*`` is a
-self-loop of the state before it and ``?`` fits any character. A batch of canonical URLs is simulated together, one
-character place at a time, in numpy: ``D = ((D << 1) | start) & mask[c] | D & loop``; a URL that has ended keeps its last
+self-loop of the state before it and ``?`` fits any one character (the first byte of its UTF-8, with a self-loop over the others). A batch of canonical URLs is simulated together, one
+character place at a time, in numpy: ``D = (D << 1) & mask[c] | D & loop[c]``; a URL that has ended keeps its last
 states, and a rule fits if its final bit is set at the end. Verdict of a URL: that of the longest host rule that
 fits (host or subdomain of it, path begins with the rule's); without any, ``block`` if a glob rule fits, else
 ``allow``.
@@ -45,29 +45,35 @@ class WildcardAutomaton:
         self.patterns = list(patterns)
         # one bit for "nothing read yet" and one for each literal or ? of each pattern
         layout: list[tuple[int, bytes | None]] = []
-        first, final, loops = [], [], []
+        first, final, loops, single = [], [], [], []
         for p in self.patterns:
             first.append(len(layout))
             layout.append((len(layout), None))
             for c in p:
                 if c == "*":
                     loops.append(len(layout) - 1)
+                elif c == "?":
+                    single.append(len(layout))
+                    layout.append((len(layout), b""))
                 else:
                     for b in c.encode():
-                        layout.append((len(layout), b"" if c == "?" else bytes([b])))
+                        layout.append((len(layout), bytes([b])))
             final.append(len(layout) - 1)
         self.bits = max(1, len(layout))
         self.words = -(-self.bits // _WORD)
-        self.masks = np.zeros((257, self.words), np.uint64)
+        self.masks = np.zeros((256, self.words), np.uint64)
         for at, c in layout:
             if c is None:
                 continue
             w, bit = at // _WORD, np.uint64(1 << (at % _WORD))
             if c == b"":
-                self.masks[:256, w] |= bit
+                self.masks[:0x80, w] |= bit
+                self.masks[0xC0:, w] |= bit
             else:
                 self.masks[c[0], w] |= bit
-        self.start, self.loop = self._set(first), self._set(loops)
+        self.start = self._set(first)
+        self.loop = np.broadcast_to(self._set(loops), (256, self.words)).copy()
+        self.loop[0x80:0xC0] |= self._set(single)
         self.final = final
 
     def _set(self, bits: list[int]) -> np.ndarray:
@@ -77,7 +83,7 @@ class WildcardAutomaton:
         return out
 
     def run(self, texts: list[bytes]) -> np.ndarray:
-        """For each text and pattern, whether the pattern fits the whole text. ``?`` fits one byte."""
+        """For each text and pattern, whether the pattern fits the whole text."""
         n = len(texts)
         if not n or not self.patterns:
             return np.zeros((n, len(self.patterns)), bool)
@@ -92,7 +98,8 @@ class WildcardAutomaton:
             d = state[:live]
             moved = (d << np.uint64(1)) & low
             moved[:, 1:] |= d[:, :-1] >> carry
-            state[:live] = moved & self.masks[flat[begin[:live] + k]] | d & self.loop
+            c = flat[begin[:live] + k]
+            state[:live] = moved & self.masks[c] | d & self.loop[c]
         out = np.empty((n, len(self.patterns)), bool)
         for j, f in enumerate(self.final):
             out[order, j] = (state[:, f // _WORD] >> np.uint64(f % _WORD)) & np.uint64(1) != 0
@@ -108,16 +115,30 @@ def host_and_path(url):
     return F.translate(host, upper, lower), F.substring(rest, F.length(host) + 1, F.length(rest))
 
 
+def longest_rule(host_rules: Sequence[tuple[str, str, str]]):
+    """Rule and verdict of the longest host rule that fits the columns host and path, or NULLs.
+
+    The rules are a map from host to its paths; a URL looks up the ends of its own host, so its cost doesn't grow with the rules."""
+    of: dict[str, list] = {}
+    for h, p, v in host_rules:
+        of.setdefault(h, []).append(F.struct(F.lit(-len(h + p)).alias("size"), F.lit(h + p).alias("rule"), F.lit(p).alias("path"), F.lit(v).alias("verdict")))
+    if not of:
+        return F.lit(None).cast("string"), F.lit(None).cast("string")
+    rules = F.create_map(*[x for h, each in sorted(of.items()) for x in (F.lit(h), F.array(*each))])
+    labels = F.size(F.split("host", r"\."))
+    ends = F.transform(F.sequence(F.lit(1), labels), lambda i: F.call_function("substring_index", F.col("host"), F.lit("."), -i))
+    held = F.filter(F.transform(ends, lambda e: F.try_element_at(rules, e)), lambda x: x.isNotNull())
+    best = F.array_min(F.filter(F.flatten(held), lambda r: F.startswith(F.col("path"), r["path"])))
+    return best["rule"], best["verdict"]
+
+
 def judge(pages: DataFrame, keep: list[str], url: str = "url", host_rules: Sequence[tuple[str, str, str]] = HOST_RULES, globs: Sequence[str] = BLOCK_GLOBS) -> DataFrame:
     """The columns named in keep with host, path, rule, verdict and globs (the glob rules that fit)."""
     prepare(pages.sparkSession)
     named = pages.select(*[F.col(c) for c in keep], F.coalesce(F.col(url), F.lit("")).alias("__u"))
     host, path = host_and_path(F.col("__u"))
     parts = named.withColumns({"host": host, "path": path}).drop("__u")
-    rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for h, p, v in sorted(host_rules, key=lambda r: (-len(r[0] + r[1]), r[0] + r[1]), reverse=True):
-        fits = ((F.col("host") == h) | F.col("host").endswith("." + h)) & F.col("path").startswith(p)
-        rule, verdict = F.when(fits, F.lit(h + p)).otherwise(rule), F.when(fits, F.lit(v)).otherwise(verdict)
+    rule, verdict = longest_rule(host_rules)
     names = [*keep, "host", "path", "rule", "verdict", "globs"]
     out = parts.withColumns({"rule": rule, "verdict": verdict})
     automaton, k = WildcardAutomaton(globs), len(keep)

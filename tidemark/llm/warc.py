@@ -4,9 +4,9 @@ Each page becomes one record (WARC 1.1, its own gzip member) in an archive of it
 table in the shared folder, as segments of whole records, and ``archive_file`` joins one to a .warc.gz. Of pages with equal payloads of at
 least ``REVISIT_BYTES`` the one with the smallest id is a response, the others are revisits of it without a payload.
 
-The index is merged externally: the captures of each archive, read back from it, are a run that is sorted by itself; all runs are
-dealt to ranges of (URL key, time, id), and a loser tree merges the k runs of a range. Ranges follow each other, so the
-histories are in global order. Ranges hold about as many captures each, however often one URL was captured.
+The index is merged externally: the captures of an archive's segment are sorted where they are read back, which makes a run; all runs
+are dealt to ranges of (URL key, time, id), and a loser tree merges the k runs of a range. Ranges follow each other, so the
+histories are in global order. Ranges hold about ``RANGE_ROWS`` captures each, however often one URL was captured.
 
 Cases: null html has an empty payload; a null URL gives a record without a target and an empty URL key. Rows that share
 the smallest id of a payload are all responses. Null ids are written as such, never referred to. Payloads of any length are
@@ -32,6 +32,8 @@ from tidemark.llm.common import cut, prepare, stored
 REVISIT_BYTES = 100
 #: Bytes of an archive and of a segment, before the record that ends it.
 ARCHIVE, SEGMENT = 64 << 20, 1 << 20
+#: Captures of a range of the merge, about: what a task holds of all its runs.
+RANGE_ROWS = 100_000
 _EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc)
 _YEAR = 365 * 86400
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -161,8 +163,8 @@ def archive_file(archives: DataFrame, name: str) -> bytes:
     return b"".join(bytes(r.data) for r in archives.where(F.col("archive") == name).orderBy("segment").collect())
 
 
-_CAPTURE = "url_key string, captured string, page_id bigint, url string, record_type string, payload_digest string, payload_bytes bigint, refers_to bigint, archive string, offset bigint, length bigint"
-_KINDS = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+_CAPTURE = "url_key string, captured string, page_id bigint, url string, record_type string, payload_digest string, payload_bytes bigint, refers_to bigint, archive string, offset bigint, length bigint, run string, place int"
+_KINDS = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32()]
 _NAMES = [x.split()[0] for x in _CAPTURE.split(", ")]
 
 
@@ -172,12 +174,13 @@ def _id(urn: str | None):
 
 
 def read(archives: DataFrame) -> DataFrame:
-    """The captures that the archives hold, each record parsed and its payload's digest computed and compared."""
+    """The captures that the archives hold, each record parsed and its payload's digest computed and compared. Those of a segment
+    come out sorted, as a run with their places in it."""
     prepare(archives.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for archive, base, data in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+            for archive, segment, base, data in zip(*[c.to_pylist() for c in b.columns]):
                 found = []
                 for at, size, f, block in records(data):
                     head, _, payload = block.partition(b"\r\n\r\n")
@@ -186,6 +189,7 @@ def read(archives: DataFrame) -> DataFrame:
                     if kind == "response" and (len(payload) != n or hashlib.sha256(payload).hexdigest() != digest):
                         raise ValueError(f"{archive}: the payload at {base + at} isn't what its header says")
                     found.append((url_key(url), f["WARC-Date"], _id(f["WARC-Record-ID"]), url, kind, digest, n, _id(f.get("WARC-Refers-To")), archive, base + at, size))
+                found = [(*row, f"{archive}#{segment}", k) for k, row in enumerate(sorted(found, key=_order))]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*found), _KINDS)], names=_NAMES)
 
     return archives.select("archive", "segment", "offset", "data").mapInArrow(run, _CAPTURE)
@@ -196,15 +200,16 @@ def _order(row: tuple):
 
 
 def merged(captures: DataFrame) -> DataFrame:
-    """All captures in global order of URL key, time and page: sorted runs of archives, merged range by range."""
+    """All captures in global order of URL key, time and page: the sorted runs of segments, merged range by range."""
     prepare(captures.sparkSession)
     runs = cut(captures)  # finding the ranges' borders reads the captures once more
-    ranges = runs.repartitionByRange("url_key", "captured", "page_id", "offset").sortWithinPartitions("archive", "url_key", "captured", "page_id", "offset")
+    ranges = runs.repartitionByRange(max(1, -(-runs.count() // RANGE_ROWS)), "url_key", "captured", "page_id", "offset")
+    ranges = ranges.sortWithinPartitions("run", "place")  # a run's captures come together again, in the order they were written in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, list[pa.RecordBatch]] = {}
         for b in batches:
-            names = b.column(8).to_pylist()
+            names = b.column(11).to_pylist()
             begin = 0
             for k in range(1, len(names) + 1):
                 if k == len(names) or names[k] != names[begin]:
@@ -224,4 +229,4 @@ def merged(captures: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), _KINDS)], names=_NAMES)
 
-    return ranges.mapInArrow(run, _CAPTURE)
+    return ranges.mapInArrow(run, _CAPTURE).drop("run", "place")
