@@ -22,8 +22,8 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -181,15 +181,19 @@ def edited_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     n = docs.count()
     parts = max(1, min(RANGES, n // RANGE_ROWS))
     cuts = rows.agg(F.max("place").alias("top"), F.percentile_approx("place", [k / parts for k in range(1, parts)] or [0.5], 100 * RANGES if parts > 1000 else 10_000).alias("cuts")).first()
-    # each range begins with a key that exists; ranges and rows run downwards, so places are negated: they have to rise
-    begins = sorted({-float(x) for x in [cuts["top"], *(cuts["cuts"] if parts > 1 else [])]}) if n else [0.0]
-    last = len(begins) - 1
-    down = rows.withColumn("down", -F.col("place").cast("double"))
-    split = Bucketizer(splits=[*begins, float("inf")], inputCol="down", outputCol="range", handleInvalid="keep").transform(down).withColumn("range", F.col("range").cast("int"))
-    heads = F.col("down") == F.element_at(F.array(*map(F.lit, begins)), F.col("range") + 1)
-    before = F.when(F.col("range") > 0, F.col("range") - 1).otherwise(last)  # the first row of a range is also sent to the range before
+    tops = np.array(sorted({cuts["top"], *(cuts["cuts"] if parts > 1 else [])}) if n else [0], np.int64)  # each is a key that exists
+    last = len(tops) - 1
+
+    @F.pandas_udf("range int, head boolean")
+    def placed(places: pd.Series) -> pd.DataFrame:
+        x = places.to_numpy(np.int64)
+        at = np.searchsorted(tops, x)  # range k ends with the key tops[k]; ranges run upwards, rows down
+        return pd.DataFrame({"range": at.astype(np.int32), "head": tops[at] == x})
+
+    split = rows.withColumn("at", placed("place")).select("*", "at.range", "at.head").drop("at")
+    before = F.when(F.col("range") < last, F.col("range") + 1).otherwise(0)  # the first row of a range is also sent to the range before
     own = F.struct("range", F.lit(False).alias("first"))
-    sent = F.when(heads, F.array(own, F.struct(before.alias("range"), F.lit(True).alias("first")))).otherwise(F.array(own))
+    sent = F.when(F.col("head"), F.array(own, F.struct(before.alias("range"), F.lit(True).alias("first")))).otherwise(F.array(own))
     dealt = split.withColumn("to", F.explode(sent)).select("to.range", F.col("to.first").alias("first"), "place", F.xxhash64("text").alias("tie"), "key", "text")
     dealt = dealt.repartition("range").sortWithinPartitions("range", "first", F.desc("place"), "tie")
     names, kinds = [key, *[x for x, _ in _OUT]], [pa.int64(), *[t for _, t in _OUT]]
