@@ -86,9 +86,9 @@ ORACLE_SQL: dict[str, str] = {
         a AS (SELECT CASE WHEN max(share) / min(share) <= 1 THEN 1 ELSE greatest(0, 1 - ln({mixing.REPETITION_LIMIT}) / ln(max(share) / min(share))) END AS e FROM p),
         w AS (SELECT s, tokens, share, pow(share, e) / sum(pow(share, e)) OVER () AS weight FROM p, a), g AS (SELECT *, weight * max(tokens / weight) OVER () AS budget FROM w),
         k AS (SELECT s, block, sum(t) AS t FROM b GROUP BY s, block),
-        o AS (SELECT s, block, sum(t) OVER (PARTITION BY s ORDER BY md5('{mixing.SEED}|' || s || '|' || block), block ROWS UNBOUNDED PRECEDING) - t AS before FROM k),
-        r AS (SELECT b.*, sum(t) OVER (PARTITION BY s, block ORDER BY substr(draw, 13, 20), draw ROWS UNBOUNDED PRECEDING) - t AS at FROM b)
-        SELECT doc_id, source, t AS n_tokens, CAST(floor(round(budget / tokens, 9)) + CASE WHEN before + at < round(budget - floor(round(budget / tokens, 9)) * tokens, 3) THEN 1 ELSE 0 END AS BIGINT) AS copies,
+        o AS (SELECT s, block, sum(t) OVER (PARTITION BY s ORDER BY md5('{mixing.SEED}|' || s || '|' || block), block ROWS UNBOUNDED PRECEDING) - t AS gone FROM k),
+        r AS (SELECT b.*, sum(t) OVER (PARTITION BY s, block ORDER BY substr(draw, 13, 20), draw ROWS UNBOUNDED PRECEDING) - t AS place FROM b)
+        SELECT doc_id, source, t AS n_tokens, CAST(floor(round(budget / tokens, 9)) + CASE WHEN gone + place < round(budget - floor(round(budget / tokens, 9)) * tokens, 3) THEN 1 ELSE 0 END AS BIGINT) AS copies,
           round(share, 9) AS share, round(weight, 9) AS weight FROM r JOIN o USING (s, block) JOIN g USING (s)""",
     "op4_exact_dedup": """
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents)
