@@ -17,11 +17,7 @@ MICROS_PER_DAY = 86_400_000_000
 
 def rolling(df: DataFrame, keys: Sequence[str], order: str, frames: Mapping[str, tuple[int, int]], measures: Mapping[str, Column]) -> DataFrame:
     """df with ``<measure>_<frame>``: sums of measures over a RANGE frame of the ordering number, bounds included."""
-    out = {}
-    for f, (lo, hi) in frames.items():
-        w = Window.partitionBy(*keys).orderBy(order).rangeBetween(lo, hi)
-        out |= {f"{m}_{f}": F.sum(c).over(w) for m, c in measures.items()}
-    return df.withColumns(out)
+    return sums_before(df, df, keys, order, order, frames, measures)
 
 
 def _streams(targets: DataFrame, history: DataFrame, keys: Sequence[str], t: str, h: str, tie: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -51,11 +47,28 @@ def latest_set(history: DataFrame, targets: DataFrame, keys: Sequence[str], t: s
 def sums_before(targets: DataFrame, history: DataFrame, keys: Sequence[str], t: str, h: str, frames: Mapping[str, tuple[int, int]], measures: Mapping[str, Column]) -> DataFrame:
     """targets with ``<measure>_<frame>`` of the history rows whose time lies in [t + lo, t + hi]; NULL where there are none.
 
-    History is summed for each key and instant first, so hot keys shrink before the shuffle."""
-    small = history.groupBy(*keys, h).agg(*[F.sum(c).alias(m) for m, c in measures.items()])
-    both = _streams(targets, small, keys, t, h, [], list(measures))
-    made = rolling(both, [f"__k{i}" for i in range(len(keys))], "__t", frames, {m: F.col(f"__value.{m}") for m in measures}).where("__target is not null")
-    return made.select("__target.*", *[f"{m}_{f}" for f in frames for m in measures])
+    History is summed for each key and instant first, so hot keys shrink before the shuffle. A frame's sum is the running
+    sum at its end less that before its start: probes at both places stand in one stream with the history, so the work is
+    linear in rows however long the frames are. Measures are whole numbers, so the difference is exact."""
+    names = [f"__k{i}" for i in range(len(keys))]
+    counts = {f"{m}__n": F.count(c) for m, c in measures.items()}  # tells a sum of nothing from a sum of zeros
+    small = history.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(h).alias("__t")).agg(*[F.sum(c).alias(m) for m, c in measures.items()], *[c.alias(n) for n, c in counts.items()])
+    asked = targets.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(t).alias("__asked")).distinct()
+    ends = []
+    for f, (lo, hi) in frames.items():
+        bounds = [(hi, 1)] if lo <= Window.unboundedPreceding else [(hi, 1), (lo - 1, -1)]
+        ends += [F.struct((F.col("__asked") + F.lit(at)).alias("__t"), F.lit(f).alias("__frame"), F.lit(sign).alias("__sign")) for at, sign in bounds]
+    probes = asked.select(*names, "__asked", F.inline(F.array(*ends)))
+    w = Window.partitionBy(*names).orderBy("__t", F.col("__frame").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    columns = [*measures, *counts]
+    both = small.unionByName(probes, allowMissingColumns=True)
+    known = both.select(*names, "__asked", "__frame", "__sign", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(c) for c in columns]).where("__frame is not null")
+    at = lambda c, f: F.sum(F.when(F.col("__frame") == f, F.col("__sign") * F.col(c)))
+    found = known.groupBy(*names, "__asked").agg(*[F.when(at(f"{m}__n", f) > 0, at(m, f)).alias(f"{m}_{f}") for f in frames for m in measures])
+    same = F.lit(True)
+    for k, n in zip([*keys, t], [*names, "__asked"]):
+        same = same & targets[k].eqNullSafe(found[n])
+    return targets.join(found, same, "left").drop(*names, "__asked")
 
 
 def last_n(targets: DataFrame, history: DataFrame, keys: Sequence[str], t: str, h: str, n: int, values: Sequence[str], tie: Sequence[str] = ()) -> DataFrame:

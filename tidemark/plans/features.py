@@ -93,8 +93,8 @@ def starter_form(starts: DataFrame) -> DataFrame:
     t = asof.last_n(starts, history, ["player_id"], "start_us", "h_us", 5, ["h_day", *_PITCHING, "pitches"], ["event_id"])
     t = t.withColumn("recent", F.expr(f"filter(recent, r -> r.at >= start_us - {365 * DAY})"))
     year = F.year(F.timestamp_micros("start_us"))
-    season = asof.rolling(t.withColumn("year", year), ["player_id", "year"], "start_us", {"season": (-365 * DAY, -1)}, {c: F.col(c) for c in _PITCHING})
-    before = asof.rolling(season, ["player_id"], "start_us", {"365": (-365 * DAY, -1)}, {"outs": F.col("outs"), "starts": F.lit(1)})
+    season = asof.sums_before(t.withColumn("year", year), starts.withColumn("year", year), ["player_id", "year"], "start_us", "start_us", {"season": (-365 * DAY, -1)}, {c: F.col(c) for c in _PITCHING})
+    before = asof.sums_before(season, starts, ["player_id"], "start_us", "start_us", {"365": (-365 * DAY, -1)}, {"outs": F.col("outs"), "starts": F.lit(1)})
     lg = league(starts, "start_us", (-365 * DAY, -1))
     d = before.join(lg, "start_us", "left")
     five = {c: _summed("recent", c) for c in _PITCHING}
