@@ -222,3 +222,29 @@ def test_entry_without_llm():
     names = set(entry.queries())
     assert set(entry.oracle_sql()) <= names and len(names) > 60
     assert all(len(list(g)) == 1 for _, g in itertools.groupby(sorted(names)))
+
+
+def test_players_out_follow_earlier_moves_only(spark):
+    """A move on the day itself or later tells nothing; unknown before the archive's first move or without an established player."""
+    from tidemark.plans import features as X
+
+    bat = {"ab": 300, "d2": 0, "d3": 0, "bhr": 0, "ubb": 0, "ibb": 0, "so": 0, "bhbp": 0, "sf": 0, "sh": 0}
+    lines = spark.createDataFrame([{"team": 1, "player_id": p, "start_day": 100, "h": h, **bat, "ab": ab} for p, h, ab in ((1, 90, 300), (2, 80, 300), (3, 70, 300), (4, 50, 60))])
+    moves = spark.createDataFrame([(1, 99, 9, -1), (2, 110, 7, -1), (2, 110, 8, 1), (1, 120, 10, 1), (3, 101, 11, 1)], "player_id long, at_day long, txn_id long, effect int")
+    targets = spark.createDataFrame([(d, 1, True, d) for d in (100, 101, 110, 111, 120, 121, 465, 466)] + [(7, 2, False, 111)], "event_id long, team long, is_home boolean, start_day long")
+    got = {r.event_id: r.star_out_flag for r in X.star_out(targets, lines, moves).collect()}
+    assert got == {100: None, 101: 0, 110: 0, 111: 1, 120: 1, 121: 2, 465: 2, 466: None, 7: None}
+    pen = spark.createDataFrame([(1, p, 100, outs, 10 * outs, k, 1, 0, 1, 3, None) for p, outs, k in ((1, 12, 9), (2, 9, 6), (3, 8, 8), (5, 30, 2), (6, 30, 1))], "team long, player_id long, start_day long, outs long, bf long, k long, bb long, hbp long, hr long, fly long, sac long")
+    got = {r.event_id: r.bullpen_il_depletion for r in X.bullpen_out(targets.where("start_day < 140"), pen, moves).collect()}
+    assert got == {100: None, 101: 0, 110: 0, 111: 1, 120: 1, 121: 2, 7: None}
+
+
+def test_market_prior_of_the_last_pair_before_the_start(spark):
+    """F32: captures after the start and soft books don't count; a last pair without a margin leaves none."""
+    from tidemark.plans import features as X
+
+    rows = [(1, "b", "home", 1.9, 10, True), (1, "b", "away", 1.9, 10, True), (1, "a", "home", 1.5, 10, True), (1, "a", "away", 2.5, 10, True), (1, "a", "home", 1.1, 12, True), (1, "a", "away", 9.0, 30, True), (1, "s", "home", 1.2, 11, False), (1, "s", "away", 3.0, 11, False)]
+    rows += [(2, "a", "home", 1.9, 5, True), (2, "a", "away", 1.9, 5, True), (2, "a", "home", 2.5, 6, True), (2, "a", "away", 2.5, 6, True)]
+    odds = spark.createDataFrame(rows, "event_id long, book string, side string, price double, captured long, is_sharp boolean")
+    got = [tuple(r) for r in X.market_prior(odds, spark.createDataFrame([(1, 20), (2, 20)], "event_id long, start long")).collect()]
+    assert got == [(1, 10, "a", 0.625)]

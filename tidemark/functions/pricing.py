@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.metrics import rounded
+
 #: Publication thresholds and stake policy.
 MIN_EDGE, MIN_EV, MAX_ECE = 0.02, 0.02, 0.03
 KELLY_FRACTION, STAKE_CAP = 0.125, 0.02
@@ -86,8 +88,8 @@ def haircut(close_fair, points=0.005) -> Column:
 
 
 def no_bet_reasons(p, p_fair, d, captured_age_s, ece, lineup_known, max_age_s: float = 900) -> Column:
-    """Why a side isn't published, in a fixed order; empty if it is."""
-    e, v = edge(p, p_fair), ev_per_unit(p, d)
+    """Why a side isn't published, in a fixed order; empty if it is. A value at its minimum, but for a double's last digits, is enough."""
+    e, v = rounded(edge(p, p_fair), 9), rounded(ev_per_unit(p, d), 9)
     named = (
         (p_fair_missing := _col(p_fair).isNull(), "no_reference_price"),
         (_col(captured_age_s) > max_age_s, "stale_price"),

@@ -48,27 +48,30 @@ def sums_before(targets: DataFrame, history: DataFrame, keys: Sequence[str], t:
     """targets with ``<measure>_<frame>`` of the history rows whose time lies in [t + lo, t + hi]; NULL where there are none.
 
     History is summed for each key and instant first, so hot keys shrink before the shuffle. A frame's sum is the running
-    sum at its end less that before its start: probes at both places stand in one stream with the history, so the work is
-    linear in rows however long the frames are. Measures are whole numbers, so the difference is exact."""
+    sum at its end less that before its start: each target sends probes to both places of the history's stream, so the work is
+    linear in rows however long the frames are, and both inputs are read once. Measures are whole numbers, so the difference is exact."""
     names = [f"__k{i}" for i in range(len(keys))]
     counts = {f"{m}__n": F.count(c) for m, c in measures.items()}  # tells a sum of nothing from a sum of zeros
     small = history.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(h).alias("__t")).agg(*[F.sum(c).alias(m) for m, c in measures.items()], *[c.alias(n) for n, c in counts.items()])
-    asked = targets.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(t).alias("__asked")).distinct()
-    ends = []
-    for f, (lo, hi) in frames.items():
-        bounds = [(hi, 1)] if lo <= Window.unboundedPreceding else [(hi, 1), (lo - 1, -1)]
-        ends += [F.struct((F.col("__asked") + F.lit(at)).alias("__t"), F.lit(f).alias("__frame"), F.lit(sign).alias("__sign")) for at, sign in bounds]
-    probes = asked.select(*names, "__asked", F.inline(F.array(*ends)))
-    w = Window.partitionBy(*names).orderBy("__t", F.col("__frame").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    bounds = {f: (hi, None if lo <= Window.unboundedPreceding else lo - 1) for f, (lo, hi) in frames.items()}
+    places = sorted({x for two in bounds.values() for x in two if x is not None})
+    own = targets.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(t).alias("__asked"), F.struct(*targets.columns).alias("__target"))
+    kind = own.schema["__target"].dataType
+    rows = [F.struct(F.col("__asked").cast("bigint").alias("__t"), F.lit(None).cast("bigint").alias("__place"), F.col("__target").alias("__target"))]
+    rows += [F.struct((F.col("__asked") + F.lit(x)).cast("bigint").alias("__t"), F.lit(x).cast("bigint").alias("__place"), F.lit(None).cast(kind).alias("__target")) for x in places]
+    both = small.unionByName(own.select(*names, "__asked", F.inline(F.array(*rows))), allowMissingColumns=True)
+    up_to = Window.partitionBy(*names).orderBy("__t", F.col("__place").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     columns = [*measures, *counts]
-    both = small.unionByName(probes, allowMissingColumns=True)
-    known = both.select(*names, "__asked", "__frame", "__sign", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(c) for c in columns]).where("__frame is not null")
-    at = lambda c, f: F.sum(F.when(F.col("__frame") == f, F.col("__sign") * F.col(c)))
-    found = known.groupBy(*names, "__asked").agg(*[F.when(at(f"{m}__n", f) > 0, at(m, f)).alias(f"{m}_{f}") for f in frames for m in measures])
-    same = F.lit(True)
-    for k, n in zip([*keys, t], [*names, "__asked"]):
-        same = same & targets[k].eqNullSafe(found[n])
-    return targets.join(found, same, "left").drop(*names, "__asked")
+    run = both.select(*names, "__asked", "__place", "__target", *[F.coalesce(F.sum(c).over(up_to), F.lit(0)).alias(c) for c in columns]).where("__asked is not null")
+    whole = Window.partitionBy(*names, "__asked")
+    run = run.select("__place", "__target", *[F.max(F.when(F.col("__place") == x, F.struct(*columns))).over(whole).alias(f"__p{i}") for i, x in enumerate(places)]).where("__target is not null")
+
+    def between(c: str, f: str) -> Column:
+        hi, below = bounds[f]
+        end = F.col(f"__p{places.index(hi)}")[c]
+        return end if below is None else end - F.col(f"__p{places.index(below)}")[c]
+
+    return run.select("__target.*", *[F.when(between(f"{m}__n", f) > 0, between(m, f)).alias(f"{m}_{f}") for f in frames for m in measures])
 
 
 def last_n(targets: DataFrame, history: DataFrame, keys: Sequence[str], t: str, h: str, n: int, values: Sequence[str], tie: Sequence[str] = ()) -> DataFrame:

@@ -12,6 +12,8 @@ from tidemark.plans import features as X
 from tidemark.plans.registry import query
 
 DAY = B.DAY_US
+#: The day of a move: the month of the driver's events, which stand for moves, is spread over five of the contests' years.
+MOVE_DAY = "(({day}) - 19723) * 60 + 9500"
 
 
 @query(
@@ -227,40 +229,48 @@ def j8_availability_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("player_id", "start_day", F.when(F.lit(first) < F.col("start_day"), F.col("is_out")).alias("is_out"))
 
 
+#: Of the days' best players b (team, start_day, player_id): how many are out, by window joins over the moves before the day.
+_OUT_OF = """, mv AS (SELECT user_id AS player_id, {day} AS d, CAST(event_id AS BIGINT) AS id, event_type FROM events), first_move AS (SELECT min(d) AS first_day FROM mv),
+    pd AS (SELECT DISTINCT player_id, start_day FROM b), lm AS (SELECT pd.player_id, pd.start_day, arg_max(m.event_type, m.d * 1000000000 + m.id) = 'error' AS is_out FROM pd JOIN mv m ON m.player_id = pd.player_id AND m.d < pd.start_day AND m.event_type IN ('error', 'signup') GROUP BY ALL),
+    o AS (SELECT b.team, b.start_day, count_if(coalesce(is_out, false)) AS n FROM b LEFT JOIN lm USING (player_id, start_day) GROUP BY ALL)
+    SELECT s.event_id, s.team, s.is_home, CASE WHEN first_day < s.start_day THEN n END AS {name} FROM sides s CROSS JOIN first_move LEFT JOIN o ON o.team = s.team AND o.start_day = s.start_day"""
+
+_SQL_DAY = MOVE_DAY.format(day="CAST(ts AS DATE) - DATE '1970-01-01'")
+
+
+def _moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archive of moves with days in the contests' years."""
+    return B.entity(spark, sf_dir, "transactions").withColumn("at_day", F.expr(MOVE_DAY.format(day="at_day")))
+
+
 @query(
-    _BATTERS
-    + """, r AS (SELECT *, row_number() OVER (PARTITION BY event_id, is_home ORDER BY batter_woba DESC, CAST(player_id AS VARCHAR)) AS rn FROM bat WHERE den_all >= 60 AND batter_woba IS NOT NULL),
-    o AS (SELECT CAST(event_id AS BIGINT) AS txn_id, user_id AS player_id, CAST(ts AS DATE) - DATE '1970-01-01' AS d, CASE WHEN event_type = 'error' THEN 1 ELSE -1 END AS effect FROM events WHERE event_type IN ('error', 'signup')),
-    l AS (SELECT player_id, arg_max(effect, d * 1000000000 + txn_id) > 0 AS is_out FROM o GROUP BY player_id)
-    SELECT event_id, team, is_home, count_if(rn <= 2) AS n_stars, CAST(count_if(rn <= 2 AND coalesce(is_out, false)) > 0 AS INTEGER) AS star_out_flag FROM r LEFT JOIN l USING (player_id) GROUP BY ALL"""
+    B.cte("batting", "sides")
+    + f""", bl AS (SELECT team, player_id, start_day, sum(CAST(round(({_NUM}) * 1000) AS BIGINT)) AS num, sum({_DEN}) AS den FROM batting GROUP BY ALL), td AS (SELECT DISTINCT team, start_day FROM sides),
+    y AS (SELECT td.team, td.start_day, player_id, sum(num) AS num, sum(den) AS den FROM td JOIN bl ON bl.team = td.team AND bl.start_day BETWEEN td.start_day - 365 AND td.start_day - 1 GROUP BY ALL HAVING sum(den) >= 200),
+    b AS (SELECT team, start_day, player_id FROM y QUALIFY row_number() OVER (PARTITION BY team, start_day ORDER BY (num / 1000 + 32.0) / (den + 100) DESC, CAST(player_id AS VARCHAR)) <= 2)"""
+    + _OUT_OF.format(name="star_out_flag", day=_SQL_DAY)
 )
 def f25_star_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Is one of a team's two best batters (enough appearances, ties by id) out by the last move."""
-    ranked = asof.first_by(batters(spark, sf_dir).where("den_all >= 60 and batter_woba is not null"), ["event_id", "is_home"], [F.desc("batter_woba"), F.col("player_id").cast("string")], 2)
-    txns = B.entity(spark, sf_dir, "transactions").where("effect is not null")
-    last = txns.groupBy("player_id").agg((F.max_by("effect", F.struct("at_day", "txn_id")) > 0).alias("is_out"))
-    joined = ranked.join(last, "player_id", "left")
-    out = F.count_if(F.coalesce("is_out", F.lit(False)))
-    return joined.groupBy("event_id", "team", "is_home").agg(F.count(F.lit(1)).alias("n_stars"), (out > 0).cast("int").alias("star_out_flag"))
+    """How many of a team's two best batters of the year are out on the day; NULL where that isn't known."""
+    targets = B.sides(spark, sf_dir).select("event_id", "team", "is_home", "start_day")
+    return X.star_out(targets, B.batting(spark, sf_dir), _moves(spark, sf_dir)).drop("start_day")
 
 
 @query(
-    B.cte("logs")
+    B.cte("logs", "sides")
     + _STARTERS
-    + """, r AS (SELECT team, player_id, sum(outs) AS outs, sum(k) AS k, sum(bb) AS bb, sum(hbp) AS hbp, sum(hr) AS hr, sum(coalesce(fly, 0) + coalesce(sac, 0) + hr) AS fb FROM relief GROUP BY ALL HAVING sum(outs) >= 9),
-    x AS (SELECT *, row_number() OVER (PARTITION BY team ORDER BY round((13 * fb * 0.1 + 3 * (bb + hbp) - 2 * k + 15 * 3.1) / (outs / 3 + 15), 4), CAST(player_id AS VARCHAR)) AS rn FROM r),
-    o AS (SELECT event_id AS txn_id, user_id AS player_id, CAST(ts AS DATE) - DATE '1970-01-01' AS d, CASE WHEN event_type = 'error' THEN 1 ELSE -1 END AS effect FROM events WHERE event_type IN ('error', 'signup')),
-    l AS (SELECT player_id, arg_max(effect, d * 1000000000 + txn_id) > 0 AS is_out FROM o GROUP BY player_id)
-    SELECT team, count(*) AS n_arms, count_if(coalesce(is_out, false)) AS bullpen_il_depletion FROM x LEFT JOIN l USING (player_id) WHERE rn <= 3 GROUP BY team"""
+    + """, rl AS (SELECT team, player_id, start_day, sum(outs) AS outs, sum(bf) AS bf, sum(k) AS k, sum(bb) AS bb, sum(hbp) AS hbp, sum(hr) AS hr, sum(coalesce(fly, 0) + coalesce(sac, 0) + hr) AS fb FROM relief GROUP BY ALL), td AS (SELECT DISTINCT team, start_day FROM sides),
+    ld AS (SELECT start_day, sum(outs) AS outs, sum(bf) AS bf, sum(k) AS k, sum(bb) AS bb, sum(hbp) AS hbp, sum(hr) AS hr, sum(fb) AS fb FROM rl GROUP BY ALL),
+    ly AS (SELECT t.start_day, sum(outs) AS outs, sum(k) AS k, sum(bb) AS bb, sum(hbp) AS hbp, sum(hr) AS hr, sum(fb) AS fb FROM (SELECT DISTINCT start_day FROM td) t JOIN ld ON ld.start_day BETWEEN t.start_day - 365 AND t.start_day - 1 GROUP BY ALL HAVING sum(outs) > 0 AND sum(fb) > 0),
+    m AS (SELECT td.team, td.start_day, player_id, sum(outs) AS outs, sum(k) AS k, sum(bb) AS bb, sum(hbp) AS hbp, sum(hr) AS hr, sum(fb) AS fb FROM td JOIN rl ON rl.team = td.team AND rl.start_day BETWEEN td.start_day - 30 AND td.start_day - 1 GROUP BY ALL HAVING sum(outs) >= 9),
+    x AS (SELECT m.team, m.start_day, player_id, round((13 * m.fb * (ly.hr / ly.fb) + 3 * (m.bb + m.hbp) - 2 * m.k + 15 * ((13 * ly.hr + 3 * (ly.bb + ly.hbp) - 2 * ly.k) / (ly.outs / 3))) / (m.outs / 3 + 15), 9) AS xfip FROM m JOIN ly USING (start_day)),
+    b AS (SELECT team, start_day, player_id FROM x QUALIFY row_number() OVER (PARTITION BY team, start_day ORDER BY xfip, CAST(player_id AS VARCHAR)) <= 3)"""
+    + _OUT_OF.format(name="bullpen_il_depletion", day=_SQL_DAY)
 )
 def f16_bullpen_depletion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F16: how many of a team's three best relievers (9 outs or more, lower is better, ties by id) are out."""
-    relief = X.with_fly_balls(starters(spark, sf_dir, first=False))
-    arms = relief.groupBy("team", "player_id").agg(*[F.sum(c).alias(c) for c in ("outs", "k", "bb", "hbp", "hr", "fb")]).where("outs >= 9")
-    arms = arms.withColumn("xfip", rounded((13 * F.col("fb") * 0.1 + 3 * (F.col("bb") + F.col("hbp")) - 2 * F.col("k") + 15 * 3.1) / (F.col("outs") / 3 + 15)))
-    best = asof.first_by(arms, ["team"], ["xfip", F.col("player_id").cast("string")], 3)
-    last = B.entity(spark, sf_dir, "transactions").where("effect is not null").groupBy("player_id").agg((F.max_by("effect", F.struct("at_day", "txn_id")) > 0).alias("is_out"))
-    return best.join(last, "player_id", "left").groupBy("team").agg(F.count(F.lit(1)).alias("n_arms"), F.count_if(F.coalesce("is_out", F.lit(False))).alias("bullpen_il_depletion"))
+    """F16: how many of a team's three best relievers of the month are out on the day; NULL where that isn't known."""
+    targets = B.sides(spark, sf_dir).select("event_id", "team", "is_home", "start_day")
+    return X.bullpen_out(targets, starters(spark, sf_dir, first=False), _moves(spark, sf_dir)).drop("start_day")
 
 
 @query(
@@ -306,21 +316,16 @@ def f29_f30_snapshot_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vec.groupBy(X.canonical(["games_30d", "runs_pg_30d"]).alias("features_hash")).agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"))
 
 
-_PAIRS = """, paired AS (SELECT event_id, captured_at_us // 3600000000 AS hour, book, max(price) FILTER (WHERE side = 'home') AS home, max(price) FILTER (WHERE side = 'away') AS away, max(captured_at_us) AS at FROM odds GROUP BY ALL)"""
-
-
 @query(
-    B.cte("odds")
-    + _PAIRS
-    + """, c AS (SELECT *, 1 / home + 1 / away AS overround, row_number() OVER (PARTITION BY event_id ORDER BY hour DESC, book) AS rn FROM paired WHERE home IS NOT NULL AND away IS NOT NULL AND 1 / home + 1 / away >= 1)
-    SELECT event_id, hour, book, round((1 / home) / overround, 6) AS p_home FROM c WHERE rn = 1"""
+    """WITH o AS (SELECT user_id AS event_id, event_type AS book, event_id % 2 = 0 AS home, (10100 + CAST(round(value * 100) AS BIGINT)) / 10000 AS price, epoch_us(ts) // 86400000000 AS captured FROM events),
+    s AS (SELECT event_id, max(captured) - event_id % 10 AS start FROM o GROUP BY event_id),
+    p AS (SELECT event_id, captured, book, max(price) FILTER (WHERE home) AS h, max(price) FILTER (WHERE NOT home) AS a FROM o JOIN s USING (event_id) WHERE book <> 'view' AND captured <= start GROUP BY ALL),
+    l AS (SELECT DISTINCT ON (event_id) * FROM p WHERE h IS NOT NULL AND a IS NOT NULL ORDER BY event_id, captured DESC, book)
+    SELECT event_id, captured, book, round((1 / h) / (1 / h + 1 / a), 6) AS p_home FROM l WHERE 1 / h + 1 / a >= 1"""
 )
 def f32_market_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last complete pair of prices without its margin; pairs below 1 are passed over, ties go by book."""
-    from tidemark.functions.pricing import no_vig_two_way
-
-    odds = B.entity(spark, sf_dir, "odds")
-    pair = odds.groupBy("event_id", F.expr("captured_at_us div 3600000000").alias("hour"), "book").agg(*[F.max(F.when(F.col("side") == s, F.col("price"))).alias(s) for s in ("home", "away")])
-    fair = pair.where("home is not null and away is not null").withColumn("f", no_vig_two_way("home", "away")).where("f.overround is not null")
-    best = fair.groupBy("event_id").agg(F.max_by(F.struct("hour", "book", F.col("f.p_a").alias("p")), F.struct("hour", F.expr("-ascii(book)"), F.expr("-ascii(substring(book, 2))"))).alias("b"))
-    return best.select("event_id", "b.hour", "b.book", rounded(F.col("b.p"), 6).alias("p_home"))
+    """The last complete pair of a sharp book's prices at or before the start, without its margin. A capture is
+    a day here (the driver's instants never coincide), the sharp books are all but one, a start lies some days before the last capture."""
+    odds = B.entity(spark, sf_dir, "odds").select("event_id", "book", "side", "price", F.expr("captured_at_us div 86400000000").alias("captured"), (F.col("book") != "view").alias("is_sharp"))
+    starts = odds.groupBy("event_id").agg((F.max("captured") - F.col("event_id") % 10).alias("start"))
+    return X.market_prior(odds, starts)

@@ -227,6 +227,64 @@ def out_as_of(targets: DataFrame, transactions: DataFrame) -> DataFrame:
     return t.withColumn("is_out", F.coalesce(F.col("effect") > 0, F.lit(False))).drop("effect")
 
 
+#: How many of a team's best count, what makes one established, and the days that are looked at.
+STARS, STAR_PA, STAR_DAYS = 2, 200, 365
+ARMS, ARM_OUTS, ARM_DAYS = 3, 9, 30
+
+
+def _roster(asked: DataFrame, lines: DataFrame, days: int) -> DataFrame:
+    """asked (team, start_day) with each player who may have a line for the team in the days before: by cells of days, no range join."""
+    cell = F.expr(f"start_day div {days}")
+    seen = lines.select("team", "player_id", F.explode(F.array(cell, cell + 1)).alias("cell")).distinct()
+    return asked.withColumn("cell", cell).join(seen, ["team", "cell"]).drop("cell")
+
+
+def _out_of(best: DataFrame, targets: DataFrame, transactions: DataFrame, name: str) -> DataFrame:
+    """targets with how many of their day's best players are out; NULL without one, or before the first move ever told."""
+    first = transactions.agg(F.min("at_day")).first()[0]  # one number: since when the archive is alive
+    days = out_as_of(best, transactions).groupBy("team", "start_day").agg(F.count_if("is_out").alias("__out"))
+    return targets.join(days, ["team", "start_day"], "left").withColumn(name, F.when(F.lit(first) < F.col("start_day"), F.col("__out"))).drop("__out")
+
+
+def star_out(targets: DataFrame, lines: DataFrame, transactions: DataFrame) -> DataFrame:
+    """F25 for each (event, team, day): how many of the team's two best batters of the year before (200 appearances or more, ties by
+    id) are out by moves strictly before the day."""
+    num, den = woba_parts()
+    parts = lines.select("team", "player_id", "start_day", F.round(num * 1000).cast("bigint").alias("num"), den.alias("den"))
+    asked = _roster(targets.select("team", "start_day").distinct(), parts, STAR_DAYS)
+    year = asof.sums_before(asked, parts, ["team", "player_id"], "start_day", "start_day", {"y": (-STAR_DAYS, -1)}, {"num": F.col("num"), "den": F.col("den")})
+    woba = (F.col("num_y") / 1000 + BATTER_PRIOR * LEAGUE_WOBA) / (F.col("den_y") + BATTER_PRIOR)
+    best = asof.first_by(year.where(F.col("den_y") >= STAR_PA).withColumn("woba", woba), ["team", "start_day"], [F.desc("woba"), F.col("player_id").cast("string")], STARS)
+    return _out_of(best.select("team", "start_day", "player_id"), targets, transactions, "star_out_flag")
+
+
+def bullpen_out(targets: DataFrame, relief: DataFrame, transactions: DataFrame) -> DataFrame:
+    """F16 for each (event, team, day): how many of the team's three best relievers of the 30 days before (9 outs or more, lower is
+    better, ties by id) are out by moves strictly before the day; NULL also while the league has no relief lines."""
+    relief = with_fly_balls(relief)
+    days = targets.select("team", "start_day").distinct()
+    counts = ("outs", "k", "bb", "hbp", "hr", "fb")
+    month = asof.sums_before(_roster(days, relief, ARM_DAYS), relief, ["team", "player_id"], "start_day", "start_day", {"m": (-ARM_DAYS, -1)}, {c: F.col(c) for c in counts})
+    arms = day_league(month.where(F.col("outs_m") >= ARM_OUTS), relief).where("lg_core is not null")
+    arms = arms.withColumn("xfip", rounded(shrunk_xfip({c: F.col(f"{c}_m") for c in counts}), 9))
+    best = asof.first_by(arms, ["team", "start_day"], ["xfip", F.col("player_id").cast("string")], ARMS)
+    return _out_of(best.select("team", "start_day", "player_id"), targets, transactions, "bullpen_il_depletion")
+
+
+def market_prior(odds: DataFrame, starts: DataFrame) -> DataFrame:
+    """The home side's probability by the last complete pair of a sharp book's prices at or before the start, without its margin.
+
+    odds: event_id, book, side, price, captured, is_sharp (of one market); starts: event_id, start. Both prices are of one capture; of
+    equal captures the first book by name counts; if two prices leave no margin the event has no prior."""
+    from tidemark.functions.pricing import no_vig_two_way
+
+    known = odds.where("is_sharp").join(starts.select("event_id", "start"), "event_id").where("captured <= start")
+    pairs = known.groupBy("event_id", "captured", "book").agg(*[F.max(F.when(F.col("side") == s, F.col("price"))).alias(s) for s in ("home", "away")]).where("home is not null and away is not null")
+    last = pairs.groupBy("event_id").agg(F.min_by(F.struct("captured", "book", "home", "away"), F.struct(-F.col("captured"), "book")).alias("b")).select("event_id", "b.*")
+    fair = last.withColumn("f", no_vig_two_way("home", "away")).where("f.overround is not null")
+    return fair.select("event_id", "captured", "book", rounded(F.col("f.p_a"), 6).alias("p_home"))
+
+
 def canonical(features: list[str]) -> Column:
     """SHA-256 of the vector's canonical JSON: fields in order of name, NULLs kept, numbers as decimal strings."""
     fields = [F.coalesce(F.col(c).cast("decimal(18,4)").cast("string"), F.lit("null")) for c in sorted(features)]

@@ -73,14 +73,10 @@ def r3_results_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.results(_schedule(spark, sf_dir))
 
 
-#: The rows that the SQL of r4, r5 and r6 is stated for; their _all forms read every log.
-_STATED = "event_id % 7 = 0 and event_id < 40000"
-
-
-def _boxscores(spark: SparkSession, sf_dir: str, rows: str = _STATED) -> DataFrame:
+def _boxscores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One payload a contest with its lines as players; some lines lack a count or contradict themselves."""
     c = F.col
-    lines = B.logs(spark, sf_dir).where(rows)
+    lines = B.logs(spark, sf_dir)
     i = lambda x: x.cast("int")
     bat = F.struct(i(c("outs")).alias("atBats"), F.when(c("player_id") % 9 != 0, i(c("k"))).alias("hits"), i(c("bb") % 4).alias("doubles"), i(c("hr") % 2).alias("homeRuns"), i(c("bb")).alias("baseOnBalls"), i(c("k") % 5).alias("strikeOuts"))
     pit = F.struct(F.when(c("player_id") % 4 == 0, 1).otherwise(0).alias("gamesStarted"), F.concat((c("outs") / 3).cast("int").cast("string"), F.lit("."), (c("outs") % 3).cast("string")).alias("inningsPitched"), F.when(c("player_id") % 8 != 0, i(c("bf"))).alias("battersFaced"), i(c("k")).alias("strikeOuts"), i(c("bb")).alias("baseOnBalls"), i(c("hr")).alias("homeRuns"))
@@ -92,7 +88,7 @@ def _boxscores(spark: SparkSession, sf_dir: str, rows: str = _STATED) -> DataFra
     return games.select(c("event_id").alias("game"), F.concat(F.lit('{"teams":{'), part("home", c("h")), F.lit(","), part("away", c("a")), F.lit("}}")).alias("json"))
 
 
-_BOX = B.cte("logs") + ", box AS (SELECT *, row_number() OVER (PARTITION BY event_id, is_home ORDER BY player_id) AS place FROM logs WHERE event_id % 7 = 0 AND event_id < 40000)"
+_BOX = B.cte("logs") + ", box AS (SELECT *, row_number() OVER (PARTITION BY event_id, is_home ORDER BY player_id) AS place FROM logs)"
 
 
 def _batting(boxscores: DataFrame) -> DataFrame:
@@ -111,12 +107,6 @@ def r5_boxscore_batting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _batting(_boxscores(spark, sf_dir))
 
 
-@query()
-def r5_boxscore_batting_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """r5_boxscore_batting over every log."""
-    return _batting(_boxscores(spark, sf_dir, "true"))
-
-
 def _pitching(boxscores: DataFrame) -> DataFrame:
     rows, _ = feeds.pitching(boxscores)
     return rows.select("game", "person", "is_home", "is_starter", "outs_recorded", "hand")
@@ -133,12 +123,6 @@ def r4_boxscore_pitching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pitching(_boxscores(spark, sf_dir))
 
 
-@query()
-def r4_boxscore_pitching_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """r4_boxscore_pitching over every log."""
-    return _pitching(_boxscores(spark, sf_dir, "true"))
-
-
 def _lineups(boxscores: DataFrame) -> DataFrame:
     rows, left = feeds.lineups(boxscores)
     partial = left.where("reason like 'partial%'").select("game", F.lit(None).cast("int").alias("person"), F.lit(None).cast("int").alias("batting_order"), F.concat("side", F.lit(":"), "reason").alias("state"))
@@ -156,12 +140,6 @@ def r6_boxscore_lineup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lineups(_boxscores(spark, sf_dir))
 
 
-@query()
-def r6_boxscore_lineup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """r6_boxscore_lineup over every log."""
-    return _lineups(_boxscores(spark, sf_dir, "true"))
-
-
 @query(
     """SELECT CASE WHEN event_id % 11 <> 0 THEN event_id END AS id, CASE WHEN event_id % 11 = 0 THEN 'without_id' WHEN event_id % 13 = 0 THEN 'without_person:' || event_id WHEN event_id % 17 = 0 THEN 'without_date:' || event_id ELSE 'kept' END AS state,
       CASE WHEN event_id % 11 <> 0 AND event_id % 13 <> 0 AND event_id % 17 <> 0 THEN ts::DATE::VARCHAR END AS day FROM events"""
@@ -174,19 +152,17 @@ def r7_transactions_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("transaction_id").alias("id"), F.lit("kept").alias("state"), F.col("transaction_date").cast("string").alias("day")).unionByName(left.select("id", F.col("reason").alias("state"), F.lit(None).cast("string").alias("day")))
 
 
-def _resolved(spark: SparkSession, sf_dir: str, rows: str, actions: tuple[str, ...]) -> DataFrame:
+def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, c = F.col("o_orderkey"), F.col
-    base = table(spark, sf_dir, "orders").where(rows).select(o, (c("o_custkey") % 40).alias("home"), (c("o_custkey") % 7).alias("away"), F.unix_micros("o_orderdate").alias("start_us"))
+    base = table(spark, sf_dir, "orders").select(o, (c("o_custkey") % 40).alias("home"), (c("o_custkey") % 7).alias("away"), F.unix_micros("o_orderdate").alias("start_us"))
     events = base.select(o.alias("event_id"), "home", "away", "start_us", F.when(o % 3 == 1, F.concat(F.lit("id"), o.cast("string"))).when(o % 3 == 2, F.concat(F.lit("old"), o.cast("string"))).alias("odds_id"))
     feed = base.where("o_orderkey % 5 <> 0").select(F.concat(F.lit("id"), o.cast("string")).alias("feed_id"), "home", "away", (c("start_us") + (o % 4) * 60_000_000).alias("start_us"))
-    found = identity.resolve(feed, events)
-    n = lambda a: F.count_if(F.col("action") == a).alias(a)
-    return found.agg(*map(n, actions), F.count(F.lit(1)).alias("rows"))
+    return identity.resolve(feed, events)
 
 
 @query(
-    """WITH e AS (SELECT o_orderkey AS event_id, o_custkey % 40 AS home, o_custkey % 7 AS away, epoch_us(o_orderdate) AS s, CASE o_orderkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'id' || o_orderkey ELSE 'old' || o_orderkey END AS odds_id FROM orders WHERE o_orderkey < 3000),
-    f AS (SELECT 'id' || o_orderkey AS feed_id, o_custkey % 40 AS home, o_custkey % 7 AS away, epoch_us(o_orderdate) + (o_orderkey % 4) * 60000000 AS t FROM orders WHERE o_orderkey < 3000 AND o_orderkey % 5 <> 0),
+    """WITH e AS (SELECT o_orderkey AS event_id, o_custkey % 40 AS home, o_custkey % 7 AS away, epoch_us(o_orderdate) AS s, CASE o_orderkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'id' || o_orderkey ELSE 'old' || o_orderkey END AS odds_id FROM orders),
+    f AS (SELECT 'id' || o_orderkey AS feed_id, o_custkey % 40 AS home, o_custkey % 7 AS away, epoch_us(o_orderdate) + (o_orderkey % 4) * 60000000 AS t FROM orders WHERE o_orderkey % 5 <> 0),
     m AS (SELECT feed_id, event_id FROM f JOIN e ON odds_id = feed_id), r AS (SELECT * FROM f WHERE feed_id NOT IN (SELECT feed_id FROM m)),
     st AS (SELECT * FROM e WHERE odds_id IS NOT NULL AND odds_id NOT IN (SELECT feed_id FROM f)),
     n AS (SELECT r.feed_id, st.event_id, count(*) OVER (PARTITION BY r.feed_id) AS n, row_number() OVER (PARTITION BY st.event_id ORDER BY r.t, r.feed_id) AS turn FROM r JOIN st USING (home, away) WHERE abs(st.s - r.t) <= 300000000)
@@ -194,13 +170,14 @@ def _resolved(spark: SparkSession, sf_dir: str, rows: str, actions: tuple[str, .
 )
 def u9_u10_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feed rows resolved tier by tier; counts of the tiers that SQL can state."""
-    return _resolved(spark, sf_dir, "o_orderkey < 3000", ("matched", "restamped"))
+    n = lambda a: F.count_if(F.col("action") == a).alias(a)
+    return _resolved(spark, sf_dir).agg(n("matched"), n("restamped"), F.count(F.lit(1)).alias("rows"))
 
 
 @query()
 def u9_u10_identity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """u9_u10_identity over every order, with the count of each action."""
-    return _resolved(spark, sf_dir, "true", ("matched", "restamped", "merged", "created", "created_ambiguous"))
+    """What became of each feed row: its event and the tier that settled it."""
+    return _resolved(spark, sf_dir)
 
 
 @query(

@@ -165,13 +165,13 @@ def m4_m11_analyse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH e AS (SELECT event_id, (event_id % 100) / 100 AS p, CASE WHEN event_id % 7 <> 0 THEN 0.45 END AS fair, (10100 + CAST(round(value * 100) AS BIGINT)) / 10000 AS d, event_id % 1200 AS age, CASE WHEN event_id % 11 = 0 THEN 0.05 ELSE 0.01 END AS ece, event_id % 5 <> 0 AS known FROM events)
-    SELECT event_id, list_filter([CASE WHEN fair IS NULL THEN 'no_reference_price' END, CASE WHEN age > 900 THEN 'stale_price' END, CASE WHEN p - fair < 0.02 THEN 'edge_below_minimum' END, CASE WHEN p * (d - 1) - (1 - p) < 0.02 THEN 'ev_below_minimum' END, CASE WHEN ece > 0.03 THEN 'model_not_calibrated' END, CASE WHEN NOT known THEN 'lineup_unknown' END], lambda x: x IS NOT NULL) AS reasons,
-      round(greatest(0, coalesce(fair, 0.5) - 0.005), 6) AS close_after_haircut FROM e WHERE event_id % 100 <> 47"""
+    SELECT event_id, list_filter([CASE WHEN fair IS NULL THEN 'no_reference_price' END, CASE WHEN age > 900 THEN 'stale_price' END, CASE WHEN round(p - fair, 9) < 0.02 THEN 'edge_below_minimum' END, CASE WHEN round(p * (d - 1) - (1 - p), 9) < 0.02 THEN 'ev_below_minimum' END, CASE WHEN ece > 0.03 THEN 'model_not_calibrated' END, CASE WHEN NOT known THEN 'lineup_unknown' END], lambda x: x IS NOT NULL) AS reasons,
+      round(greatest(0, coalesce(fair, 0.5) - 0.005), 6) AS close_after_haircut FROM e"""
 )
 def m13_m15_no_bet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reasons against a bet, in order; the closing haircut."""
     c = F.col("event_id")
-    e = table(spark, sf_dir, "events").where(c % 100 != 47).select(c, ((c % 100) / 100).alias("p"), F.when(c % 7 != 0, F.lit(0.45)).alias("fair"), ((10100 + F.round(F.col("value") * 100).cast("bigint")) / 10000).alias("d"), (c % 1200).alias("age"), F.when(c % 11 == 0, 0.05).otherwise(0.01).alias("ece"), (c % 5 != 0).alias("known"))
+    e = table(spark, sf_dir, "events").select(c, ((c % 100) / 100).alias("p"), F.when(c % 7 != 0, F.lit(0.45)).alias("fair"), ((10100 + F.round(F.col("value") * 100).cast("bigint")) / 10000).alias("d"), (c % 1200).alias("age"), F.when(c % 11 == 0, 0.05).otherwise(0.01).alias("ece"), (c % 5 != 0).alias("known"))
     return e.select("event_id", pricing.no_bet_reasons("p", "fair", "d", "age", "ece", "known").alias("reasons"), rounded(pricing.haircut(F.coalesce("fair", F.lit(0.5))), 6).alias("close_after_haircut"))
 
 
