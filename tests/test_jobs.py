@@ -62,3 +62,45 @@ def test_players_and_audit(spark):
     sides = jobs.analyse(spark, 2.0, 1.9, 0.6)
     assert [s["side"] for s in sides] == ["home", "away"] and sides[0]["publish"] is True and sides[1]["publish"] is False
     assert jobs.dimension(known.select(F.lit("x").alias("key")), spark.createDataFrame([("big_one",), ("x",)], "key string")).collect()[0].name == "Big One"
+
+
+def test_last_listing_wins(spark):
+    """A correction that lowers a score, an earlier start and an earlier date stand, in one payload and over payloads."""
+    game = lambda start, score: {"gamePk": 7, "gameDate": start, "status": {"abstractGameState": "Final"}, "teams": {"home": {"score": score}, "away": {"score": 2}}}
+    days = lambda *games: json.dumps({"dates": [{"games": [g]} for g in games]})
+    one = spark.createDataFrame([(days(game("2026-05-02T20:00:00Z", 9), game("2026-05-01T20:00:00Z", 3)), 1)], "json string, at int")
+    two = one.union(spark.createDataFrame([(days(game("2026-04-30T20:00:00Z", 1)), 2)], one.schema))
+    events = spark.createDataFrame([], "game_pk bigint, start timestamp, status string")
+    results = spark.createDataFrame([(7, 8, 8, None, None)], "game_pk bigint, home_score int, away_score int, f5_home_score int, f5_away_score int")
+    for payloads, day, score in ((one, 1, 3), (two, 30, 1)):
+        assert [r.start.day for r in jobs.sync_schedule(payloads, events, "at")[0].collect()] == [day]
+        assert [r.home_score for r in jobs.backfill_results(payloads, results, "at")[0].collect()] == [score]
+    move = lambda day: {"id": 1, "person": {"id": 2}, "date": day}
+    moves = spark.createDataFrame([(json.dumps({"transactions": [move("2026-05-09"), move("2026-05-03")]}),)], "json string")
+    known = feeds.transactions(moves)[0].withColumn("effect", F.lit(1)).limit(0)
+    table, _ = jobs.sync_transactions(moves, known)
+    assert [r.transaction_date for r in table.collect()] == [date(2026, 5, 3)]
+
+
+def test_hands_and_guard(spark):
+    from tidemark.operators import histories
+
+    people = spark.createDataFrame([(json.dumps({"people": [{"id": 1, "fullName": "One", "pitchHand": {"code": "R"}}, {"id": 2}, {"fullName": "No id"}]}),)], "json string")
+    known = spark.createDataFrame([(1, "person 1", None), (2, "Two", "L")], "person int, name string, hand string")
+    assert sorted(map(tuple, jobs.hands(people, known).collect())) == [(1, "One", "R"), (2, "Two", "L")]
+    kind = "pick_id int, status string, price double"
+    old = spark.createDataFrame([(1, "pending", 1.0), (2, "won", 1.0), (3, "won", None), (4, "lost", 2.0), (5, "won", 1.0)], kind)
+    new = spark.createDataFrame([(1, "won", 1.0), (2, "void", 1.0), (3, "won", None), (4, "lost", None), (6, "pending", 1.0)], kind)
+    assert dict(map(tuple, histories.guarded(old, new, "pick_id").collect())) == {1: "ok", 2: "transition", 3: "ok", 4: "immutable", 5: "deleted", 6: "inserted"}
+    maps = spark.createDataFrame([({"a": "1", "b": "2"}, {"b": "3", "c": None}), (None, {"x": "1"}), ({"a": "1"}, None)], "o map<string,string>, n map<string,string>")
+    assert [r[0] for r in maps.select(histories.merged_ids(F.col("o"), F.col("n"))).collect()] == [{"a": "1", "b": "3"}, {"x": "1"}, {"a": "1"}]
+
+
+def test_archive_days(spark):
+    from tidemark.operators import audit
+
+    day = 86_400_000_000
+    events = spark.createDataFrame([("a", day + 10), ("b", day + 20), ("c", 3 * day)], "event_id string, start long")
+    caps = spark.createDataFrame([("a", day), ("a", day + 10), ("b", day + 21), ("z", 5 * day)], "event_id string, at long")
+    got = {r.day.isoformat(): tuple(r)[1:] for r in audit.days(events, caps, ["event_id"], "start", "at", 10).collect()}
+    assert got == {"1970-01-02": (2, 1, 1, 3), "1970-01-04": (1, 0, 0, 0)}

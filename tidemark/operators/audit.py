@@ -36,6 +36,19 @@ def classes(events: DataFrame, captures: DataFrame, runs: DataFrame, keys: Seque
     return lit.join(priced, list(keys), "left").select(*keys, said.alias("class"))
 
 
+def days(events: DataFrame, captures: DataFrame, keys: Sequence[str], start: str, at: str, window: int) -> DataFrame:
+    """Of each UTC day with events their number, how many have a capture in [start - window, start], and the day's capture
+    runs (different minutes) and rows. events: keys, start; captures: keys, at (instants in micros). Both are summed by day before they meet."""
+    day = lambda c: F.date_from_unix_date(F.floor(F.col(c) / 86_400_000_000).cast("int"))
+    inside = F.col(at).between(F.col(start) - window, F.col(start))
+    priced = captures.select(*keys, at).join(events.select(*keys, start), list(keys)).where(inside).select(*keys).distinct().withColumn("__priced", F.lit(True))
+    by_day = events.join(priced, list(keys), "left").groupBy(day(start).alias("day")).agg(F.count(F.lit(1)).alias("events"), F.count_if("__priced").alias("events_with_pregame"))
+    minutes = captures.groupBy(F.floor(F.col(at) / 60_000_000).alias("__minute")).agg(F.count(F.lit(1)).alias("__n"), F.min(at).alias("__at"))
+    runs = minutes.groupBy(day("__at").alias("day")).agg(F.count(F.lit(1)).alias("capture_runs"), F.sum("__n").alias("snapshot_rows"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    return by_day.join(runs, "day", "left").select("day", "events", "events_with_pregame", zero("capture_runs"), zero("snapshot_rows"))
+
+
 def is_red(gapped: int, missed: int, orphans: int) -> bool:
     """Whether an audit asks for action: holes in priced events, misses or orphans; unpriced events alone don't."""
     return gapped > 0 or missed > 0 or orphans > 0

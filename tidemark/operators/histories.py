@@ -26,6 +26,29 @@ def appended(history: DataFrame, batch: DataFrame, keys: Sequence[str], value: s
     return joined.where(F.col("__any").isNull() | ~F.col(value).eqNullSafe(F.col("__latest"))).select(*batch.columns)
 
 
+def differs(old: Column, new: Column, fields: Sequence[str], free: Sequence[str] = ("status",)) -> Column:
+    """Whether two rows (structs) differ in any field but those that may change; NULL equals NULL."""
+    pinned = [f for f in fields if f not in free]
+    return ~F.struct(*[old[f].alias(f) for f in pinned]).eqNullSafe(F.struct(*[new[f].alias(f) for f in pinned]))
+
+
+def merged_ids(old: Column, new: Column) -> Column:
+    """A map of external ids with the other's entries put over it; a NULL map is an empty one, NULL values don't overwrite."""
+    empty = F.create_map().cast("map<string,string>")
+    put = F.map_filter(F.coalesce(new, empty), lambda k, v: v.isNotNull())
+    return F.map_concat(F.map_filter(F.coalesce(old, empty), lambda k, v: ~F.map_contains_key(put, k)), put)
+
+
+def guarded(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """What an append-only table with a status makes of an update: key and verdict (``ok``, ``deleted``, ``immutable`` for
+    any other change, ``transition`` for a status that leaves a final state; ``inserted`` for new rows)."""
+    fields = [c for c in old.columns if c != key]
+    both = old.select(key, F.struct(*fields).alias("o")).join(new.select(key, F.struct(*fields).alias("n")), key, "full")
+    o, n = F.col("o"), F.col("n")
+    settled = ~F.coalesce(allowed_transition(o["status"], n["status"]), F.lit(False))
+    return both.select(key, F.when(o.isNull(), "inserted").when(n.isNull(), "deleted").when(differs(o, n, fields), "immutable").when(settled, "transition").otherwise("ok").alias("verdict"))
+
+
 def allowed_transition(old: Column, new: Column) -> Column:
     """A pick leaves ``pending`` for a final state, and never that one."""
     return (old == "pending") & new.isin("won", "lost", "push", "void") | (old == new)

@@ -9,7 +9,7 @@ from tidemark.functions.metrics import rounded
 from tidemark.operators import asof
 from tidemark.plans import bindings as B
 from tidemark.plans import features as X
-from tidemark.plans.registry import query
+from tidemark.plans.registry import ORACLE, query
 
 DAY = B.DAY_US
 #: The day of a move: the month of the driver's events, which stand for moves, is spread over five of the contests' years.
@@ -329,3 +329,30 @@ def f32_market_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     odds = B.entity(spark, sf_dir, "odds").select("event_id", "book", "side", "price", F.expr("captured_at_us div 86400000000").alias("captured"), (F.col("book") != "view").alias("is_sharp"))
     starts = odds.groupBy("event_id").agg((F.max("captured") - F.col("event_id") % 10).alias("start"))
     return X.market_prior(odds, starts)
+
+
+def blocks(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """All blocks of the vector, by name."""
+    q = lambda f: f(spark, sf_dir)
+    sp, pen = q(f7_f12_starter_form), F.when(F.col("ip_expected").isNotNull(), 9 - F.col("ip_expected"))
+    return {
+        "form": q(f1_f4_rolling_form), "offense": q(f17_f19_offense), "split": q(f20_split_offense), "lineup": q(f23_lineup_projection), "stars": q(f25_star_out),
+        "starter": sp, "expected": sp.withColumn("bullpen_ip_expected", rounded(pen)), "bullpen": q(f13_f15_bullpen), "arms": q(f16_bullpen_depletion)}
+
+
+def _vector_sql() -> str:
+    """The vector by joining the SQL of its blocks."""
+    parts = {"form": "f1_f4_rolling_form", "offense": "f17_f19_offense", "split": "f20_split_offense", "lineup": "f23_lineup_projection", "stars": "f25_star_out", "starter": "f7_f12_starter_form", "bullpen": "f13_f15_bullpen", "arms": "f16_bullpen_depletion"}
+    value = lambda c: {"lineup_is_confirmed": "0", "bullpen_ip_expected": "round(9 - {s}starter.ip_expected, 4)"}.get(c)
+    shown = [f"{(value(c) or f'{{s}}{b}.{c}').format(s=s)} AS {side}_{c}" for side, s in (("home", "h_"), ("away", "a_")) for b, cols in X.BLOCKS.items() for c in cols]
+    joins = [f"LEFT JOIN {b} AS {s}{b} ON {s}{b}.event_id = g.event_id AND {'' if s == 'h_' else 'NOT '}{s}{b}.is_home" for s in ("h_", "a_") for b in parts]
+    ctes = ", ".join(f"{b} AS MATERIALIZED ({ORACLE[q]})" for b, q in parts.items())
+    games = f"g AS ({B.cte('contests')} SELECT * FROM contests WHERE status = 'final' AND home_score <> away_score)"
+    return f"WITH {ctes}, {games} SELECT g.event_id, year(g.start) AS season, CAST(g.home_score > g.away_score AS INTEGER) AS target, {', '.join(shown)} FROM g {' '.join(joins)}"
+
+
+@query(_vector_sql())
+def f28_full_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole vector of the moneyline: every block of both sides, with season and target."""
+    games = B.contests(spark, sf_dir).where("status = 'final'")
+    return X.training_frame(games, blocks(spark, sf_dir), "moneyline").drop("start")

@@ -285,6 +285,54 @@ def market_prior(odds: DataFrame, starts: DataFrame) -> DataFrame:
     return fair.select("event_id", "captured", "book", rounded(F.col("f.p_a"), 6).alias("p_home"))
 
 
+#: The vector's columns by block, of each side. The market of the first five innings leaves the bullpen out: it doesn't pitch then.
+BLOCKS = {
+    "form": ("games_30d", "win_pct_30d", "runs_pg_30d", "runs_allowed_pg_30d", "f5_games_30d", "f5_runs_pg_30d", "f5_runs_allowed_pg_30d", "rest_days", "games_last_7d"),
+    "offense": ("woba_30d", "iso_30d", "k_pct_30d", "bb_pct_30d", "ops_30d", "woba_season"),
+    "split": ("woba_vs_opp_hand_30d",),
+    "lineup": ("lineup_woba_proj", "top4_woba_vs_hand"),
+    "confirmed": ("lineup_is_confirmed",),
+    "stars": ("star_out_flag",),
+    "starter": ("sp_kbb_l5", "sp_xfip_l5", "sp_kbb_season", "sp_xfip_season", "sp_days_rest", "sp_pitches_l2", "sp_is_lhp"),
+    "expected": ("bullpen_ip_expected",),
+    "bullpen": ("bullpen_ip_l3d", "bullpen_b2b", "bullpen_xfip_30d"),
+    "arms": ("bullpen_il_depletion",),
+}
+BULLPEN_BLOCKS = ("expected", "bullpen", "arms")
+MARKETS = ("moneyline", "f5_moneyline")
+
+
+def vector_columns(market: str) -> list[str]:
+    """names of a market's vector, home then away."""
+    if market not in MARKETS:
+        raise ValueError(f"no such market: {market}")
+    names = [c for b, cols in BLOCKS.items() if market == "moneyline" or b not in BULLPEN_BLOCKS for c in cols]
+    return [f"{side}_{c}" for side in ("home", "away") for c in names]
+
+
+def training_frame(games: DataFrame, blocks: dict[str, DataFrame], market: str) -> DataFrame:
+    """event_id, start, season, target and both sides' vector of each decided game; pushes and games without the market's
+    score go. games: event_id, start, scores; blocks: by name of BLOCKS, one row for each (event_id, is_home).
+
+    A block that isn't there gives NULLs, but a realised line-up is never a confirmed one: 0. Blocks are joined on the side's key, so each
+    is dealt once and no join moves the rows before it."""
+    wanted = vector_columns(market)
+    home, away = ("home_score", "away_score") if market == "moneyline" else ("f5_home", "f5_away")
+    decided = games.where(F.col(home) != F.col(away)).select("event_id", "start", F.year("start").alias("season"), (F.col(home) > F.col(away)).cast("int").alias("target"))
+    rows = decided.select("event_id", F.explode(F.array(F.lit(True), F.lit(False))).alias("is_home"))
+    names = []
+    for block, columns in BLOCKS.items():
+        if market != "moneyline" and block in BULLPEN_BLOCKS:
+            continue
+        names += columns
+        if block in blocks:
+            rows = rows.join(blocks[block].select("event_id", "is_home", *columns), ["event_id", "is_home"], "left")
+        else:
+            rows = rows.withColumns({c: F.lit(None).cast("double") for c in columns})
+    rows = rows.withColumn("lineup_is_confirmed", F.coalesce("lineup_is_confirmed", F.lit(0)).cast("int"))
+    return decided.join(asof.per_side(rows, ["event_id"], names), "event_id").select("event_id", "start", "season", "target", *wanted)
+
+
 def canonical(features: list[str]) -> Column:
     """SHA-256 of the vector's canonical JSON: fields in order of name, NULLs kept, numbers as decimal strings."""
     fields = [F.coalesce(F.col(c).cast("decimal(18,4)").cast("string"), F.lit("null")) for c in sorted(features)]

@@ -16,6 +16,7 @@ from tidemark.ml import walkforward
 from tidemark.operators import asof, histories, identity
 from tidemark.plans import bindings as B
 from tidemark.plans import features as X
+from tidemark.plans import jobs
 from tidemark.plans.registry import query
 from tidemark.plans.relational_queries import table
 from tidemark.session import adopt
@@ -70,7 +71,7 @@ def r2_schedule_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def r3_results_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Final scores; five-inning sums only from ten known halves."""
-    return feeds.results(_schedule(spark, sf_dir))
+    return feeds.results(_schedule(spark, sf_dir)).drop("place")
 
 
 def _boxscores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,3 +230,23 @@ def l1_l8_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame.unpersist()
     out = [(int(s), m, r["n"], r["log_loss"], r["brier"], r["ece"]) for s, by in report["seasons"].items() for m, r in by.items()]
     return spark.createDataFrame(out, "season int, model string, n bigint, log_loss double, brier double, ece double")
+
+
+@query()
+def train_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training job, L1, L2, L4-L8: full vectors of both markets, coverage, logistic beside constant, home rate and market prior; one
+    row for each market, season and model, the coverage in rows of season 0. The boosted model (L3) takes minutes a fit and is left to callers of the job."""
+    from tidemark.plans import feature_queries as Q
+
+    games = B.contests(spark, sf_dir).where("status = 'final'")
+    fair = games.select("event_id", (F.lit(0.45) + (F.col("event_id") % 11) / 100).alias("p_home")).where("event_id % 4 <> 0")
+    said = jobs.train(games, Q.blocks(spark, sf_dir), {"moneyline": fair}, rounds=0)
+    out = []
+    for market, m in said["markets"].items():
+        out += [(market, 0, k, m["rows"], float(v), None, None) for k, v in m.items() if k.endswith("_coverage")]
+        for season, by in m["seasons"].items():
+            out += [(market, int(season), n, r["n"], r["log_loss"], r["brier"], r["ece"]) for n, r in by.items() if n != "market"]
+            if "market" in by:
+                r = by["market"]["market_prior"]
+                out.append((market, int(season), "market_prior", r["n"], r["log_loss"], r["brier"], r["ece"]))
+    return spark.createDataFrame(out, "market string, season int, model string, n bigint, log_loss double, brier double, ece double")

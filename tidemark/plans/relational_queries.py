@@ -268,6 +268,43 @@ def v7_capture_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.classes(_starts(odds), captures, odds.select((F.expr("captured_at_us div 60000000") * 60000000).alias("run")), ["event_id"], "start_us", "at", HOUR)
 
 
+@query(
+    B.cte("odds")
+    + _STARTS
+    + f""", p AS (SELECT DISTINCT s.event_id FROM starts s JOIN odds o ON o.event_id = s.event_id AND o.book <> 'purchase' AND o.captured_at_us BETWEEN s.start_us - {10 * HOUR} AND s.start_us),
+    e AS (SELECT DATE '1970-01-01' + CAST(start_us // {DAY} AS INTEGER) AS day, count(*) AS events, count_if(event_id IN (SELECT event_id FROM p)) AS events_with_pregame FROM starts GROUP BY 1),
+    r AS (SELECT DATE '1970-01-01' + CAST(captured_at_us // {DAY} AS INTEGER) AS day, count(DISTINCT captured_at_us // 60000000) AS capture_runs, count(*) AS snapshot_rows FROM odds WHERE book <> 'purchase' GROUP BY 1)
+    SELECT CAST(day AS VARCHAR) AS day, events, events_with_pregame, coalesce(capture_runs, 0) AS capture_runs, coalesce(snapshot_rows, 0) AS snapshot_rows FROM e LEFT JOIN r USING (day)"""
+)
+def a21_archive_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archive by day: events, those with a capture in their last ten hours, capture runs and rows."""
+    odds = B.entity(spark, sf_dir, "odds")
+    captures = odds.where("book <> 'purchase'").select("event_id", F.col("captured_at_us").alias("at"))
+    return audit.days(_starts(odds), captures, ["event_id"], "start_us", "at", 10 * HOUR).withColumn("day", F.col("day").cast("string"))
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey AS pick_id, CASE o_orderkey % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'won' ELSE 'lost' END AS status, o_totalprice AS price, o_orderpriority AS book, CASE WHEN o_orderkey % 4 > 0 THEN o_custkey END AS odds_id FROM orders)
+    SELECT pick_id, CASE WHEN pick_id % 10 = 1 THEN 'immutable' WHEN pick_id % 10 = 2 THEN 'deleted' WHEN pick_id % 3 > 0 AND pick_id % 10 = 3 THEN 'transition' ELSE 'ok' END AS verdict,
+      'schedule=' || pick_id || CASE WHEN pick_id % 5 = 0 THEN ',odds=new' || pick_id WHEN odds_id IS NOT NULL THEN ',odds=' || odds_id ELSE '' END AS ids FROM o"""
+)
+def x13_x14_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Updates of an append-only table judged by their difference but for the status; external ids merged."""
+    c, k = F.col, F.col("pick_id")
+    text = lambda x: x.cast("string")
+    state = F.when(k % 3 == 0, "pending").when(k % 3 == 1, "won").otherwise("lost")
+    old = table(spark, sf_dir, "orders").select(c("o_orderkey").alias("pick_id"), c("o_totalprice").alias("price"), c("o_orderpriority").alias("book"), "o_custkey")
+    ids = F.map_filter(F.create_map(F.lit("schedule"), text(k), F.lit("odds"), F.when(k % 4 > 0, text(c("o_custkey")))), lambda n, v: v.isNotNull())
+    old = old.withColumns({"status": state, "ids": ids})
+    said = F.when((k % 10 == 3) & (k % 3 > 0), "void").when((k % 3 == 0) & (k % 2 == 0), "won").otherwise(c("status"))
+    new = old.where("pick_id % 10 <> 2").withColumn("price", c("price") + F.when(k % 10 == 1, 1).otherwise(0)).withColumn("status", said)
+    judged = histories.guarded(old.drop("ids", "o_custkey"), new.drop("ids", "o_custkey"), "pick_id")
+    given = F.create_map(F.lit("odds"), F.when(k % 5 == 0, F.concat(F.lit("new"), text(k))))
+    shown = F.transform(F.array_sort(F.map_entries("ids")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    merged = old.select("pick_id", histories.merged_ids(c("ids"), given).alias("ids")).select("pick_id", F.array_join(F.reverse(shown), ",").alias("ids"))
+    return judged.join(merged, "pick_id")
+
+
 @query(B.cte("contests") + ", p AS (SELECT event_id, start_us, home_team, CASE WHEN home_score > away_score THEN 0.9 ELSE -1.0 END AS u FROM contests WHERE status = 'final'), r AS (SELECT *, sum(CAST(u AS DECIMAL(10,1))) OVER (PARTITION BY home_team ORDER BY start_us, event_id) AS bank FROM p), d AS (SELECT *, greatest(0, max(bank) OVER (PARTITION BY home_team ORDER BY start_us, event_id)) AS peak FROM r) SELECT home_team, CAST(max(peak - bank) AS DOUBLE) AS max_drawdown, CAST(sum(CAST(u AS DECIMAL(10,1))) AS DOUBLE) AS units, count(*) AS n FROM d GROUP BY home_team")
 def w8_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Largest fall of a running sum from its peak."""

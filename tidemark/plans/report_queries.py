@@ -212,7 +212,7 @@ def x1_x17_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
       round(ln(least(greatest(value / 100, 0.000001), 0.999999) / (1 - least(greatest(value / 100, 0.000001), 0.999999))), 6) AS logit, sha256(event_id::VARCHAR) AS h FROM events"""
 )
 def x2_x12_x16_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON paths with defaults, titles, logit, hashing."""
+    """JSON paths with defaults, titles, logit, hashing."""
     e = table(spark, sf_dir, "events")
     return e.select(
         "event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"), F.get_json_object("props", "$.missing.deep").isNull().alias("absent"), display_name(F.concat("event_type", F.lit("_feed"))).alias("title"),

@@ -23,6 +23,7 @@ _BAT = "struct<atBats:int,hits:int,doubles:int,triples:int,homeRuns:int,baseOnBa
 _PIT = "struct<gamesStarted:int,outs:int,inningsPitched:string,battersFaced:int,strikeOuts:int,baseOnBalls:int,hitBatsmen:int,homeRuns:int,flyOuts:int,groundOuts:int,sacFlies:int,numberOfPitches:int>"
 _BOX = f"struct<pitchers:array<int>,players:map<string,struct<person:struct<id:int,fullName:string,pitchHand:struct<code:string>>,battingOrder:string,stats:struct<batting:{_BAT},pitching:{_PIT}>>>>"
 BOXSCORE = f"struct<teams:struct<home:{_BOX},away:{_BOX}>>"
+PEOPLE = "struct<people:array<struct<id:int,fullName:string,pitchHand:struct<code:string>>>>"
 TRANSACTIONS = "struct<transactions:array<struct<id:bigint,person:struct<id:int,fullName:string>,typeCode:string,typeDesc:string,description:string,date:string,effectiveDate:string,toTeam:struct<id:int,name:string>,fromTeam:struct<id:int,name:string>>>>"
 
 
@@ -48,25 +49,30 @@ def odds(payloads: DataFrame, text: str = "json") -> tuple[DataFrame, DataFrame]
     return rows, left.distinct()
 
 
-def _games(payloads: DataFrame, text: str) -> DataFrame:
-    return payloads.select(F.explode(F.from_json(text, SCHEDULE)["dates"]).alias("d")).select(F.explode("d.games").alias("g")).select("g.*")
+def _games(payloads: DataFrame, text: str, seen: str | None) -> DataFrame:
+    """Game entries with their place: a later payload (by the column ``seen``, where one is named) goes after an earlier one, then
+    days and games in the order of the payload."""
+    days = payloads.select((F.col(seen) if seen else F.lit(0)).alias("seen"), F.posexplode(F.from_json(text, SCHEDULE)["dates"]).alias("day_at", "d"))
+    games = days.select("seen", "day_at", F.posexplode("d.games").alias("game_at", "g"))
+    return games.select("g.*", F.struct("seen", "day_at", "game_at").alias("place"))
 
 
-def schedule(payloads: DataFrame, text: str = "json") -> DataFrame:
-    """R2: games with their state; a postponed or cancelled detail goes before the abstract state, unknown states are scheduled."""
-    g = _games(payloads, text)
+def schedule(payloads: DataFrame, text: str = "json", seen: str | None = None) -> DataFrame:
+    """R2: games with their state; a postponed or cancelled detail goes before the abstract state, unknown states are scheduled.
+    ``place`` orders listings."""
+    g = _games(payloads, text, seen)
     status = F.coalesce(_mapped(F.col("status.detailedState"), {"Postponed": "postponed", "Cancelled": "cancelled"}), _mapped(F.col("status.abstractGameState"), ABSTRACT_STATES), F.lit("scheduled"))
     side = lambda s: [F.col(f"teams.{s}.team.name").alias(f"{s}_name"), F.col(f"teams.{s}.team.id").alias(f"{s}_id"), F.col(f"teams.{s}.probablePitcher.id").alias(f"{s}_probable_id"), F.col(f"teams.{s}.probablePitcher.fullName").alias(f"{s}_probable")]
-    return g.select(F.col("gamePk").alias("game_pk"), instant(F.col("gameDate")).alias("start"), F.col("gameType").alias("game_type"), status.alias("status"), *side("home"), *side("away"))
+    return g.select(F.col("gamePk").alias("game_pk"), instant(F.col("gameDate")).alias("start"), F.col("gameType").alias("game_type"), status.alias("status"), *side("home"), *side("away"), "place")
 
 
-def results(payloads: DataFrame, text: str = "json") -> DataFrame:
-    """Scores of finished games; five-inning sums only where all ten halves are known."""
-    g = _games(payloads, text).where("status.abstractGameState = 'Final' and coalesce(status.detailedState, '') not in ('Postponed', 'Cancelled') and teams.home.score is not null and teams.away.score is not null")
+def results(payloads: DataFrame, text: str = "json", seen: str | None = None) -> DataFrame:
+    """Scores of finished games; five-inning sums only where all ten halves are known. ``place`` orders listings."""
+    g = _games(payloads, text, seen).where("status.abstractGameState = 'Final' and coalesce(status.detailedState, '') not in ('Postponed', 'Cancelled') and teams.home.score is not null and teams.away.score is not null")
     five = F.slice(F.coalesce("linescore.innings", F.array().cast("array<struct<home:struct<runs:int>,away:struct<runs:int>>>")), 1, 5)
     known = (F.size(five) == 5) & F.forall(five, lambda i: i["home"]["runs"].isNotNull() & i["away"]["runs"].isNotNull())
     total = lambda s: F.when(known, F.aggregate(five, F.lit(0), lambda a, i: a + i[s]["runs"]))
-    return g.select(F.col("gamePk").alias("game_pk"), F.col("teams.home.score").alias("home_score"), F.col("teams.away.score").alias("away_score"), total("home").alias("f5_home_score"), total("away").alias("f5_away_score"))
+    return g.select(F.col("gamePk").alias("game_pk"), F.col("teams.home.score").alias("home_score"), F.col("teams.away.score").alias("away_score"), total("home").alias("f5_home_score"), total("away").alias("f5_away_score"), "place")
 
 
 def _entries(payloads: DataFrame, game: str, text: str) -> DataFrame:
@@ -135,9 +141,15 @@ def lineups(payloads: DataFrame, game: str = "game", text: str = "json") -> tupl
     return rows, left.unionByName(partial)
 
 
-def transactions(payloads: DataFrame, text: str = "json") -> tuple[DataFrame, DataFrame]:
-    """Moves with an id, a person and a date; the effective date is left aside on purpose."""
-    t = payloads.select(F.explode(F.from_json(text, TRANSACTIONS)["transactions"]).alias("t")).select("t.*").withColumn("day", tolerant_date(F.col("date")))
+def people(payloads: DataFrame, text: str = "json") -> DataFrame:
+    """Persons of the people feed with their throwing hand; entries without an id are left out, unknown hands NULL."""
+    p = payloads.select(F.explode(F.from_json(text, PEOPLE)["people"]).alias("p")).select("p.*").where("id is not null")
+    return p.select(F.col("id").alias("person"), F.coalesce("fullName", F.concat(F.lit("person "), F.col("id").cast("string"))).alias("name"), F.when(F.col("pitchHand.code").isin("L", "R", "S"), F.col("pitchHand.code")).alias("hand"))
+
+
+def transactions(payloads: DataFrame, text: str = "json", seen: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Moves with an id, a person and a date; the effective date is left aside on purpose. ``place`` orders listings."""
+    t = payloads.select((F.col(seen) if seen else F.lit(0)).alias("seen"), F.posexplode(F.from_json(text, TRANSACTIONS)["transactions"]).alias("at", "t")).select("t.*", F.struct("seen", "at").alias("place")).withColumn("day", tolerant_date(F.col("date")))
     t = t.withColumn("reason", F.when(F.col("id").isNull(), "without_id").when(F.col("person.id").isNull(), F.concat(F.lit("without_person:"), F.col("id").cast("string"))).when(F.col("day").isNull(), F.concat(F.lit("without_date:"), F.col("id").cast("string"))))
     team = F.coalesce("toTeam.id", "fromTeam.id")
-    return _split(t, "reason", [F.col("id").alias("transaction_id"), F.col("person.id").alias("person"), F.col("person.fullName").alias("name"), F.col("typeCode").alias("type_code"), F.col("typeDesc").alias("type_desc"), "description", F.col("day").alias("transaction_date"), team.alias("team")], ["id"])
+    return _split(t, "reason", [F.col("id").alias("transaction_id"), F.col("person.id").alias("person"), F.col("person.fullName").alias("name"), F.col("typeCode").alias("type_code"), F.col("typeDesc").alias("type_desc"), "description", F.col("day").alias("transaction_date"), team.alias("team"), "place"], ["id"])
