@@ -146,6 +146,49 @@ def test_html_text(spark):
     assert htmltext.extract(df.limit(0), ["page_id"]).count() == 0
 
 
+def _plain_density(lines):
+    """Lines (text, tags) -> the text from the first to the last dense line, by sums as they are defined."""
+    import math
+
+    own = [len(t) / max(1, n) for t, n in lines]
+    smooth = []
+    for i in range(len(own)):
+        w = [math.exp(-0.5 * ((i - j) / htmltext.SIGMA) ** 2) if abs(i - j) <= math.ceil(3 * htmltext.SIGMA) else 0.0 for j in range(len(own))]
+        smooth.append(sum(a * b for a, b in zip(w, own)) / sum(w))
+    mean = sum(smooth) / len(smooth)
+    limit = min(mean, math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth)))
+    at = [i for i, x in enumerate(smooth) if x >= limit]
+    return " ".join(t for t, _ in lines[at[0] : at[-1] + 1])
+
+
+def test_html_density_decides():
+    """Pages without any element or class that tells content: the smoothed ratio alone chooses, as a plain version does."""
+    rng = random.Random(8)
+    say = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    changed = 0
+    for _ in range(60):
+        menu = [say(rng.randint(1, 2)) for _ in range(rng.randint(8, 15))]
+        body = [say(rng.randint(30, 90)) for _ in range(rng.randint(4, 12))]
+        foot = [say(rng.randint(1, 2)) for _ in range(rng.randint(8, 15))]
+        html = "".join(f"<div class='x1'><a href='/'><i><b>{t}</b></i></a></div>" for t in menu) + "".join(f"<div>{t}</div>" for t in body) + "".join(f"<div class='x2'><a><i><b>{t}</b></i></a></div>" for t in foot)
+        parser = htmltext._Lines()
+        parser.feed(html)
+        parser.flush()
+        got = htmltext.main_text(html)
+        assert got == _plain_density([(t, n) for t, n, _, _ in parser.lines])
+        assert all(t in got for t in body) and not got.startswith(menu[0] + " " + menu[1] + " ") and not got.endswith(foot[-2] + " " + foot[-1])
+        changed += got != " ".join(menu + body + foot)
+    assert changed == 60
+
+
+def test_html_class_words_are_a_prior():
+    long = "A paragraph that goes on and on about the matter of the page, " * 6
+    page = f"<main class='content with-sidebar'><div class='article-header'><h1>Title</h1></div><p>{long}</p><div class='search'>find it</div><div class='review'><p>{long * 3}</p></div></main><article class='comment'><p>{long}</p></article><article><p>{long}</p></article>"
+    got = htmltext.main_text(page)
+    one = " ".join(long.split())
+    assert got == " ".join(["Title", one, " ".join((long * 3).split()), one]) and "find it" not in got
+
+
 def test_url_filter(spark):
     auto = urlfilter.WildcardAutomaton(["*", "a*b", "?x*", "", "abc", "*" + "k" * 80 + "*"])
     import fnmatch

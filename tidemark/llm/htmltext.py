@@ -2,10 +2,12 @@
 
 The standard library's parser feeds start, end and data events. They build lines, one for each block of text; a line's ratio
 is its code points over its tags (at least 1). Ratios are smoothed by a Gaussian over neighbouring lines, and lines
-at or above a threshold (the standard deviation of the smoothed ratios, at most their mean) are the dense cluster. The region
-is the article or main element that holds most of the cluster's text; of a page without one, the dense
-lines with those that lie between them. Lines that the markup itself marks as menu, header, footer, sidebar, notice, advert,
-form, script, style or reader comment are never content, nor do they count for the threshold.
+at or above a threshold (the standard deviation of the smoothed ratios, at most their mean) are the dense cluster. The regions
+are the article and main elements that hold lines of the cluster; of a page without one, the dense
+lines with those that lie between them. Elements that are menu, header, footer, sidebar, form, script or style by name, and classes
+that name adverts, consent or reader comments, are never content, nor do they count for the threshold. Classes that only may mark
+such parts (header, sidebar, search and the like) are a prior: they cut a line's ratio to ``PRIOR`` of it, so that such a line
+is content only where its own density is high.
 
 Cases: null and empty pages, and pages without content, give an empty text. Unclosed and misnested tags are taken as
 browsers do in the main: a new block ends an open paragraph, an end tag closes what it encloses, a stray one is ignored.
@@ -28,6 +30,8 @@ from tidemark.llm.common import prepare
 
 #: Standard deviation of the smoothing, in lines.
 SIGMA = 1.5
+#: What is left of the ratio of lines in an element whose class may mark what isn't content.
+PRIOR = 0.1
 #: Names of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -35,31 +39,34 @@ BLOCKS = frozenset(
 )
 NEVER = frozenset("aside audio button canvas dialog embed fieldset footer form head iframe input map menu nav noscript object script search select style svg template textarea title video".split())
 REGIONS = frozenset(("article", "main"))
-#: Words in class, id or role that mark what isn't content.
+#: Words in class, id or role that name what isn't content.
 _MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|banner|breadcrumbs?|byline-share|comments?|commentlist|complementary|consent|contentinfo|cookies?|disclaimer|disqus|dropdown|footer|gdpr|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|notification|overlay|pager|pagination|popup|promo\w*|recommend\w*|related|replies|reply|respond|reviews?|search|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|toolbar|topbar|widget)(?:$|[\s_-])"
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|breadcrumbs?|comments?|commentlist|complementary|consent|contentinfo|cookies?|disqus|gdpr|login|masthead|nav|navbar|navigation|newsletter|pager|pagination|popup|promo\w*|recommend\w*|related|replies|respond|signup|skip|social|sponsor\w*|subscribe)(?:$|[\s_-])"
 )
+#: Words that may name it: they lower the ratio, and count for nothing in a name that tells of content too (article-header, with-sidebar).
+_MAYBE = re.compile(r"(?:^|[_-])(?:banner|disclaimer|dropdown|footer|header|menu|modal|notices?|notification|overlay|reply|reviews?|search|share|sharing|sidebar|toolbar|topbar|widget)(?:$|[_-])")
+_TELLS = re.compile(r"(?:^|[_-])(?:article|body|content|entry|has|main|no|page|post|story|text|with|without)(?:$|[_-])")
 _OPEN_ENDED = frozenset(("p", "li", "dt", "dd", "option", "tr", "td", "th"))
 
 
 class _Lines(HTMLParser):
-    """Lines of a page: text, tags, and the region element (a number, or -1) that they lie in; marked ones are left out."""
+    """Lines of a page: text, tags, the region element (a number, or -1) that they lie in, and the prior; marked ones are left out."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int]] = []  # element, whether its text is out, region
-        self.lines: list[tuple[str, int, int]] = []
+        self.stack: list[tuple[str, bool, int, float]] = []  # element, whether its text is out, region, prior
+        self.lines: list[tuple[str, int, int, float]] = []
         self.parts: list[str] = []
         self.tags = 0
         self.regions = 0
 
-    def _state(self) -> tuple[bool, int]:
-        return self.stack[-1][1:] if self.stack else (False, -1)
+    def _state(self) -> tuple[bool, int, float]:
+        return self.stack[-1][1:] if self.stack else (False, -1, 1.0)
 
     def flush(self) -> None:
         if self.parts:
             if text := " ".join("".join(self.parts).split()):
-                self.lines.append((text, self.tags, self._state()[1]))
+                self.lines.append((text, self.tags, *self._state()[1:]))
             self.parts = []
         self.tags = 0
 
@@ -71,17 +78,19 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        out, region = self._state()
+        out, region, prior = self._state()
         if not out:
             out = tag in NEVER or tag == "header" and region < 0
             for name, value in attrs:
-                if name in ("class", "id", "role") and value and tag not in ("html", "body") and _MARKED.search(value.lower()):
-                    out = True
+                if name in ("class", "id", "role") and value and tag not in ("html", "body"):
+                    out = out or bool(_MARKED.search(value.lower()))
+                    if any(_MAYBE.search(x) and not _TELLS.search(x) for x in value.lower().split()):
+                        prior = PRIOR
                 elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and re.search(r"display\s*:\s*none", value.lower()):
                     out = True
             if tag in REGIONS and not out and region < 0:
                 region, self.regions = self.regions, self.regions + 1
-        self.stack.append((tag, out, region))
+        self.stack.append((tag, out, region, prior))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -132,16 +141,21 @@ def main_text(html: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    sizes = np.array([len(t) for t, _, _ in lines], float)
-    ratio = smoothed(sizes / np.maximum(1, [n for _, n, _ in lines]))
-    dense = ratio >= min(ratio.std(), ratio.mean())
-    region = np.array([r for _, _, r in lines])
-    if parser.regions:
-        mass = np.bincount(region[dense & (region >= 0)], sizes[dense & (region >= 0)], parser.regions)
-        if mass.max() > 0:
-            return " ".join(lines[k][0] for k in np.flatnonzero(region == mass.argmax()))
-    at = np.flatnonzero(dense)
-    return " ".join(t for t, _, _ in lines[at[0] : at[-1] + 1])
+    sizes, tags, region, prior = (np.array(x, float) for x in zip(*((len(t), n, r, p) for t, n, r, p in lines)))
+    own = prior * sizes / np.maximum(1, tags)
+    ratio = smoothed(own)
+    limit = min(ratio.std(), ratio.mean())
+    # a line under a prior is judged by its own density: that of its neighbours says nothing of it
+    dense = np.where(prior < 1, own, ratio) >= limit
+    if not dense.any():
+        dense = own == own.max()
+    held = np.unique(region[dense & (region >= 0)])
+    if len(held):
+        pick = np.isin(region, held)
+    else:
+        at = np.flatnonzero(dense)
+        pick = (np.arange(len(lines)) >= at[0]) & (np.arange(len(lines)) <= at[-1])
+    return " ".join(lines[k][0] for k in np.flatnonzero(pick & ((prior == 1) | dense)))
 
 
 def extract(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame:
