@@ -232,7 +232,6 @@ def l1_l8_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(out, "season int, model string, n bigint, log_loss double, brier double, ece double")
 
 
-@query()
 def train_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The training job, L1, L2, L4-L8: full vectors of both markets, coverage, logistic beside constant, home rate and market prior; one
     row for each market, season and model, the coverage in rows of season 0. The boosted model (L3) takes minutes a fit and is left to callers of the job."""
