@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exactdedup, htmltext, langid, lzprint, mixing, piece, simhash, toxicity, urlfilter, warc
+from tidemark.llm import credentials, exactdedup, filteraudit, htmltext, langid, lzprint, mixing, piece, simhash, tokalign, toxicity, urlfilter, warc
 
-#: The vocabulary that the queries encode with.
+#: The vocabularies that the queries encode with.
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+BYTE_MODEL = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,11 +73,68 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), _table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    return filteraudit.audit(docs, labels)
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokalign.align(_table(spark, sf_dir, "documents"), BYTE_MODEL, PIECE_MODEL, ["doc_id"])
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.scan(_table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_sentencepiece, op3_html_text, op4_exact_dedup, op5_url_filter, op6_toxicity, op7_warc, op8_mixing, op9_lz_fingerprint, op10_simhash)
+    f.__name__: f for f in (op1_language_id, op2_sentencepiece, op3_html_text, op4_exact_dedup, op5_url_filter, op6_toxicity, op7_warc, op8_mixing, op9_lz_fingerprint, op10_simhash, op11_filter_audit, op12_token_alignment, op13_secret_scan)
 }
 
+
+
+def _spans_sql() -> str:
+    """Spans by splitting, running sums and a join over each text's parts; patterns with letters in either case spelled out."""
+    value = """["']?\\x20*[:=]\\x20*["']?"""
+    either = lambda words: "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in words)
+    assign = f"({either(('password', 'passwd', 'secret', 'token', 'api_?key'))}){value}([A-Za-z0-9+/_.=-]+)"
+    ident = f"({either(('access_?key(_?id)?', 'client_?id', 'account(_?id)?', 'user(_?name|_?id)?', 'login'))}){value}([A-Za-z0-9@._-]+)"
+    weak = f"({either(('pwd', 'pass(phrase|code)?', 'credential', 'private_?key', 'signature', 'auth'))}){value}([A-Za-z0-9+/_.=-]+)|[A-Za-z0-9+/]{{40,}}={{0,2}}"
+    tail = lambda p, g: f"length(regexp_extract(hit, {p}, {g}))"
+    q = lambda p: "'" + p.replace("'", "''") + "'"
+    rules = (
+        (assign, f"{tail(q(assign), 2)} >= 6"), ("AKIA[A-Z0-9]+", "length(hit) >= 20"), ("[0-9a-f]+", "length(hit) >= 24"), (ident, f"{tail(q(ident), 5)} >= 3"),
+        (weak, "length(hit) >= 10 AND (NOT regexp_full_match(hit, '[A-Za-z0-9+/]{40,}={0,2}') OR regexp_matches(hit, '[A-Z]') AND regexp_matches(hit, '[a-z]') AND regexp_matches(hit, '[0-9]'))"),
+        (credentials.PATTERNS["endpoint"][0], "length(hit) >= 8"))
+    found = " UNION ALL ".join(
+        f"""SELECT x, {k} AS kind, pos - length(hit) AS "start", pos AS "end" FROM (SELECT x, hit, sum(length(gap) + length(hit)) OVER (PARTITION BY x ORDER BY nth) AS pos FROM (
+          SELECT x, unnest(regexp_extract_all(x, {q(p)}, 0)) AS hit, unnest(string_split_regex(x, {q(p)})[:-2]) AS gap, unnest(range(len(regexp_extract_all(x, {q(p)}, 0)))) AS nth FROM t)) WHERE {ok}"""
+        for k, (p, ok) in enumerate(rules))
+    names = "[" + ", ".join(f"'{k}'" for k in credentials.KINDS) + "]"
+    return f"""
+        WITH t AS (SELECT DISTINCT coalesce(text, '') AS x FROM documents), f AS ({found}),
+        s AS (SELECT *, [{', '.join(map(str, credentials.ROLES))}][kind + 1] AS role, [{', '.join(map(str, credentials.NEEDS))}][kind + 1] AS needs FROM f
+          WHERE kind < 3 OR NOT EXISTS (SELECT 1 FROM f g WHERE g.x = f.x AND g.kind < 3 AND g."start" < f."end" AND f."start" < g."end")),
+        w AS (SELECT s.x, s.kind, s."start", s."end" FROM s JOIN s o ON o.x = s.x AND o.role <> s.role AND o."start" - s."end" <= {credentials.SCOPE} AND s."start" - o."end" <= {credentials.SCOPE}
+          WHERE s.kind >= 3 GROUP BY s.x, s.kind, s."start", s."end", s.needs HAVING bit_or(o.role) & s.needs = s.needs),
+        a AS (SELECT x, kind, "start", {names}[kind + 1] || ':' || "start" || ':' || "end" AS said FROM (SELECT x, kind, "start", "end" FROM s WHERE kind < 3 UNION ALL SELECT * FROM w)),
+        g AS (SELECT x, count_if(kind = 0) AS n_assign, count_if(kind = 1) AS n_access, count_if(kind = 2) AS n_hex, string_agg(said, ',' ORDER BY "start", kind) FILTER (WHERE kind < 3) AS base, string_agg(said, ',' ORDER BY "start", kind) AS spans FROM a GROUP BY x)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM documents LEFT JOIN g ON g.x = coalesce(text, '')"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_filter_audit": r"""
+        WITH x AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+        d AS (SELECT part, [len(ws) < 100, 100 * len(list_distinct(ws)) < 80 * len(ws), 100 * length(regexp_replace(x, '[^A-Z]+', '', 'g')) > 10 * length(x), regexp_matches(x, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY x), false)] AS f,
+          EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = x.doc_id AND quality = 1) AS good, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = x.doc_id AND toxic = 1) AS toxic FROM x),
+        c AS (SELECT part, f, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic FROM d GROUP BY ALL), l AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+        o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+        s AS (SELECT c.*, o, k.i AS step, f[o[k.i]] AS fails, len(list_filter(o[:k.i - 1], lambda j: f[j])) > 0 AS gone, o[k.i] AS filter FROM c, o, l k),
+        m AS (SELECT part, array_to_string(list_transform(o, lambda j: chr(64 + j)), '') AS filter_order, CAST(step AS INTEGER) AS step, filter, coalesce(sum(n) FILTER (WHERE NOT fails AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (WHERE fails AND NOT gone), 0) AS removed,
+          coalesce(sum(n) FILTER (WHERE fails AND gone), 0) AS redundant, coalesce(sum(n) FILTER (WHERE fails AND len(list_filter(f, lambda y: y)) = 1), 0) AS unique_fails, coalesce(sum(good) FILTER (WHERE fails AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (WHERE fails AND NOT gone), 0) AS toxic_lost
+          FROM s GROUP BY ALL)
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, filter) AS shapley FROM m""",
+    "op13_secret_scan": _spans_sql(),
     "op8_mixing": f"""
         WITH d AS (SELECT doc_id, source, coalesce('=' || source, 'null') AS s, greatest(1, CAST(ceil(length(coalesce(text, '')) / 4) AS BIGINT)) AS t,
           md5('{mixing.SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS draw FROM documents),
