@@ -7,7 +7,7 @@ import pytest
 import verify
 
 SF = "/root/testdata/sf0.001"
-NAMES = ("f1_f4_rolling_form", "f7_f12_starter_form", "f20_split_offense", "f32_market_prior", "j6_asof_probable", "j7_asof_set", "j14_nearest_match", "w7_v7_gaps", "m4_m11_analyse", "v2_a18_monthly_performance", "u8_append_set_on_change", "r4_boxscore_pitching", "r5_boxscore_batting", "r6_boxscore_lineup", "m13_m15_no_bet", "f16_bullpen_depletion", "f25_star_out", "u9_u10_identity")
+NAMES = ("f1_f4_rolling_form", "f7_f12_starter_form", "f20_split_offense", "f32_market_prior", "j6_asof_probable", "j7_asof_set", "j14_nearest_match", "w7_v7_gaps", "m4_m11_analyse", "v2_a18_monthly_performance", "u8_append_set_on_change", "r4_boxscore_pitching", "r5_boxscore_batting", "r6_boxscore_lineup", "m13_m15_no_bet", "f16_bullpen_depletion", "f25_star_out", "u9_u10_identity", "u9_u10_identity_all", "j15_assignment")
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the tables aren't here")
@@ -33,31 +33,3 @@ def test_no_range_or_cross_joins(spark):
     for name in ("f1_f4_rolling_form", "f17_f19_offense", "j6_asof_probable", "j13_siblings", "j14_nearest_match", "w7_v7_gaps"):
         plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan, name
-
-
-def _greedy(feed, free, within):
-    """Nearest starts first, each feed row and event once."""
-    pairs = sorted((abs(t - s), f, e) for f, h, a, t in feed for e, h2, a2, s in free if (h, a) == (h2, a2) and abs(t - s) <= within)
-    taken, out = set(), {}
-    for _, f, e in pairs:
-        if f not in out and e not in taken:
-            out[f] = e
-            taken.add(e)
-    return out
-
-
-@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the tables aren't here")
-def test_identity_of_every_order(spark):
-    """Every feed row has one action; rows merged into id-less events are those of a greedy match by brute force."""
-    from tidemark import plans
-    from tidemark.operators.identity import MERGE_US
-    from tidemark.sources.tables import read
-
-    sf = "/root/testdata/sf0.001"
-    got = {r.feed_id: r for r in plans.QUERIES["u9_u10_identity_all"](spark, sf).collect()}
-    orders = [(r.o_orderkey, r.o_custkey % 40, r.o_custkey % 7, r.us) for r in read(spark, sf, "orders").selectExpr("o_orderkey", "o_custkey", "unix_micros(o_orderdate) AS us").collect()]
-    feed = [(f"id{o}", h, a, us + o % 4 * 60_000_000) for o, h, a, us in orders if o % 5]
-    assert len(got) == len(feed) and sum(r.action == "matched" for r in got.values()) == sum(o % 3 == 1 for o, *_ in orders if o % 5)
-    left = [x for x in feed if got[x[0]].action not in ("matched", "restamped")]
-    want = _greedy(left, [x for x in orders if x[0] % 3 == 0], MERGE_US)
-    assert {f: r.event_id for f, r in got.items() if r.action == "merged"} == want and want

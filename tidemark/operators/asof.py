@@ -15,6 +15,30 @@ from pyspark.sql import functions as F
 MICROS_PER_DAY = 86_400_000_000
 
 
+def spread(df: DataFrame, at: str, width: int, back: int = 0, ahead: int = 0) -> DataFrame:
+    """df with ``__cell`` (of ``width`` units of time) and ``__own``: each row stands in its own cell and, as a guest, in those whose rows may
+    look back at it (at most ``back`` units) or ahead to it (at most ``ahead``). So a key's time line is worked on in many tasks."""
+    cell = lambda x: F.floor(x / F.lit(width)).cast("bigint")
+    own = cell(F.col(at))
+    if not back and not ahead:
+        return df.withColumn("__cell", own).withColumn("__own", F.lit(True))
+    cells = df.withColumn("__cell", F.explode(F.sequence(cell(F.col(at) - ahead), cell(F.col(at) + back))))
+    return cells.withColumn("__own", F.col("__cell") == own)
+
+
+def running_max(df: DataFrame, keys: Sequence[str], at: str, width: int, value: Column, name: str, strict: bool = False) -> DataFrame:
+    """df with the largest value of its keys' rows at or before (strict: before) its time, in two levels: within a cell of time by a window,
+    over the cells before it by a running maximum of one row a cell."""
+    cells = spread(df.withColumn("__v", value), at, width)
+    w = Window.partitionBy(*keys, "__cell").orderBy(at).rangeBetween(Window.unboundedPreceding, -1 if strict else 0)
+    tops = cells.groupBy(*keys, "__cell").agg(F.max("__v").alias("__top"))
+    before = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate([*keys, "__cell"])], F.max("__top").over(before).alias("__carried"))
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate([*keys, "__cell"])]
+    found = cells.withColumn("__here", F.max("__v").over(w)).join(tops, same)
+    return found.select(*df.columns, F.greatest("__here", "__carried").alias(name))
+
+
 def rolling(df: DataFrame, keys: Sequence[str], order: str, frames: Mapping[str, tuple[int, int]], measures: Mapping[str, Column]) -> DataFrame:
     """df with ``<measure>_<frame>``: sums of measures over a RANGE frame of the ordering number, bounds included."""
     return sums_before(df, df, keys, order, order, frames, measures)

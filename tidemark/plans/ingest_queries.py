@@ -5,7 +5,6 @@ Feed payloads are made from the tables as JSON text, parsed back, and held again
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +18,7 @@ from tidemark.plans import features as X
 from tidemark.plans import jobs
 from tidemark.plans.registry import query
 from tidemark.plans.relational_queries import table
-from tidemark.session import adopt
+from tidemark.session import adopt, shared_dir
 from tidemark.sources import feeds
 from tidemark.streaming import capture
 
@@ -153,34 +152,66 @@ def r7_transactions_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("transaction_id").alias("id"), F.lit("kept").alias("state"), F.col("transaction_date").cast("string").alias("day")).unionByName(left.select("id", F.col("reason").alias("state"), F.lit(None).cast("string").alias("day")))
 
 
-def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _cycle(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Stored events, and a cycle of feed rows: some known by id, some with an id re-issued, some new."""
     o, c = F.col("o_orderkey"), F.col
     base = table(spark, sf_dir, "orders").select(o, (c("o_custkey") % 40).alias("home"), (c("o_custkey") % 7).alias("away"), F.unix_micros("o_orderdate").alias("start_us"))
     events = base.select(o.alias("event_id"), "home", "away", "start_us", F.when(o % 3 == 1, F.concat(F.lit("id"), o.cast("string"))).when(o % 3 == 2, F.concat(F.lit("old"), o.cast("string"))).alias("odds_id"))
     feed = base.where("o_orderkey % 5 <> 0").select(F.concat(F.lit("id"), o.cast("string")).alias("feed_id"), "home", "away", (c("start_us") + (o % 4) * 60_000_000).alias("start_us"))
+    return events, feed
+
+
+def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events, feed = _cycle(spark, sf_dir)
     return identity.resolve(feed, events)
 
 
-@query(
-    """WITH e AS (SELECT o_orderkey AS event_id, o_custkey % 40 AS home, o_custkey % 7 AS away, epoch_us(o_orderdate) AS s, CASE o_orderkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'id' || o_orderkey ELSE 'old' || o_orderkey END AS odds_id FROM orders),
+#: The cascade in SQL: rows of a pair of teams go in turn through a recursion that carries the events that are taken.
+_TURNS = """WITH RECURSIVE e AS (SELECT o_orderkey AS event_id, o_custkey % 40 AS home, o_custkey % 7 AS away, epoch_us(o_orderdate) AS s, CASE o_orderkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'id' || o_orderkey ELSE 'old' || o_orderkey END AS odds_id FROM orders),
     f AS (SELECT 'id' || o_orderkey AS feed_id, o_custkey % 40 AS home, o_custkey % 7 AS away, epoch_us(o_orderdate) + (o_orderkey % 4) * 60000000 AS t FROM orders WHERE o_orderkey % 5 <> 0),
-    m AS (SELECT feed_id, event_id FROM f JOIN e ON odds_id = feed_id), r AS (SELECT * FROM f WHERE feed_id NOT IN (SELECT feed_id FROM m)),
-    st AS (SELECT * FROM e WHERE odds_id IS NOT NULL AND odds_id NOT IN (SELECT feed_id FROM f)),
-    n AS (SELECT r.feed_id, st.event_id, count(*) OVER (PARTITION BY r.feed_id) AS n, row_number() OVER (PARTITION BY st.event_id ORDER BY r.t, r.feed_id) AS turn FROM r JOIN st USING (home, away) WHERE abs(st.s - r.t) <= 300000000)
-    SELECT (SELECT count(*) FROM m) AS matched, (SELECT count(*) FROM n WHERE n = 1 AND turn = 1) AS restamped, (SELECT count(*) FROM f) AS rows"""
-)
+    m AS (SELECT feed_id, event_id FROM f JOIN e ON odds_id = feed_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY home, away ORDER BY t, feed_id) AS k FROM f WHERE feed_id NOT IN (SELECT feed_id FROM m)),
+    c AS (SELECT *, odds_id IS NOT NULL AS stale FROM e WHERE odds_id IS NULL OR odds_id NOT IN (SELECT feed_id FROM f)),
+    g AS (SELECT r.home, r.away, r.k, r.feed_id, coalesce(list(c.event_id) FILTER (WHERE stale AND abs(c.s - r.t) <= 300000000), []) AS old,
+      coalesce(list(c.event_id ORDER BY abs(c.s - r.t), c.event_id) FILTER (WHERE NOT stale AND abs(c.s - r.t) <= 10800000000), []) AS free FROM r LEFT JOIN c USING (home, away) GROUP BY ALL),
+    w AS (SELECT DISTINCT home, away, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS VARCHAR) AS feed_id, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS action FROM r
+      UNION ALL SELECT home, away, k, CASE WHEN event_id IS NULL THEN taken ELSE list_append(taken, event_id) END, feed_id, event_id, action FROM (
+        SELECT home, away, k, taken, feed_id, CASE WHEN len(o) = 1 THEN o[1] ELSE n[1] END AS event_id, CASE WHEN len(o) = 1 THEN 'restamped' WHEN len(n) > 0 THEN 'merged' WHEN len(o) > 1 THEN 'created_ambiguous' ELSE 'created' END AS action FROM (
+          SELECT g.home, g.away, g.k, w.taken, g.feed_id, list_filter(g.old, lambda x: NOT list_contains(w.taken, x)) AS o, list_filter(g.free, lambda x: NOT list_contains(w.taken, x)) AS n FROM w JOIN g ON g.home = w.home AND g.away = w.away AND g.k = w.k + 1))),
+    x AS (SELECT feed_id, event_id, action FROM w WHERE k > 0 UNION ALL SELECT feed_id, event_id, 'matched' FROM m)"""
+ACTIONS = ("matched", "restamped", "merged", "created", "created_ambiguous")
+
+
+@query(_TURNS + " SELECT " + ", ".join(f"count_if(action = '{a}') AS {a}" for a in ACTIONS) + ", count(*) AS rows FROM x")
 def u9_u10_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feed rows resolved tier by tier; counts of the tiers that SQL can state."""
+    """Feed rows resolved tier by tier; counts of what became of them."""
     n = lambda a: F.count_if(F.col("action") == a).alias(a)
-    return _resolved(spark, sf_dir).agg(n("matched"), n("restamped"), F.count(F.lit(1)).alias("rows"))
+    return _resolved(spark, sf_dir).agg(*map(n, ACTIONS), F.count(F.lit(1)).alias("rows"))
 
 
-@query()
+@query(_TURNS + " SELECT feed_id, event_id, action FROM x")
 def u9_u10_identity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What became of each feed row: its event and the tier that settled it."""
     return _resolved(spark, sf_dir)
 
 
+@query(
+    _TURNS.replace(
+        "x AS (",
+        """pairs AS (SELECT f.feed_id, e.event_id, f.home, f.away, abs(e.s - f.t) AS gap FROM f JOIN e USING (home, away) WHERE e.odds_id IS NULL AND abs(e.s - f.t) <= 10800000000),
+    q AS (SELECT *, row_number() OVER (PARTITION BY home, away ORDER BY gap, feed_id, event_id) AS k FROM pairs),
+    v AS (SELECT DISTINCT home, away, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS rows, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS VARCHAR) AS feed_id, CAST(NULL AS BIGINT) AS event_id FROM q
+      UNION ALL SELECT home, away, k, CASE WHEN ok THEN list_append(rows, feed_id) ELSE rows END, CASE WHEN ok THEN list_append(taken, event_id) ELSE taken END, CASE WHEN ok THEN feed_id END, CASE WHEN ok THEN event_id END FROM (
+        SELECT q.home, q.away, q.k, v.rows, v.taken, q.feed_id, q.event_id, NOT list_contains(v.rows, q.feed_id) AND NOT list_contains(v.taken, q.event_id) AS ok FROM v JOIN q ON q.home = v.home AND q.away = v.away AND q.k = v.k + 1)),
+    x AS (""")
+    + " SELECT feed_id, event_id FROM v WHERE feed_id IS NOT NULL"
+)
+def j15_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All feed rows matched one to one with the events that have no id, nearest starts first."""
+    events, feed = _cycle(spark, sf_dir)
+    return identity.assign(feed, events.where("odds_id is null").withColumnRenamed("start_us", "s"), identity.MERGE_US)
+
+
 @query(
     B.cte("odds")
     + """, p AS (SELECT DISTINCT event_id AS orphan_id, event_id - 1 AS to_id FROM odds WHERE event_id % 10 = 1), m AS (SELECT coalesce(p.to_id, o.event_id) AS event_id, book, side, captured_at_us // 86400000000 AS d, p.to_id IS NOT NULL AS orphan FROM (SELECT DISTINCT event_id, book, side, captured_at_us // 86400000000 * 86400000000 AS captured_at_us FROM odds) o LEFT JOIN p ON p.orphan_id = o.event_id),
@@ -208,7 +239,7 @@ def s6_stream_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.sources.tables import instants
 
     adopt(spark)
-    root = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='tidemark-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     rows = instants(spark.read.parquet(f"{sf_dir}/events.parquet")).select("event_id", "user_id", "event_type", "ts")
     rows.union(rows.where("event_id % 3 = 0")).write.parquet(f"{root}/landing")
     stream = spark.readStream.schema("event_id bigint, user_id bigint, event_type string, ts timestamp").parquet(f"{root}/landing")

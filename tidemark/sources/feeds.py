@@ -35,17 +35,18 @@ def _split(df: DataFrame, reason: str, rows: list, anomaly: list) -> tuple[DataF
     return df.where(F.col(reason).isNull()).select(*rows), df.where(F.col(reason).isNotNull()).select(*anomaly, F.col(reason).alias("reason"))
 
 
-def odds(payloads: DataFrame, text: str = "json") -> tuple[DataFrame, DataFrame]:
-    """Priced outcomes of known markets; other markets, other outcomes (a draw) and prices too low are reported."""
-    e = payloads.select(F.from_json(text, ODDS).alias("e")).select("e.*")
-    e = e.select("id", "home_team", "away_team", instant(F.col("commence_time")).alias("start"), F.explode("bookmakers").alias("b")).select("*", F.col("b.key").alias("book"), F.explode("b.markets").alias("m")).drop("b")
+def odds(payloads: DataFrame, text: str = "json", keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Priced outcomes of known markets; other markets, other outcomes (a draw) and prices too low are reported. ``keep``: columns of the
+    payloads that rows carry on."""
+    e = payloads.select(*keep, F.from_json(text, ODDS).alias("e")).select(*keep, "e.*")
+    e = e.select(*keep, "id", "home_team", "away_team", instant(F.col("commence_time")).alias("start"), F.explode("bookmakers").alias("b")).select("*", F.col("b.key").alias("book"), F.explode("b.markets").alias("m")).drop("b")
     e = e.withColumn("market", _mapped(F.col("m.key"), MARKET_CODES)).select("*", F.col("m.key").alias("feed_market"), instant(F.col("m.last_update")).alias("last_update"), F.explode_outer("m.outcomes").alias("o")).drop("m")
     side = F.when(F.col("o.name") == F.col("home_team"), "home").when(F.col("o.name") == F.col("away_team"), "away")
     e = e.withColumn("side", side).withColumn("price_decimal", F.col("o.price"))
     reason = F.when(F.col("market").isNull(), F.concat_ws(":", "book", F.lit("market"), "feed_market")).when(F.col("side").isNull(), F.concat_ws(":", "book", "market", F.lit("outcome"), "o.name"))
     reason = reason.when(~F.coalesce(F.col("price_decimal") > MIN_PRICE, F.lit(False)), F.concat_ws(":", "book", "market", "side", F.lit("price"), F.col("price_decimal").cast("string")))
     e = e.withColumn("reason", reason)
-    rows, left = _split(e, "reason", ["id", "start", "home_team", "away_team", "book", "market", "side", "price_decimal", F.bround(decimal_to_american("price_decimal")).cast("int").alias("price_american"), "last_update"], ["id"])
+    rows, left = _split(e, "reason", [*keep, "id", "start", "home_team", "away_team", "book", "market", "side", "price_decimal", F.bround(decimal_to_american("price_decimal")).cast("int").alias("price_american"), "last_update"], ["id"])
     return rows, left.distinct()
 
 

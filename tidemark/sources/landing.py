@@ -88,6 +88,16 @@ def land(spark: SparkSession, rows: list[dict], folder: str) -> DataFrame:
     return df
 
 
+#: Columns of a landed capture: when it was taken, each payload's place in it, the payload.
+CAPTURE = "captured_at timestamp, place bigint, json string"
+
+
+def land_capture(spark: SparkSession, payloads: list[dict], folder: str, captured_at) -> None:
+    """Appends one capture of the price feed as one file, so that a stream sees it whole."""
+    rows = [(captured_at, k, json.dumps(p)) for k, p in enumerate(payloads)]
+    spark.createDataFrame(rows, CAPTURE).coalesce(1).write.mode("append").json(folder)
+
+
 def landed(spark: SparkSession, folder: str) -> DataFrame:
     """All payloads of a landing folder (path, json)."""
     return spark.read.schema("path string, json string").json(folder)
