@@ -15,10 +15,28 @@ from pyspark.sql import functions as F
 MICROS_PER_DAY = 86_400_000_000
 
 
-def spread(df: DataFrame, at: str, width: int, back: int = 0, ahead: int = 0) -> DataFrame:
-    """df with ``__cell`` (of ``width`` units of time) and ``__own``: each row stands in its own cell and, as a guest, in those whose rows may
-    look back at it (at most ``back`` units) or ahead to it (at most ``ahead``). So a key's time line is worked on in many tasks."""
-    cell = lambda x: F.floor(x / F.lit(width)).cast("bigint")
+#: How many times its longest frame a cell of a key's time line is long: the part of the rows that also stand in the next cell is one over this.
+CELL_REACH = 4
+
+
+def cells_of(width: int):
+    """The cell of an instant, for cells of ``width`` units of time."""
+    return lambda x: F.floor(x / F.lit(width)).cast("bigint")
+
+
+def years_of_days(x: Column) -> Column:
+    """The year of a day number, as a cell."""
+    return F.year(F.date_from_unix_date(x.cast("int"))).cast("bigint")
+
+
+def years_of_micros(x: Column) -> Column:
+    """The year of an instant in microseconds, as a cell."""
+    return F.year(F.timestamp_micros(x)).cast("bigint")
+
+
+def spread(df: DataFrame, at: str, cell, back: int = 0, ahead: int = 0) -> DataFrame:
+    """df with ``__cell`` (by a function of time that never falls) and ``__own``: each row stands in its own cell and, as a guest, in those whose
+    rows may look back at it (at most ``back`` units) or ahead to it (at most ``ahead``). So a key's time line is worked on in many tasks."""
     own = cell(F.col(at))
     if not back and not ahead:
         return df.withColumn("__cell", own).withColumn("__own", F.lit(True))
@@ -26,22 +44,30 @@ def spread(df: DataFrame, at: str, width: int, back: int = 0, ahead: int = 0) ->
     return cells.withColumn("__own", F.col("__cell") == own)
 
 
+def _carried(cells: DataFrame, keys: Sequence[str], tops: Mapping[str, Column]) -> DataFrame:
+    """__k0.. (keys and cell) with the largest values of all cells before: one row a cell."""
+    names = [*keys, "__cell"]
+    own = cells.groupBy(*names).agg(*[F.max(c).alias(n) for n, c in tops.items()])
+    before = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    return own.select(*[F.col(k).alias(f"__j{i}") for i, k in enumerate(names)], *[F.max(n).over(before).alias(f"__carried_{n}") for n in tops])
+
+
+def _same(names: Sequence[str]) -> list[Column]:
+    return [F.col(k).eqNullSafe(F.col(f"__j{i}")) for i, k in enumerate(names)]
+
+
 def running_max(df: DataFrame, keys: Sequence[str], at: str, width: int, value: Column, name: str, strict: bool = False) -> DataFrame:
     """df with the largest value of its keys' rows at or before (strict: before) its time, in two levels: within a cell of time by a window,
     over the cells before it by a running maximum of one row a cell."""
-    cells = spread(df.withColumn("__v", value), at, width)
+    cells = spread(df.withColumn("__v", value), at, cells_of(width))
     w = Window.partitionBy(*keys, "__cell").orderBy(at).rangeBetween(Window.unboundedPreceding, -1 if strict else 0)
-    tops = cells.groupBy(*keys, "__cell").agg(F.max("__v").alias("__top"))
-    before = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate([*keys, "__cell"])], F.max("__top").over(before).alias("__carried"))
-    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate([*keys, "__cell"])]
-    found = cells.withColumn("__here", F.max("__v").over(w)).join(tops, same)
-    return found.select(*df.columns, F.greatest("__here", "__carried").alias(name))
+    found = cells.withColumn("__here", F.max("__v").over(w)).join(_carried(cells, keys, {"v": F.col("__v")}), _same([*keys, "__cell"]))
+    return found.select(*df.columns, F.greatest("__here", "__carried_v").alias(name))
 
 
-def rolling(df: DataFrame, keys: Sequence[str], order: str, frames: Mapping[str, tuple[int, int]], measures: Mapping[str, Column]) -> DataFrame:
-    """df with ``<measure>_<frame>``: sums of measures over a RANGE frame of the ordering number, bounds included."""
-    return sums_before(df, df, keys, order, order, frames, measures)
+def rolling(df: DataFrame, keys: Sequence[str], order: str, frames: Mapping[str, tuple[int | None, int]], measures: Mapping[str, Column], **more) -> DataFrame:
+    """df with ``<measure>_<frame>``: sums of its own rows' measures over frames of the ordering number, bounds included."""
+    return sums_before(df, df, keys, order, order, frames, measures, **more)
 
 
 def _streams(targets: DataFrame, history: DataFrame, keys: Sequence[str], t: str, h: str, tie: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -68,34 +94,34 @@ def latest_set(history: DataFrame, targets: DataFrame, keys: Sequence[str], t: s
     return found.select(*targets.columns, h, F.inline("__members"))
 
 
-def sums_before(targets: DataFrame, history: DataFrame, keys: Sequence[str], t: str, h: str, frames: Mapping[str, tuple[int, int]], measures: Mapping[str, Column]) -> DataFrame:
-    """targets with ``<measure>_<frame>`` of the history rows whose time lies in [t + lo, t + hi]; NULL where there are none.
+def sums_before(targets: DataFrame, history: DataFrame, keys: Sequence[str], t: str, h: str, frames: Mapping[str, tuple[int | None, int]], measures: Mapping[str, Column], cell=None, tops: Mapping[str, Column] | None = None) -> DataFrame:
+    """targets with ``<measure>_<frame>`` of the history rows whose time lies in [t + lo, t + hi]; NULL where there are none. Without a lo (None) a frame
+    begins with the target's cell, as a season does. ``tops``: columns with the largest value of an expression before t, however long ago.
 
-    History is summed for each key and instant first, so hot keys shrink before the shuffle. A frame's sum is the running
-    sum at its end less that before its start: each target sends probes to both places of the history's stream, so the work is
-    linear in rows however long the frames are, and both inputs are read once. Measures are whole numbers, so the difference is exact."""
+    History is summed for each key and instant first, so hot keys shrink before the shuffle; a frame then holds a row an instant. A key's time line
+    is worked on in cells (``cell``: a function of time that never falls; else ``CELL_REACH`` times the longest frame), whose first rows also
+    see the end of the cell before; so the work of one key is dealt to many tasks, and each input is shuffled once."""
     names = [f"__k{i}" for i in range(len(keys))]
-    counts = {f"{m}__n": F.count(c) for m, c in measures.items()}  # tells a sum of nothing from a sum of zeros
-    small = history.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(h).alias("__t")).agg(*[F.sum(c).alias(m) for m, c in measures.items()], *[c.alias(n) for n, c in counts.items()])
-    bounds = {f: (hi, None if lo <= Window.unboundedPreceding else lo - 1) for f, (lo, hi) in frames.items()}
-    places = sorted({x for two in bounds.values() for x in two if x is not None})
-    own = targets.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(t).alias("__asked"), F.struct(*targets.columns).alias("__target"))
-    kind = own.schema["__target"].dataType
-    rows = [F.struct(F.col("__asked").cast("bigint").alias("__t"), F.lit(None).cast("bigint").alias("__place"), F.col("__target").alias("__target"))]
-    rows += [F.struct((F.col("__asked") + F.lit(x)).cast("bigint").alias("__t"), F.lit(x).cast("bigint").alias("__place"), F.lit(None).cast(kind).alias("__target")) for x in places]
-    both = small.unionByName(own.select(*names, "__asked", F.inline(F.array(*rows))), allowMissingColumns=True)
-    up_to = Window.partitionBy(*names).orderBy("__t", F.col("__place").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    columns = [*measures, *counts]
-    run = both.select(*names, "__asked", "__place", "__target", *[F.coalesce(F.sum(c).over(up_to), F.lit(0)).alias(c) for c in columns]).where("__asked is not null")
-    whole = Window.partitionBy(*names, "__asked")
-    run = run.select("__place", "__target", *[F.max(F.when(F.col("__place") == x, F.struct(*columns))).over(whole).alias(f"__p{i}") for i, x in enumerate(places)]).where("__target is not null")
-
-    def between(c: str, f: str) -> Column:
-        hi, below = bounds[f]
-        end = F.col(f"__p{places.index(hi)}")[c]
-        return end if below is None else end - F.col(f"__p{places.index(below)}")[c]
-
-    return run.select("__target.*", *[F.when(between(f"{m}__n", f) > 0, between(m, f)).alias(f"{m}_{f}") for f in frames for m in measures])
+    reach = max([-lo for lo, _ in frames.values() if lo is not None], default=0)
+    ahead = max([hi for _, hi in frames.values()] + [0])
+    cell = cell or cells_of(CELL_REACH * max(reach, 1))
+    tops = dict(tops or {})
+    small = history.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(h).cast("bigint").alias("__t")).agg(*[F.sum(c).alias(m) for m, c in measures.items()], *[F.max(c).alias(n) for n, c in tops.items()])
+    past = spread(small, "__t", cell, back=reach, ahead=ahead)
+    asked = targets.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(t).cast("bigint").alias("__t"), F.struct(*targets.columns).alias("__target")).withColumn("__cell", cell(F.col("__t")))
+    w = Window.partitionBy(*names, "__cell").orderBy("__t")
+
+    def within(m: str, lo: int | None, hi: int) -> Column:
+        return F.sum(m).over(w.rangeBetween(lo, hi)) if lo is not None else F.sum(F.when(F.col("__own"), F.col(m))).over(w.rangeBetween(Window.unboundedPreceding, hi))
+
+    sums = [within(m, *bounds).alias(f"{m}_{f}") for f, bounds in frames.items() for m in measures]
+    here = [F.max(n).over(w.rangeBetween(Window.unboundedPreceding, -1)).alias(n) for n in tops]
+    found = past.unionByName(asked, allowMissingColumns=True).select(*names, "__cell", "__target", *sums, *here).where("__target is not null")
+    made = [f"{m}_{f}" for f in frames for m in measures]
+    if not tops:
+        return found.select("__target.*", *made)
+    found = found.join(_carried(small.withColumn("__cell", cell(F.col("__t"))), names, {n: F.col(n) for n in tops}), _same([*names, "__cell"]), "left")
+    return found.select("__target.*", *made, *[F.greatest(n, f"__carried_{n}").alias(n) for n in tops])
 
 
 def last_n(targets: DataFrame, history: DataFrame, keys: Sequence[str], t: str, h: str, n: int, values: Sequence[str], tie: Sequence[str] = ()) -> DataFrame:

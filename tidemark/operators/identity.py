@@ -28,7 +28,7 @@ def sessions(rows: DataFrame, keys: tuple[str, ...], at: str, kind: str, within:
     """rows with ``session``: the time of the last cut of their keys' time line. A cut stands before an instant if no two rows of different
     kind (a boolean column) on either side of it are at most ``within`` apart. Cells with guests from both sides keep windows short."""
     width = CELL_REACH * max(1, within)
-    near = asof.spread(rows, at, width, back=within, ahead=within)
+    near = asof.spread(rows, at, asof.cells_of(width), back=within, ahead=within)
     w = Window.partitionBy(*keys, "__cell").orderBy(at)
     back, ahead = w.rangeBetween(-within, -1), w.rangeBetween(0, within)
     t, one = F.col(at), F.col(kind)

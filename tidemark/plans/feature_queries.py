@@ -224,9 +224,9 @@ def j8_availability_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who is out on a day, by moves strictly before it; NULL while the archive isn't alive."""
     txns = B.entity(spark, sf_dir, "transactions")
     targets = txns.select("player_id", F.col("at_day").alias("start_day")).distinct()
-    first = txns.agg(F.min("at_day")).first()[0]  # one number: since when the archive is alive
+    alive = txns.agg(F.min("at_day")).scalar() < F.col("start_day")  # one number: since when the archive is alive
     found = X.out_as_of(targets, txns)
-    return found.select("player_id", "start_day", F.when(F.lit(first) < F.col("start_day"), F.col("is_out")).alias("is_out"))
+    return found.select("player_id", "start_day", F.when(alive, F.col("is_out")).alias("is_out"))
 
 
 #: Of the days' best players b (team, start_day, player_id): how many are out, by window joins over the moves before the day.
@@ -247,7 +247,7 @@ def _moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     B.cte("batting", "sides")
     + f""", bl AS (SELECT team, player_id, start_day, sum(CAST(round(({_NUM}) * 1000) AS BIGINT)) AS num, sum({_DEN}) AS den FROM batting GROUP BY ALL), td AS (SELECT DISTINCT team, start_day FROM sides),
     y AS (SELECT td.team, td.start_day, player_id, sum(num) AS num, sum(den) AS den FROM td JOIN bl ON bl.team = td.team AND bl.start_day BETWEEN td.start_day - 365 AND td.start_day - 1 GROUP BY ALL HAVING sum(den) >= 200),
-    b AS (SELECT team, start_day, player_id FROM y QUALIFY row_number() OVER (PARTITION BY team, start_day ORDER BY (num / 1000 + 32.0) / (den + 100) DESC, CAST(player_id AS VARCHAR)) <= 2)"""
+    b AS (SELECT team, start_day, player_id FROM y QUALIFY row_number() OVER (PARTITION BY team, start_day ORDER BY round((num / 1000 + 32.0) / (den + 100), 4) DESC, CAST(player_id AS VARCHAR)) <= 2)"""
     + _OUT_OF.format(name="star_out_flag", day=_SQL_DAY)
 )
 def f25_star_out(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -334,16 +334,16 @@ def f32_market_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
 def blocks(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """All blocks of the vector, by name."""
     q = lambda f: f(spark, sf_dir)
-    sp, pen = q(f7_f12_starter_form), F.when(F.col("ip_expected").isNotNull(), 9 - F.col("ip_expected"))
+    sp = q(f7_f12_starter_form)
     return {
         "form": q(f1_f4_rolling_form), "offense": q(f17_f19_offense), "split": q(f20_split_offense), "lineup": q(f23_lineup_projection), "stars": q(f25_star_out),
-        "starter": sp, "expected": sp.withColumn("bullpen_ip_expected", rounded(pen)), "bullpen": q(f13_f15_bullpen), "arms": q(f16_bullpen_depletion)}
+        "starter": sp, "expected": sp.withColumnRenamed("ip_expected", "bullpen_ip_expected"), "bullpen": q(f13_f15_bullpen), "arms": q(f16_bullpen_depletion)}
 
 
 def _vector_sql() -> str:
     """The vector by joining the SQL of its blocks."""
     parts = {"form": "f1_f4_rolling_form", "offense": "f17_f19_offense", "split": "f20_split_offense", "lineup": "f23_lineup_projection", "stars": "f25_star_out", "starter": "f7_f12_starter_form", "bullpen": "f13_f15_bullpen", "arms": "f16_bullpen_depletion"}
-    value = lambda c: {"lineup_is_confirmed": "0", "bullpen_ip_expected": "round(9 - {s}starter.ip_expected, 4)"}.get(c)
+    value = lambda c: {"lineup_is_confirmed": "0", "bullpen_ip_expected": "{s}starter.ip_expected"}.get(c)
     shown = [f"{(value(c) or f'{{s}}{b}.{c}').format(s=s)} AS {side}_{c}" for side, s in (("home", "h_"), ("away", "a_")) for b, cols in X.BLOCKS.items() for c in cols]
     joins = [f"LEFT JOIN {b} AS {s}{b} ON {s}{b}.event_id = g.event_id AND {'' if s == 'h_' else 'NOT '}{s}{b}.is_home" for s in ("h_", "a_") for b in parts]
     ctes = ", ".join(f"{b} AS MATERIALIZED ({ORACLE[q]})" for b, q in parts.items())

@@ -6,17 +6,20 @@ through the same plan.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.metrics import rounded
-from tidemark.operators import asof
+from tidemark.operators import asof, topk
 
 DAY = asof.MICROS_PER_DAY
 #: Shrinkage weights and windows of the features' definitions.
 KBB_PRIOR, XFIP_PRIOR, SPLIT_PRIOR, BATTER_PRIOR, BATTER_HAND_PRIOR, LEAGUE_WOBA = 60, 15, 200, 100, 50, 0.320
 #: Weights of the on-base events and their columns.
 WOBA_WEIGHTS = {"ubb": 0.693, "bhbp": 0.723, "b1": 0.877, "d2": 1.232, "d3": 1.552, "bhr": 1.980}
+#: The hands that a pitcher may throw with.
+HANDS = ("L", "R", "S")
 #: Share of plate appearances of each line-up slot, first to ninth.
 SLOT_SHARES = (0.1216, 0.1190, 0.1163, 0.1137, 0.1110, 0.1085, 0.1059, 0.1033, 0.1007)
 
@@ -37,9 +40,7 @@ def rolling_form(sides: DataFrame) -> DataFrame:
     }
     f5 = final & F.col("f5_scored").isNotNull() & F.col("f5_allowed").isNotNull()
     measures |= {"f5_games": F.when(f5, 1), "f5_scored": F.when(f5, F.col("f5_scored")), "f5_allowed": F.when(f5, F.col("f5_allowed"))}
-    made = asof.rolling(sides, ["team"], "start_us", {"30d": (-30 * DAY, -1), "7d": (-7 * DAY, -1)}, measures)
-    before = Window.partitionBy("team").orderBy("start_us").rangeBetween(Window.unboundedPreceding, -1)
-    made = made.withColumn("last_day", F.max(F.when(final, F.col("start_day"))).over(before))
+    made = asof.rolling(sides, ["team"], "start_us", {"30d": (-30 * DAY, -1), "7d": (-7 * DAY, -1)}, measures, tops={"last_day": F.when(final, F.col("start_day"))})
     n, m = F.coalesce("games_30d", F.lit(0)), F.coalesce("f5_games_30d", F.lit(0))
     return made.select(
         "event_id", "team", "is_home", n.cast("bigint").alias("games_30d"),
@@ -87,28 +88,34 @@ def _summed(array: str, field: str) -> Column:
 
 
 def starter_form(starts: DataFrame) -> DataFrame:
-    """F7-F12 for each start, from the pitcher's earlier starts within 365 days. starts: event_id, player_id, start_us, start_day, hand, counts."""
-    starts = with_fly_balls(starts)
-    history = starts.select("player_id", F.col("start_us").alias("h_us"), F.col("start_day").alias("h_day"), "event_id", *_PITCHING, "pitches")
-    t = asof.last_n(starts, history, ["player_id"], "start_us", "h_us", 5, ["h_day", *_PITCHING, "pitches"], ["event_id"])
-    t = t.withColumn("recent", F.expr(f"filter(recent, r -> r.at >= start_us - {365 * DAY})"))
-    year = F.year(F.timestamp_micros("start_us"))
-    season = asof.sums_before(t.withColumn("year", year), starts.withColumn("year", year), ["player_id", "year"], "start_us", "start_us", {"season": (-365 * DAY, -1)}, {c: F.col(c) for c in _PITCHING})
-    before = asof.sums_before(season, starts, ["player_id"], "start_us", "start_us", {"365": (-365 * DAY, -1)}, {"outs": F.col("outs"), "starts": F.lit(1)})
-    lg = league(starts, "start_us", (-365 * DAY, -1))
-    d = before.join(lg, "start_us", "left")
+    """F7-F12 for each start, from the pitcher's earlier starts within 365 days. starts: event_id, player_id, start_us, start_day, hand, counts.
+
+    A pitcher's time line is worked on in years, each with the starts of the year before as guests, by windows over one sort."""
+    year = 365 * DAY
+    rows = asof.spread(with_fly_balls(starts), "start_us", asof.years_of_micros, back=year)
+    key = Window.partitionBy("player_id", "__cell")
+    five = key.orderBy("start_us", "event_id").rowsBetween(-4, 0)
+    rows = rows.withColumn("__five", F.reverse(F.collect_list(F.struct(F.col("start_us").alias("at"), F.col("start_day").alias("h_day"), *_PITCHING, "pitches")).over(five)))
+    before, own = key.orderBy("start_us").rangeBetween(-year, -1), F.col("__own")
+    season = {f"{c}_season": F.sum(F.when(own, F.col(c))).over(before) for c in _PITCHING}
+    whole_year = {"outs_365": F.sum("outs").over(before), "starts_365": F.count(F.lit(1)).over(before)}
+    last = F.max(F.struct("start_us", "event_id", F.col("__five").alias("five"))).over(before)["five"]  # as of the last start strictly before
+    t = rows.select("event_id", "player_id", "is_home", "start_us", "start_day", "hand", "__own", *[c.alias(n) for n, c in {**season, **whole_year}.items()], last.alias("recent")).where("__own")
+    t = t.withColumn("recent", F.expr(f"filter(recent, r -> r.at >= start_us - {year})")).withColumn("recent", F.coalesce("recent", F.array().cast(t.schema["recent"].dataType)))
+    lg = league(with_fly_balls(starts), "start_us", (-year, -1))
+    d = t.join(lg, "start_us", "left")
     five = {c: _summed("recent", c) for c in _PITCHING}
     has = F.size("recent") > 0
     whole = {c: F.col(f"{c}_season") for c in _PITCHING}
     two = F.slice("recent", 1, 2)
-    gap = F.col("start_day") - F.col("recent")[0]["h_day"]
+    gap = F.col("start_day") - F.try_element_at("recent", F.lit(1))["h_day"]
     count = F.aggregate(two, F.lit(None).cast("bigint"), lambda a, r: F.when(r["pitches"].isNull(), a).otherwise(F.coalesce(a, F.lit(0)) + r["pitches"]))
     return d.select(
         "event_id", "player_id", "is_home",
         rounded(F.when(has, shrunk_kbb(five["k"], five["bb"], five["bf"], F.col("lg_kbb")))).alias("sp_kbb_l5"), rounded(F.when(has & F.col("lg_kbb").isNotNull(), shrunk_xfip(five))).alias("sp_xfip_l5"),
         rounded(shrunk_kbb(whole["k"], whole["bb"], whole["bf"], F.col("lg_kbb"))).alias("sp_kbb_season"), rounded(F.when(F.col("lg_kbb").isNotNull(), shrunk_xfip(whole))).alias("sp_xfip_season"),
         F.when(has & (gap <= 30), gap).alias("sp_days_rest"), F.when(has, count).alias("sp_pitches_l2"),
-        F.when(F.col("hand") == "L", 1).when(F.col("hand") == "R", 0).alias("sp_is_lhp"), rounded(F.col("outs_365") / F.col("starts_365") / 3).alias("ip_expected"))
+        F.when(F.col("hand") == "L", 1).when(F.col("hand") == "R", 0).alias("sp_is_lhp"), rounded(known_ratio(F.col("outs_365"), F.col("starts_365")) / 3).alias("ip_expected"))
 
 
 def bullpen_load(targets: DataFrame, relief: DataFrame) -> DataFrame:
@@ -151,16 +158,14 @@ _BATTING = ("ab", "h", "d2", "d3", "bhr", "ubb", "ibb", "so", "bhbp", "sf", "sh"
 def offense(targets: DataFrame, lines: DataFrame) -> DataFrame:
     """F18, F19 for each (event, team, day): batting over [D - 30, D - 1] and the season so far."""
     sums = {c: F.col(c) for c in _BATTING}
-    t = asof.sums_before(targets, lines, ["team"], "start_day", "start_day", {"30": (-30, -1)}, sums)
-    own = t.select("event_id", "team", "is_home", "start_day", *[F.col(f"{c}_30").alias(c) for c in _BATTING])
+    t = asof.sums_before(targets, lines, ["team"], "start_day", "start_day", {"30": (-30, -1), "s": (None, -1)}, sums, cell=asof.years_of_days)
     num, den = woba_parts()
     c = F.col
     pa, bases = c("ab") + c("ubb") + c("bhbp") + c("sf") + c("sh"), c("h") + c("d2") + 2 * c("d3") + 3 * c("bhr")
     obp, slg = known_ratio(c("h") + c("ubb") + c("bhbp"), c("ab") + c("ubb") + c("bhbp") + c("sf")), known_ratio(bases, c("ab"))
-    thirty = own.select("event_id", "team", "is_home", "start_day", rounded(known_ratio(num, den)).alias("woba_30d"), rounded(known_ratio(bases - c("h"), c("ab"))).alias("iso_30d"), rounded(known_ratio(c("so"), pa)).alias("k_pct_30d"), rounded(known_ratio(c("ubb"), pa)).alias("bb_pct_30d"), rounded(obp + slg).alias("ops_30d"))
-    year = F.year(F.date_from_unix_date(F.col("start_day").cast("int")))
-    season = asof.sums_before(thirty.withColumn("year", year), lines.withColumn("year", year), ["team", "year"], "start_day", "start_day", {"s": (Window.unboundedPreceding, -1)}, sums)
-    season = season.withColumns({x: F.col(f"{x}_s") for x in _BATTING})
+    own = t.withColumns({x: c(f"{x}_30") for x in _BATTING})
+    own = own.select("event_id", "team", "is_home", *[f"{x}_s" for x in _BATTING], rounded(known_ratio(num, den)).alias("woba_30d"), rounded(known_ratio(bases - c("h"), c("ab"))).alias("iso_30d"), rounded(known_ratio(c("so"), pa)).alias("k_pct_30d"), rounded(known_ratio(c("ubb"), pa)).alias("bb_pct_30d"), rounded(obp + slg).alias("ops_30d"))
+    season = own.withColumns({x: c(f"{x}_s") for x in _BATTING})
     return season.select("event_id", "team", "is_home", "woba_30d", "iso_30d", "k_pct_30d", "bb_pct_30d", "ops_30d", rounded(known_ratio(num, den)).alias("woba_season"))
 
 
@@ -179,8 +184,10 @@ def batter_form(targets: DataFrame, lines: DataFrame) -> DataFrame:
     num, den = woba_parts()
     parts = lines.withColumn("num", F.round(num * 1000).cast("bigint")).withColumn("den", den)
     m = {"num": F.col("num"), "den": F.col("den")}
+    m |= {f"{x}{h}": F.when(F.col("opp_hand") == h, F.col(x)) for h in HANDS for x in ("num", "den")}
     t = asof.sums_before(targets, parts, ["player_id", "team"], "start_day", "start_day", {"all": (-365, -1)}, m)
-    t = asof.sums_before(t, parts.where("opp_hand is not null"), ["player_id", "team", "opp_hand"], "start_day", "start_day", {"hand": (-365, -1)}, m)
+    for x in ("num", "den"):
+        t = t.withColumn(f"{x}_hand", F.coalesce(*[F.when(F.col("opp_hand") == h, F.col(f"{x}{h}_all")) for h in HANDS]))
     own = (F.col("num_all") / 1000 + BATTER_PRIOR * LEAGUE_WOBA) / (F.col("den_all") + BATTER_PRIOR)
     hand = (F.coalesce("num_hand", F.lit(0)) / 1000 + BATTER_HAND_PRIOR * own) / (F.coalesce("den_hand", F.lit(0)) + BATTER_HAND_PRIOR)
     ok = F.col("den_all") > 0
@@ -232,43 +239,43 @@ STARS, STAR_PA, STAR_DAYS = 2, 200, 365
 ARMS, ARM_OUTS, ARM_DAYS = 3, 9, 30
 
 
-def _roster(asked: DataFrame, lines: DataFrame, days: int) -> DataFrame:
-    """asked (team, start_day) with each player who may have a line for the team in the days before: by cells of days, no range join."""
-    cell = F.expr(f"start_day div {days}")
-    seen = lines.select("team", "player_id", F.explode(F.array(cell, cell + 1)).alias("cell")).distinct()
-    return asked.withColumn("cell", cell).join(seen, ["team", "cell"]).drop("cell")
-
-
 def _out_of(best: DataFrame, targets: DataFrame, transactions: DataFrame, name: str) -> DataFrame:
     """targets with how many of their day's best players are out; NULL without one, or before the first move ever told."""
-    first = transactions.agg(F.min("at_day")).first()[0]  # one number: since when the archive is alive
+    alive = transactions.agg(F.min("at_day")).scalar() < F.col("start_day")  # one number, found when the plan runs
     days = out_as_of(best, transactions).groupBy("team", "start_day").agg(F.count_if("is_out").alias("__out"))
-    return targets.join(days, ["team", "start_day"], "left").withColumn(name, F.when(F.lit(first) < F.col("start_day"), F.col("__out"))).drop("__out")
+    return targets.join(days, ["team", "start_day"], "left").withColumn(name, F.when(alive, F.col("__out"))).drop("__out")
+
+
+def star_score(sums: np.ndarray, _: tuple) -> np.ndarray:
+    """The shrunk wOBA, rounded to four places, of batters with enough appearances, as a whole number; better is less. Sums: thousandths of its numerator
+    and its denominator, so the rounding is exact: half away from zero."""
+    num, den = sums[:, 0] + round(BATTER_PRIOR * LEAGUE_WOBA * 1000), sums[:, 1] + BATTER_PRIOR
+    return np.where(sums[:, 1] >= STAR_PA, -((20 * num + den) // np.maximum(2 * den, 1)), np.nan)
+
+
+def arm_score(sums: np.ndarray, context: tuple) -> np.ndarray:
+    """Expected run prevention of the month for relievers with enough outs, under the day's league constants; less is better."""
+    outs, k, bb, hbp, fb = sums.T
+    hrfb, core = context
+    return np.where(outs >= ARM_OUTS, np.round((13 * fb * hrfb + 3 * (bb + hbp) - 2 * k + XFIP_PRIOR * core) / (outs / 3 + XFIP_PRIOR), 9), np.nan)
 
 
 def star_out(targets: DataFrame, lines: DataFrame, transactions: DataFrame) -> DataFrame:
-    """F25 for each (event, team, day): how many of the team's two best batters of the year before (200 appearances or more, ties by
-    id) are out by moves strictly before the day."""
+    """F25 for each (event, team, day): how many of the team's two best batters of the year before (200 appearances or more, wOBA rounded to four
+    places, ties by id) are out by moves strictly before the day."""
     num, den = woba_parts()
     parts = lines.select("team", "player_id", "start_day", F.round(num * 1000).cast("bigint").alias("num"), den.alias("den"))
-    asked = _roster(targets.select("team", "start_day").distinct(), parts, STAR_DAYS)
-    year = asof.sums_before(asked, parts, ["team", "player_id"], "start_day", "start_day", {"y": (-STAR_DAYS, -1)}, {"num": F.col("num"), "den": F.col("den")})
-    woba = (F.col("num_y") / 1000 + BATTER_PRIOR * LEAGUE_WOBA) / (F.col("den_y") + BATTER_PRIOR)
-    best = asof.first_by(year.where(F.col("den_y") >= STAR_PA).withColumn("woba", woba), ["team", "start_day"], [F.desc("woba"), F.col("player_id").cast("string")], STARS)
-    return _out_of(best.select("team", "start_day", "player_id"), targets, transactions, "star_out_flag")
+    found = topk.best(targets.select("team", "start_day").distinct(), parts, ["team"], "player_id", "start_day", STAR_DAYS, ["num", "den"], STARS, star_score)
+    return _out_of(found, targets, transactions, "star_out_flag")
 
 
 def bullpen_out(targets: DataFrame, relief: DataFrame, transactions: DataFrame) -> DataFrame:
     """F16 for each (event, team, day): how many of the team's three best relievers of the 30 days before (9 outs or more, lower is
     better, ties by id) are out by moves strictly before the day; NULL also while the league has no relief lines."""
     relief = with_fly_balls(relief)
-    days = targets.select("team", "start_day").distinct()
-    counts = ("outs", "k", "bb", "hbp", "hr", "fb")
-    month = asof.sums_before(_roster(days, relief, ARM_DAYS), relief, ["team", "player_id"], "start_day", "start_day", {"m": (-ARM_DAYS, -1)}, {c: F.col(c) for c in counts})
-    arms = day_league(month.where(F.col("outs_m") >= ARM_OUTS), relief).where("lg_core is not null")
-    arms = arms.withColumn("xfip", rounded(shrunk_xfip({c: F.col(f"{c}_m") for c in counts}), 9))
-    best = asof.first_by(arms, ["team", "start_day"], ["xfip", F.col("player_id").cast("string")], ARMS)
-    return _out_of(best.select("team", "start_day", "player_id"), targets, transactions, "bullpen_il_depletion")
+    days = day_league(targets.select("team", "start_day").distinct(), relief).where("lg_core is not null")
+    found = topk.best(days, relief, ["team"], "player_id", "start_day", ARM_DAYS, ["outs", "k", "bb", "hbp", "fb"], ARMS, arm_score, ["lg_hrfb", "lg_core"])
+    return _out_of(found, targets, transactions, "bullpen_il_depletion")
 
 
 def market_prior(odds: DataFrame, starts: DataFrame) -> DataFrame:
