@@ -175,9 +175,20 @@ def test_alignment_brute_force(spark, monkeypatch, span, part):
 def test_alignment_parts_join():
     both = tokalign.Pair(tokalign._read(BYTES), tokalign._read(PIECES))
     text = ("lorem ipsum, dolor's  sit 12 amet\n" * 40_000)
-    assert len(text) > tokalign.GATHERED and len(both.parts(text)) > 4 and "".join(both.parts(text)) == text
+    assert len(text) > tokalign.GATHERED and len(both.parts(text)) > 4 and " ".join(both.parts(text)) == text
     a, b = both.encode([text])[0]
-    assert a == both.a.encode(" " + text, add_special_tokens=False).ids and b == both.b.encode(text)
+    assert a.tolist() == both.a.encode(" " + text, add_special_tokens=False).ids and b.tolist() == both.b.encode(text)
+
+
+def test_alignment_chunks_equal_whole_texts():
+    rng = random.Random(2)
+    both = tokalign.Pair(tokalign._read(BYTES), tokalign._read(PIECES))
+    odd = [" ", "  ", "\n", "\t", "\xa0", "\u2003", "\u0085", "\u180e", "\u200b", "\x1c", "▁", "'s", "'", "a", "Z", "9", "é", "漢", "😀", ".", "<unk>", "\x00", "½", "ǅ", "\u0301"]
+    texts = ["".join(rng.choice(odd) for _ in range(rng.randint(1, 25))) for _ in range(4000)]
+    for text, (a, b) in zip(texts, both.encode(texts)):
+        ia, ib = both.a.encode(" " + text, add_special_tokens=False).ids, both.b.encode(text)
+        spelled = all(b"".join(t[x] for x in ids) == (" " + text).encode() for ids, t in ((ia, both.bytes_a), (ib, both.bytes_b)))
+        assert (a.tolist(), b.tolist()) == ((ia, ib) if spelled else ([], [])), repr(text)
 
 
 # -- secret scans

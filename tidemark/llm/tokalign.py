@@ -12,9 +12,10 @@ alone: of two tokens that end together the shorter one's bytes end the longer on
 tokens have bytes (about 0.6 million here). Therefore it may be broadcast, and a second pass over the stored links marks those
 whose pair is its B id's most frequent one.
 
-Rows get a number when they are encoded; numbered events, and later the links, are written to the shared folder, so a lost
-executor can't number them anew. Texts are encoded in parts of ``PART`` code points that begin at a single space between
-two other characters, where neither tokenizer merges across; so very long texts need no memory in proportion.
+A document is named by a digest of its text and kept columns and by the partition that encodes it, so a task that runs again makes the same events in
+whatever order its rows come; rows that are equal in all of these share one name and are counted. Links are written to the shared folder once. Texts
+are cut at single spaces between two other characters, where neither tokenizer merges across; the chunks are encoded by the libraries and
+remembered (bounded), and very long texts are taken ``PART`` code points at a time.
 
 Cases: null and empty texts, and texts whose joined tokens differ from space + text (such as one that holds U+2581), have no tokens:
 zeros and an empty ``groups_sha256``. Strings of special tokens are plain text. Repeated rows are rows of their own and count
@@ -31,15 +32,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, prepare, stored
+from tidemark.llm.common import prepare, stored
 
 #: Bytes of text whose events share a row; code points that are encoded at a time, and of all texts that are.
 SPAN, PART, GATHERED = 1 << 16, 1 << 18, 1 << 20
-_CUT = re.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
+#: Chunks that a worker remembers, and the longest one that it does.
+KNOWN, LONGEST = 600_000, 48
+_CUT = re.compile(r" (?=[^\s▁])(?<=[^\s▁] )")
 
 
 class Pair:
@@ -64,46 +68,74 @@ class Pair:
         self.sizes = [np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b)]
         pieces = map(self.b.id_to_piece, range(n))
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)  # no piece holds a space after another character
+        self.kinds = [_width(len(x)) for x in self.sizes]
+        self.known: dict[str, tuple[bytes, bytes, bool]] = {}
 
     def parts(self, text: str) -> list[str]:
-        """The text cut before single spaces between other characters; each part but the first begins with its space."""
+        """The text cut at single spaces between other characters, which go; but for the last, parts have ``PART`` code points or more."""
         out, at = [], 0
         while self.cuts and len(text) - at > PART:
             cut = _CUT.search(text, at + PART)
             if not cut:
                 break
             out.append(text[at : cut.start()])
-            at = cut.start()
+            at = cut.end()
         return [*out, text[at:]]
 
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Ids of both lists for each text; ([], []) where they don't spell it."""
-        out: list[tuple[list[int], list[int]]] = [([], []) for _ in texts]
-        batch, held = [], 0
+    def _learn(self, chunks: list[str]) -> dict[str, tuple[bytes, bytes, bool]]:
+        """Of each chunk the ids of both lists, packed, and whether they spell it. Chunks that stand between single spaces are encoded side by side
+        in one text, and told apart by the bytes that their tokens spell."""
+        made = {}
+        between = [c for c in chunks if self.cuts and c and not (c[0].isspace() or c[-1].isspace() or "▁" in c)]
+        if between:
+            text = " ".join(between)
+            both = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, self.b.encode([text], num_threads=1)[0]
+            if all(b"".join([t[i] for i in ids]) == (" " + text).encode() for ids, t in zip(both, (self.bytes_a, self.bytes_b))):
+                stops = np.cumsum([len(c.encode()) + 1 for c in between])
+                cut = []
+                for ids, sizes, kind in zip(both, self.sizes, self.kinds):
+                    ids = np.array(ids, kind)
+                    at = (np.searchsorted(np.cumsum(sizes[ids]), stops) + 1) * ids.itemsize
+                    data, at = ids.tobytes(), at.tolist()
+                    cut.append([data[x:y] for x, y in zip([0, *at], at)])
+                made = {c: (a, b, True) for c, a, b in zip(between, *cut)}
+        rest = [c for c in chunks if c not in made]
+        for c, a, b in zip(rest, self.a.encode_batch_fast([" " + c for c in rest], add_special_tokens=False), self.b.encode(rest, num_threads=1)):
+            a, want = a.ids, (" " + c).encode()
+            ok = b"".join([self.bytes_a[i] for i in a]) == want == b"".join([self.bytes_b[i] for i in b])
+            made[c] = np.array(a, self.kinds[0]).tobytes(), np.array(b, self.kinds[1]).tobytes(), ok
+        if len(self.known) + len(made) > KNOWN:
+            self.known.clear()
+        self.known.update((c, x) for c, x in made.items() if len(c) <= LONGEST)
+        return made
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of both lists for each text; none where they don't spell it."""
+        packed: list[tuple[list[bytes], list[bytes]]] = [([], []) for _ in texts]
+        good, batch, held = [True] * len(texts), [], 0
 
         def flush() -> None:
-            spaced = [p if k else " " + p for _, k, p in batch]
-            bare = [p[1:] if k else p for _, k, p in batch]
-            for (i, _, _), a, b in zip(batch, self.a.encode_batch_fast(spaced, add_special_tokens=False), self.b.encode(bare, num_threads=1)):
-                out[i][0].extend(a.ids)
-                out[i][1].extend(b)
+            cut = [(i, _CUT.split(p) if self.cuts else [p]) for i, p in batch]
+            known = self.known
+            new = list({c for _, chunks in cut for c in chunks if c not in known})
+            known = dict(known) if len(known) + len(new) > KNOWN else known  # what is known now outlives a clearing
+            made = self._learn(new)
+            for i, chunks in cut:
+                found = [known.get(c) or made[c] for c in chunks]
+                packed[i][0].append(b"".join([x[0] for x in found]))
+                packed[i][1].append(b"".join([x[1] for x in found]))
+                good[i] = good[i] and all([x[2] for x in found])
             batch.clear()
 
         for i, text in enumerate(texts):
-            if not text:
-                continue
-            for k, part in enumerate(self.parts(text)):
-                batch.append((i, k, part))
+            for part in self.parts(text) if text else ():
+                batch.append((i, part))
                 held += len(part)
                 if held >= GATHERED:
                     flush()
                     held = 0
         flush()
-        for i, text in enumerate(texts):
-            want = b" " + text.encode()
-            if any(b"".join([t[x] for x in ids]) != want for ids, t in zip(out[i], (self.bytes_a, self.bytes_b))):
-                out[i] = ([], [])
-        return out
+        return [tuple(np.frombuffer(b"".join(x) if ok else b"", k) for x, k in zip(two, self.kinds)) for two, ok in zip(packed, good)]
 
 
 def _byte_alphabet(byte_level) -> str:
@@ -131,12 +163,19 @@ def _width(n: int) -> str:
     return "<u2" if n <= 1 << 16 else "<u4"
 
 
-def _kept(df: DataFrame, keep: list[str]) -> str:
-    return "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep)
+def _planes(values: np.ndarray) -> bytes:
+    """Whole numbers by byte planes, which compress better."""
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def _from_planes(data: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
 
 
 def events(docs: DataFrame, files: tuple[bytes, bytes], keep: list[str], text: str = "text") -> DataFrame:
-    """Packed end events: __al_row, __al_at (span), __al_list (0: A, 1: B), __al_ids; a document's last B row carries keep."""
+    """Packed end events: __al_row (name of a document), __al_at (span), __al_list (0: A, 1: B), __al_ids (compressed); a document's last B row
+    carries keep. A row that is equal to an earlier one of its partition has a single event, of span -1."""
     spark = docs.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast(files)
@@ -145,32 +184,40 @@ def events(docs: DataFrame, files: tuple[bytes, bytes], keep: list[str], text: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = _pair(shared.value)
-        widths = [_width(len(x)) for x in both.sizes]
-        row = TaskContext.get().partitionId() << 40
+        packer, here, seen = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId().to_bytes(4, "big"), set()
         for batch in batches:
             rows, ats, lists, lasts, packed, from_ = [], [], [], [], [], []
-            for i, two in enumerate(both.encode([x or "" for x in batch.column(0).to_pylist()])):
-                arrays = [np.array(ids, np.int64) for ids in two]
-                ends = [np.cumsum(s[x]) for s, x in zip(both.sizes, arrays)]
+            texts = [x or "" for x in batch.column(0).to_pylist()]
+            kept = [repr(v).encode() for v in zip(*[c.to_pylist() for c in batch.columns[1:]])] if keep else [b""] * len(texts)
+            named = [hashlib.blake2b(t.encode(), digest_size=16, key=hashlib.blake2b(k, digest_size=32).digest()).digest() + here for t, k in zip(texts, kept)]
+            first = []
+            for i, row in enumerate(named):
+                if row in seen:
+                    for column, v in zip((rows, ats, lists, lasts, packed, from_), (row, -1, 0, False, b"", None)):
+                        column.append(v)
+                else:
+                    seen.add(row)
+                    first.append(i)
+            for i, two in zip(first, both.encode([texts[i] for i in first])):
+                ends = [np.cumsum(s[x]) for s, x in zip(both.sizes, two)]
                 spans = max(1, -(-int(ends[0][-1]) // SPAN) if len(ends[0]) else 1)
                 bounds = [np.searchsorted(e, np.arange(1, spans) * SPAN, "right") for e in ends]
-                cut = [np.split(x.astype(w), b) for x, w, b in zip(arrays, widths, bounds)]
+                cut = [np.split(x, b) for x, b in zip(two, bounds)]
                 for at in range(spans):
                     for which in (0, 1):
                         last = which == 1 and at == spans - 1
-                        rows.append(row)
+                        rows.append(named[i])
                         ats.append(at)
                         lists.append(which)
                         lasts.append(last)
-                        packed.append(cut[which][at].tobytes())
+                        packed.append(packer.compress(_planes(cut[which][at])))
                         from_.append(i if last else None)
-                row += 1
             index = pa.array(from_, pa.int64())
-            columns = [pa.array(rows, pa.int64()), pa.array(ats, pa.int32()), pa.array(lists, pa.int8()), pa.array(lasts, pa.bool_()), pa.array(packed, pa.binary())]
+            columns = [pa.array(rows, pa.binary()), pa.array(ats, pa.int32()), pa.array(lists, pa.int8()), pa.array(lasts, pa.bool_()), pa.array(packed, pa.binary())]
             yield pa.RecordBatch.from_arrays([*columns, *[c.take(index) for c in batch.columns[1:]]], names=names)
 
     kinds = ", ".join(f"`{c}` {own.schema[c].dataType.simpleString()}" for c in keep)
-    return own.mapInArrow(run, "__al_row bigint, __al_at int, __al_list tinyint, __al_last boolean, __al_ids binary" + (f", {kinds}" if keep else ""))
+    return own.mapInArrow(run, "__al_row binary, __al_at int, __al_list tinyint, __al_last boolean, __al_ids binary" + (f", {kinds}" if keep else ""))
 
 
 class Machine:
@@ -238,12 +285,12 @@ class Machine:
 
 
 def sweep(table: DataFrame, files: tuple[bytes, bytes], keep: list[str], spelled: bool = False) -> DataFrame:
-    """Rows of two kinds from events. Spans: __al_row, __al_at, __al_links (packed pair numbers) and, if ``spelled``, groups as text; a document's last
+    """Rows of two kinds from events. Spans: __al_row, __al_at, __al_times (rows that share the name), __al_links (packed pair numbers) and, if ``spelled``, groups as text; a document's last
     one also has keep, n_a, n_b, n_groups, n_links and groups_sha256. Counts: __al_pair and __al_count of each task."""
     spark = table.sparkSession
     shared = spark.sparkContext.broadcast(files)
     dealt = table.repartition("__al_row").sortWithinPartitions("__al_row", "__al_at", "__al_list")
-    own = [("__al_row", "bigint", pa.int64()), ("__al_at", "int", pa.int32()), ("__al_links", "binary", pa.binary()), ("n_a", "bigint", pa.int64()), ("n_b", "bigint", pa.int64()), ("n_groups", "bigint", pa.int64()), ("n_links", "bigint", pa.int64()), ("groups_sha256", "string", pa.string()), ("__al_pair", "bigint", pa.int64()), ("__al_count", "bigint", pa.int64())]
+    own = [("__al_row", "binary", pa.binary()), ("__al_at", "int", pa.int32()), ("__al_times", "bigint", pa.int64()), ("__al_links", "binary", pa.binary()), ("n_a", "bigint", pa.int64()), ("n_b", "bigint", pa.int64()), ("n_groups", "bigint", pa.int64()), ("n_links", "bigint", pa.int64()), ("groups_sha256", "string", pa.string()), ("__al_pair", "bigint", pa.int64()), ("__al_count", "bigint", pa.int64())]
     if spelled:
         own.append(("groups", "string", pa.string()))
     names = [x[0] for x in own] + keep
@@ -251,31 +298,39 @@ def sweep(table: DataFrame, files: tuple[bytes, bytes], keep: list[str], spelled
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = _pair(shared.value)
-        machine, widths = Machine(both.sizes), [_width(len(x)) for x in both.sizes]
+        machine, widths = Machine(both.sizes), both.kinds
         wide = _link_width(both)
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        loose, n_loose, first = [], 0, None
-        kinds = None
+        loose, n_loose, first, times, at_row = [], 0, None, 1, None
+        kinds, unpacker = [pa.null()] * len(keep), zstandard.ZstdDecompressor()
         for batch in batches:
             kinds = [c.type for c in batch.columns[5:]]
             out: list[list] = [[] for _ in own]
             from_ = []
             rows, ats, lists, lasts, packed = (batch.column(k).to_pylist() for k in range(5))
             for i in range(batch.num_rows):
-                ids = np.frombuffer(packed[i], widths[lists[i]])
+                if rows[i] != at_row:
+                    at_row, times = rows[i], 1
+                if ats[i] < 0:
+                    times += 1
+                    continue
+                ids = _from_planes(unpacker.decompress(packed[i]), widths[lists[i]])
                 if lists[i] == 0:
                     first = ids
                     continue
                 if ats[i] == 0:
                     machine.start()
                 links, said = machine.span(ats[i], first, ids)
-                loose.append(links)
-                n_loose += len(links)
-                if n_loose >= 1 << 21:
-                    keys, counts = _merged(keys, counts, loose)
-                    loose, n_loose = [], 0
+                if times == 1:
+                    loose.append(links)
+                    n_loose += len(links)
+                    if n_loose >= 1 << 21:
+                        keys, counts = _merged(keys, counts, loose)
+                        loose, n_loose = [], 0
+                else:
+                    keys, counts = _merged(keys, counts, [links], times)
                 last = lasts[i]
-                values = [rows[i], ats[i], links.astype(wide).tobytes(), *((*machine.counts, machine.groups, machine.groups, machine.hash.hexdigest() if machine.groups else "") if last else (None,) * 5), None, None]
+                values = [rows[i], ats[i], times, _planes(links.astype(wide)), *((*machine.counts, machine.groups, machine.groups, machine.hash.hexdigest() if machine.groups else "") if last else (None,) * 5), None, None]
                 for column, v in zip(out, values + ([said.decode()] if spelled else [])):
                     column.append(v)
                 from_.append(i if last else None)
@@ -290,13 +345,13 @@ def sweep(table: DataFrame, files: tuple[bytes, bytes], keep: list[str], spelled
     return dealt.mapInArrow(run, ", ".join([*(f"{n} {s}" for n, s, _ in own), *(f"`{c}` {dealt.schema[c].dataType.simpleString()}" for c in keep)]))
 
 
-def _merged(keys: np.ndarray, counts: np.ndarray, loose: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted pair numbers with their counts, with those of more links; at most as many as there are possible pairs."""
+def _merged(keys: np.ndarray, counts: np.ndarray, loose: list[np.ndarray], times: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted pair numbers with their counts, with those of more links, each met so many times; at most as many as there are possible pairs."""
     if not loose:
         return keys, counts
     new, n = np.unique(np.concatenate(loose), return_counts=True)
     both, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
-    return both, np.bincount(at, np.concatenate([counts, n]), len(both)).astype(np.int64)
+    return both, np.bincount(at, np.concatenate([counts, n * times]), len(both)).astype(np.int64)
 
 
 def _link_width(both: Pair) -> str:
@@ -315,9 +370,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, keep: list[str], text: str
     spark = docs.sparkSession
     files = tuple(_read(p) for p in (path_a, path_b))
     shared = spark.sparkContext.broadcast(files)
-    table = stored(events(docs, files, keep, text), "events")
-    swept = stored(sweep(table, files, keep), "links")
-    discard(table)
+    swept = stored(sweep(events(docs, files, keep, text), files, keep), "links")
     both = _pair(files)
     found = pair_counts(swept, len(both.bytes_b)).select("pair", "count", "best").toArrow()  # bounded by the vocabularies
     order = np.argsort(found.column("pair").to_numpy())
@@ -329,26 +382,29 @@ def align(docs: DataFrame, path_a: str, path_b: str, keep: list[str], text: str
         for b in batches:
             n_best, total = [], []
             for x in b.column(1).to_pylist():
-                at = np.searchsorted(keys, np.frombuffer(x, wide))
+                at = np.searchsorted(keys, _from_planes(x, wide))
                 n_best.append(int(best[at].sum()))
                 total.append(int(counts[at].sum()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_best, pa.int64()), pa.array(total, pa.int64()), *b.columns[2:]], names=["__al_row", "n_best", "count_sum", *names])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_best, pa.int64()), pa.array(total, pa.int64()), *b.columns[2:]], names=["__al_row", "__al_best", "__al_sum", *names])
 
-    names = ["n_a", "n_b", "n_groups", "n_links", "groups_sha256", *keep]
+    names = ["__al_times", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", *keep]
     spans = swept.where("__al_row is not null").select("__al_row", "__al_links", *[F.col(c) for c in names])
     kinds = ", ".join(f"`{c}` {spans.schema[c].dataType.simpleString()}" for c in names)
-    rows = spans.mapInArrow(run, f"__al_row bigint, n_best bigint, count_sum bigint, {kinds}").groupBy("__al_row")
+    rows = spans.mapInArrow(run, f"__al_row binary, __al_best bigint, __al_sum bigint, {kinds}").groupBy("__al_row")
     # keep and the totals stand in a document's last span alone
-    rows = rows.agg(F.sum("n_best").alias("__al_best"), F.sum("count_sum").alias("__al_sum"), F.max_by(F.struct(*[F.col(c) for c in names]), F.col("n_a").isNotNull()).alias("__al_doc"))
+    rows = rows.agg(F.sum("__al_best").alias("__al_best"), F.sum("__al_sum").alias("__al_sum"), F.max_by(F.struct(*[F.col(c) for c in names]), F.col("groups_sha256").isNotNull()).alias("__al_doc"))
+    rows = rows.withColumn("__al_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__al_doc")["__al_times"])))
     return rows.select(*[F.col("__al_doc")[c].alias(c) for c in (*keep, "n_a", "n_b", "n_groups", "n_links")], F.col("__al_best").alias("n_best"), F.col("__al_sum").alias("count_sum"), F.col("__al_doc")["groups_sha256"].alias("groups_sha256"))
 
 
 def groups(docs: DataFrame, path_a: str, path_b: str, keep: list[str], text: str = "text") -> DataFrame:
     """keep and ``groups`` (text, as hashed in groups_sha256) of each document, from the same sweep."""
     files = tuple(_read(p) for p in (path_a, path_b))
-    swept = sweep(stored(events(docs, files, keep, text), "events"), files, keep, spelled=True).where("__al_row is not null")
-    rows = swept.groupBy("__al_row").agg(F.sort_array(F.collect_list(F.struct("__al_at", "groups"))).alias("g"), F.max_by(F.struct(F.lit(0).alias("__al_"), *[F.col(c) for c in keep]), F.col("n_a").isNotNull()).alias("d"))
-    return rows.select(*[F.col("d")[c].alias(c) for c in keep], F.array_join(F.transform("g", lambda x: x["groups"]), "").alias("groups"))
+    swept = sweep(events(docs, files, keep, text), files, keep, spelled=True).where("__al_row is not null")
+    one = F.struct(F.col("__al_times"), *[F.col(c) for c in keep])
+    rows = swept.groupBy("__al_row").agg(F.sort_array(F.collect_list(F.struct("__al_at", "groups"))).alias("__al_groups"), F.max_by(one, F.col("groups_sha256").isNotNull()).alias("__al_doc"))
+    rows = rows.withColumn("__al_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__al_doc")["__al_times"])))
+    return rows.select(*[F.col("__al_doc")[c].alias(c) for c in keep], F.array_join(F.transform("__al_groups", lambda x: x["groups"]), "").alias("groups"))
 
 
 def _read(path: str) -> bytes:
