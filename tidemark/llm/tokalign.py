@@ -163,14 +163,15 @@ def _width(n: int) -> str:
     return "<u2" if n <= 1 << 16 else "<u4"
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Whole numbers by byte planes, which compress better."""
-    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+def _planes(values: np.ndarray, kind: str) -> bytes:
+    """Rising whole numbers as differences by byte planes, which compress better."""
+    steps = np.diff(values, prepend=0).astype(kind)
+    return steps.view(np.uint8).reshape(-1, steps.itemsize).T.tobytes()
 
 
 def _from_planes(data: bytes, kind: str) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
+    steps = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+    return np.cumsum(steps, dtype=np.int64)
 
 
 def events(docs: DataFrame, files: tuple[bytes, bytes], keep: list[str], text: str = "text") -> DataFrame:
@@ -210,7 +211,7 @@ def events(docs: DataFrame, files: tuple[bytes, bytes], keep: list[str], text: s
                         ats.append(at)
                         lists.append(which)
                         lasts.append(last)
-                        packed.append(packer.compress(_planes(cut[which][at])))
+                        packed.append(packer.compress(cut[which][at].tobytes()))
                         from_.append(i if last else None)
             index = pa.array(from_, pa.int64())
             columns = [pa.array(rows, pa.binary()), pa.array(ats, pa.int32()), pa.array(lists, pa.int8()), pa.array(lasts, pa.bool_()), pa.array(packed, pa.binary())]
@@ -285,12 +286,12 @@ class Machine:
 
 
 def sweep(table: DataFrame, files: tuple[bytes, bytes], keep: list[str], spelled: bool = False) -> DataFrame:
-    """Rows of two kinds from events. Spans: __al_row, __al_at, __al_times (rows that share the name), __al_links (packed pair numbers) and, if ``spelled``, groups as text; a document's last
+    """Rows of two kinds from events. Spans: __al_row, __al_at, __al_times (rows that share the name), __al_links (different pair numbers, packed), __al_met (how often each is linked) and, if ``spelled``, groups as text; a document's last
     one also has keep, n_a, n_b, n_groups, n_links and groups_sha256. Counts: __al_pair and __al_count of each task."""
     spark = table.sparkSession
     shared = spark.sparkContext.broadcast(files)
     dealt = table.repartition("__al_row").sortWithinPartitions("__al_row", "__al_at", "__al_list")
-    own = [("__al_row", "binary", pa.binary()), ("__al_at", "int", pa.int32()), ("__al_times", "bigint", pa.int64()), ("__al_links", "binary", pa.binary()), ("n_a", "bigint", pa.int64()), ("n_b", "bigint", pa.int64()), ("n_groups", "bigint", pa.int64()), ("n_links", "bigint", pa.int64()), ("groups_sha256", "string", pa.string()), ("__al_pair", "bigint", pa.int64()), ("__al_count", "bigint", pa.int64())]
+    own = [("__al_row", "binary", pa.binary()), ("__al_at", "int", pa.int32()), ("__al_times", "bigint", pa.int64()), ("__al_links", "binary", pa.binary()), ("__al_met", "binary", pa.binary()), ("n_a", "bigint", pa.int64()), ("n_b", "bigint", pa.int64()), ("n_groups", "bigint", pa.int64()), ("n_links", "bigint", pa.int64()), ("groups_sha256", "string", pa.string()), ("__al_pair", "bigint", pa.int64()), ("__al_count", "bigint", pa.int64())]
     if spelled:
         own.append(("groups", "string", pa.string()))
     names = [x[0] for x in own] + keep
@@ -314,29 +315,27 @@ def sweep(table: DataFrame, files: tuple[bytes, bytes], keep: list[str], spelled
                 if ats[i] < 0:
                     times += 1
                     continue
-                ids = _from_planes(unpacker.decompress(packed[i]), widths[lists[i]])
+                ids = np.frombuffer(unpacker.decompress(packed[i]), widths[lists[i]])
                 if lists[i] == 0:
                     first = ids
                     continue
                 if ats[i] == 0:
                     machine.start()
                 links, said = machine.span(ats[i], first, ids)
-                if times == 1:
-                    loose.append(links)
-                    n_loose += len(links)
-                    if n_loose >= 1 << 21:
-                        keys, counts = _merged(keys, counts, loose)
-                        loose, n_loose = [], 0
-                else:
-                    keys, counts = _merged(keys, counts, [links], times)
+                pairs, met = np.unique(links, return_counts=True)
+                loose.append((pairs, met * times))
+                n_loose += len(pairs)
+                if n_loose >= 1 << 20:
+                    keys, counts = _merged([(keys, counts), *loose])
+                    loose, n_loose = [], 0
                 last = lasts[i]
-                values = [rows[i], ats[i], times, _planes(links.astype(wide)), *((*machine.counts, machine.groups, machine.groups, machine.hash.hexdigest() if machine.groups else "") if last else (None,) * 5), None, None]
+                values = [rows[i], ats[i], times, _planes(pairs, wide), met.astype("<u4").tobytes(), *((*machine.counts, machine.groups, machine.groups, machine.hash.hexdigest() if machine.groups else "") if last else (None,) * 5), None, None]
                 for column, v in zip(out, values + ([said.decode()] if spelled else [])):
                     column.append(v)
                 from_.append(i if last else None)
             index = pa.array(from_, pa.int64())
             yield pa.RecordBatch.from_arrays([*[pa.array(v, t) for v, (_, _, t) in zip(out, own)], *[c.take(index) for c in batch.columns[5:]]], names=names)
-        keys, counts = _merged(keys, counts, loose)
+        keys, counts = _merged([(keys, counts), *loose])
         for k in range(0, len(keys), 1 << 16):
             part = {"__al_pair": pa.array(keys[k : k + (1 << 16)], pa.int64()), "__al_count": pa.array(counts[k : k + (1 << 16)], pa.int64())}
             n = len(part["__al_pair"])
@@ -345,13 +344,10 @@ def sweep(table: DataFrame, files: tuple[bytes, bytes], keep: list[str], spelled
     return dealt.mapInArrow(run, ", ".join([*(f"{n} {s}" for n, s, _ in own), *(f"`{c}` {dealt.schema[c].dataType.simpleString()}" for c in keep)]))
 
 
-def _merged(keys: np.ndarray, counts: np.ndarray, loose: list[np.ndarray], times: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted pair numbers with their counts, with those of more links, each met so many times; at most as many as there are possible pairs."""
-    if not loose:
-        return keys, counts
-    new, n = np.unique(np.concatenate(loose), return_counts=True)
-    both, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
-    return both, np.bincount(at, np.concatenate([counts, n * times]), len(both)).astype(np.int64)
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Different pair numbers, sorted, with the sums of their counts; at most as many as there are possible pairs."""
+    pairs, at = np.unique(np.concatenate([p for p, _ in parts]), return_inverse=True)
+    return pairs, np.bincount(at, np.concatenate([c for _, c in parts]), len(pairs)).astype(np.int64)
 
 
 def _link_width(both: Pair) -> str:
@@ -381,14 +377,14 @@ def align(docs: DataFrame, path_a: str, path_b: str, keep: list[str], text: str
         wide = _link_width(_pair(shared.value))
         for b in batches:
             n_best, total = [], []
-            for x in b.column(1).to_pylist():
-                at = np.searchsorted(keys, _from_planes(x, wide))
-                n_best.append(int(best[at].sum()))
-                total.append(int(counts[at].sum()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_best, pa.int64()), pa.array(total, pa.int64()), *b.columns[2:]], names=["__al_row", "__al_best", "__al_sum", *names])
+            for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                at, met = np.searchsorted(keys, _from_planes(x, wide)), np.frombuffer(y, "<u4").astype(np.int64)
+                n_best.append(int((met * best[at]).sum()))
+                total.append(int((met * counts[at]).sum()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_best, pa.int64()), pa.array(total, pa.int64()), *b.columns[3:]], names=["__al_row", "__al_best", "__al_sum", *names])
 
     names = ["__al_times", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", *keep]
-    spans = swept.where("__al_row is not null").select("__al_row", "__al_links", *[F.col(c) for c in names])
+    spans = swept.where("__al_row is not null").select("__al_row", "__al_links", "__al_met", *[F.col(c) for c in names])
     kinds = ", ".join(f"`{c}` {spans.schema[c].dataType.simpleString()}" for c in names)
     rows = spans.mapInArrow(run, f"__al_row binary, __al_best bigint, __al_sum bigint, {kinds}").groupBy("__al_row")
     # keep and the totals stand in a document's last span alone
