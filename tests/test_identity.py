@@ -220,3 +220,26 @@ def test_stream_finishes_what_broke_off(spark, tmp_path, monkeypatch):
     assert {k: v[3] for k, v in events.items()} == {"g1": "x", "g2": None, "odds:y": "y"} and len(prices) == 4
     assert [d[1:] for d in decisions] == [("x", "g1", "merged"), ("y", "odds:y", "created")]
     assert json.dumps(decisions)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the tables aren't here")
+def test_stream_query_equals_one_writer(spark):
+    from tidemark import plans
+    from tidemark.plans import ingest_queries
+
+    sf = "/root/testdata/sf0.001"
+    scheduled, captures = ingest_queries.captures_of(spark, sf)
+    events, stamped, former, prices = {r.event_id: [r.home, r.away, r.start_us, None] for r in scheduled.collect()}, {}, {}, {}
+    for k, c in enumerate(captures):
+        feed = []
+        for r in c.orderBy("place").collect():
+            p = json.loads(r.json)
+            feed.append((p["id"], p["home_team"], p["away_team"], int(datetime.fromisoformat(p["commence_time"]).timestamp()) * 1_000_000))
+        found, events, stamped, former = plain_cycle(feed, events, None, k, stamped, former)
+        for e, _ in found.values():
+            prices[e] = prices.get(e, 0) + 2
+    got = {r.event_id: r for r in plans.QUERIES["u10_stream_resolver"](spark, sf).collect()}
+    assert {k: (r.home, r.away, r.start_us, r.odds_id) for k, r in got.items()} == {k: tuple(v) for k, v in events.items()}
+    assert {k: r.prices for k, r in got.items() if r.prices} == prices
+    assert {k: r.former_ids for k, r in got.items() if r.former_ids} == {k: ",".join(sorted(set(v) - {events[k][3]})) for k, v in former.items() if set(v) - {events[k][3]}}
+    assert any(k.startswith("odds:") for k in got) and former

@@ -33,7 +33,32 @@ def outcome(market: Column, side: Column, home="home_score", away="away_score",
     return F.when(market == "moneyline", won(F.col(home), F.col(away))).when(market == "f5_moneyline", won(F.col(f5_home), F.col(f5_away)))
 
 
-def hashed_probability(text: Column) -> tuple[Column, Column]:
-    """A stable probability in [0.35, 0.65) and the draw behind it, from the text's SHA-256."""
-    draw = F.conv(F.substring(F.sha2(text, 256), 1, 12), 16, 10).cast("bigint") % 1_000_000
-    return 0.35 + 0.3 * draw / 1_000_000, draw
+def hashed_probability(market: Column, home: Column, away: Column) -> Column:
+    """A stable stand-in for a model: the first 16 hexadecimal digits of the SHA-256 of ``market:home@away``, over 2^64, laid into [0.35, 0.65)."""
+    digits = F.substring(F.sha2(F.concat(market, F.lit(":"), home, F.lit("@"), away), 256), 1, 16)
+    return 0.35 + 0.30 * (F.conv(digits, 16, 10).cast("decimal(20,0)").cast("double") / float(1 << 64))
+
+
+def percent(p: Column, digits: int = 1) -> Column:
+    """A share as a percentage."""
+    return F.format_string(f"%.{digits}f%%", p * 100)
+
+
+def signed_points(x: Column) -> Column:
+    """An edge or expected value in points, with the sign of a gain shown."""
+    return F.concat(F.when(x >= 0, "+").otherwise(""), percent(x))
+
+
+def shown_odds(d: Column) -> Column:
+    """Decimal odds to two places."""
+    return F.format_string("%.2f", d)
+
+
+def shown_stake(fraction: Column) -> Column:
+    """A stake as a percentage of the bankroll."""
+    return percent(fraction, 2)
+
+
+def pairing(home: Column, away: Column) -> Column:
+    """A contest's label."""
+    return F.concat(away, F.lit(" @ "), home)

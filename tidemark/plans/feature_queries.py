@@ -316,6 +316,21 @@ def f29_f30_snapshot_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vec.groupBy(X.canonical(["games_30d", "runs_pg_30d"]).alias("features_hash")).agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"))
 
 
+@query(
+    B.cte("sides")
+    + f""", w AS (SELECT event_id, is_home, count(*) OVER m AS g, round(avg(scored) OVER m, 4) AS s FROM sides WINDOW m AS (PARTITION BY team ORDER BY start_us RANGE BETWEEN {30 * DAY} PRECEDING AND 1 PRECEDING)),
+    t AS (SELECT event_id, CASE WHEN is_home THEN 'moneyline' ELSE 'f5_moneyline' END AS market, sha256('{{' || '"games_30d":' || CAST(CAST(g AS DECIMAL(18,4)) AS VARCHAR) || ',' || '"runs_pg_30d":' || coalesce(CAST(CAST(s AS DECIMAL(18,4)) AS VARCHAR), 'null') || '}}') AS features_hash FROM w)
+    SELECT event_id, market, features_hash, event_id % 5 AS as_of FROM t WHERE NOT (event_id % 4 = 0 AND market = 'moneyline')"""
+)
+def f30_snapshot_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors taken three times: each (event, market, hash) is stored once, at its first instant, unless the archive has it."""
+    rows = asof.rolling(B.sides(spark, sf_dir), ["team"], "start_us", {"30d": (-30 * DAY, -1)}, {"n": F.lit(1), "s": F.col("scored")})
+    n = F.coalesce("n_30d", F.lit(0))
+    vec = rows.select("event_id", F.when(F.col("is_home"), "moneyline").otherwise("f5_moneyline").alias("market"), n.alias("games_30d"), rounded(X.known_ratio(F.col("s_30d"), n)).alias("runs_pg_30d"))
+    vec = vec.select("event_id", "market", X.canonical(["games_30d", "runs_pg_30d"]).alias("features_hash"), F.explode(F.array(*[F.col("event_id") % 5 + k for k in (2, 0, 1)])).alias("as_of"))
+    return X.new_snapshots(vec, vec.where("event_id % 4 = 0 and market = 'moneyline'"))
+
+
 @query(
     """WITH o AS (SELECT user_id AS event_id, event_type AS book, event_id % 2 = 0 AS home, (10100 + CAST(round(value * 100) AS BIGINT)) / 10000 AS price, epoch_us(ts) // 86400000000 AS captured FROM events),
     s AS (SELECT event_id, max(captured) - event_id % 10 AS start FROM o GROUP BY event_id),
@@ -356,3 +371,20 @@ def f28_full_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole vector of the moneyline: every block of both sides, with season and target."""
     games = B.contests(spark, sf_dir).where("status = 'final'")
     return X.training_frame(games, blocks(spark, sf_dir), "moneyline").drop("start")
+
+
+def _f5_sql() -> str:
+    """The vector of the first five innings: the same blocks without the bullpen's, over games whose first five ended uneven."""
+    whole = _vector_sql()
+    columns = [c for c in X.vector_columns("f5_moneyline")]
+    head, tail = whole.split(" SELECT g.event_id, year(g.start) AS season", 1)
+    joins = tail[tail.index(" FROM g ") :]
+    shown = ", ".join(f"{'h_' if c.startswith('home_') else 'a_'}{b}.{c[5:]} AS {c}" if c[5:] != "lineup_is_confirmed" else f"0 AS {c}" for c in columns for b in [next(b for b, cols in X.BLOCKS.items() if c[5:] in cols)])
+    return f"{head.replace('home_score <> away_score', 'f5_home <> f5_away')} SELECT g.event_id, year(g.start) AS season, CAST(g.f5_home > g.f5_away AS INTEGER) AS target, {shown}{joins}"
+
+
+@query(_f5_sql())
+def f28_f5_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the vector of the first five innings, without the bullpen blocks."""
+    games = B.contests(spark, sf_dir).where("status = 'final'")
+    return X.training_frame(games, blocks(spark, sf_dir), "f5_moneyline").drop("start")

@@ -344,3 +344,11 @@ def canonical(features: list[str]) -> Column:
     """SHA-256 of the vector's canonical JSON: fields in order of name, NULLs kept, numbers as decimal strings."""
     fields = [F.coalesce(F.col(c).cast("decimal(18,4)").cast("string"), F.lit("null")) for c in sorted(features)]
     return F.sha2(F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{c}":'), v) for c, v in zip(sorted(features), fields)]), F.lit("}")), 256)
+
+
+def new_snapshots(vectors: DataFrame, archive: DataFrame) -> DataFrame:
+    """of vectors (event_id, market, features_hash, ...) those to store: each (event, market, hash) once, the earliest by ``as_of`` where there is such
+    a column, and none that the archive has. Equal vectors of different events or markets are different snapshots."""
+    key = ["event_id", "market", "features_hash"]
+    first = asof.first_by(vectors, key, ["as_of"]) if "as_of" in vectors.columns else vectors.dropDuplicates(key)
+    return first.join(archive.select(*key).distinct(), key, "left_anti")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.metrics import rounded
@@ -15,12 +15,13 @@ from tidemark.ml import walkforward
 from tidemark.operators import asof, histories, identity
 from tidemark.plans import bindings as B
 from tidemark.plans import features as X
-from tidemark.plans import jobs
+from tidemark.plans import jobs, repair
 from tidemark.plans.registry import query
-from tidemark.plans.relational_queries import table
+from tidemark.plans.relational_queries import starts, table
+from tidemark.plans.registry import ORACLE
 from tidemark.session import adopt, shared_dir
 from tidemark.sources import feeds
-from tidemark.streaming import capture
+from tidemark.streaming import alarms, capture, resolver
 
 
 def _json(df: DataFrame, column) -> DataFrame:
@@ -225,6 +226,63 @@ def u12_orphan_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.repaired(snaps, pairs)[1]
 
 
+#: Events and prices with orphans: one with a sibling, some with none in reach or with two; a few outcomes have closings on either side.
+_ORPHANS = B.cte("odds") + """, e AS (SELECT DISTINCT event_id, event_id // 10 AS home, CASE WHEN event_id % 10 IN (0, 1) OR event_id % 10 = 2 AND event_id // 10 % 5 = 0 THEN 0 ELSE event_id % 10 END AS away,
+      event_id // 10 * 86400000000 + CASE WHEN event_id % 10 <> 1 THEN 0 WHEN event_id // 10 % 7 = 0 THEN 3600000000 ELSE 60000000 END AS start_us,
+      CASE WHEN event_id % 10 = 1 OR event_id % 3 = 0 THEN 'o' || event_id END AS odds_id, CASE WHEN event_id % 10 <> 1 THEN 's' || event_id END AS schedule_id FROM odds),
+    d AS (SELECT DISTINCT event_id, book, side, captured_at_us // 259200000000 AS captured_at FROM odds),
+    n AS (SELECT *, captured_at = max(captured_at) OVER (PARTITION BY event_id, book, side) AND (event_id % 2 = 1 OR event_id // 10 % 3 = 0) AS is_closing FROM d),
+    sib AS (SELECT o.event_id AS orphan_id, o.odds_id, list(s.event_id) FILTER (WHERE s.event_id IS NOT NULL) AS siblings FROM e o LEFT JOIN e s ON s.schedule_id IS NOT NULL AND s.home = o.home AND s.away = o.away AND abs(s.start_us - o.start_us) <= 300000000
+      WHERE o.odds_id IS NOT NULL AND o.schedule_id IS NULL GROUP BY ALL),
+    p AS (SELECT orphan_id, odds_id, siblings[1] AS to_id FROM sib WHERE len(siblings) = 1),
+    o AS (SELECT n.*, to_id FROM n JOIN p ON orphan_id = event_id), s AS (SELECT * FROM n WHERE event_id NOT IN (SELECT orphan_id FROM p)),
+    oc AS (SELECT to_id, book, side FROM s JOIN p ON to_id = event_id WHERE is_closing),
+    dem AS (SELECT o.*, is_closing AND EXISTS (SELECT 1 FROM oc WHERE oc.to_id = o.to_id AND oc.book = o.book AND oc.side = o.side) AS demoted, EXISTS (SELECT 1 FROM s WHERE s.event_id = o.to_id AND s.book = o.book AND s.side = o.side AND s.captured_at = o.captured_at) AS dupe FROM o),
+    pro AS (SELECT s.event_id, s.book, s.side, s.captured_at, s.is_closing OR EXISTS (SELECT 1 FROM dem WHERE to_id = s.event_id AND dem.book = s.book AND dem.side = s.side AND dem.captured_at = s.captured_at AND dem.is_closing AND NOT demoted) AS is_closing FROM s)"""
+
+
+def _orphaned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    c, tens = F.col, F.expr("event_id div 10")
+    odds = B.entity(spark, sf_dir, "odds")
+    last = c("event_id") % 10
+    start = tens * 86_400_000_000 + F.when(last != 1, 0).when(tens % 7 == 0, 3_600_000_000).otherwise(60_000_000)
+    named = lambda mark: F.concat(F.lit(mark), c("event_id").cast("string"))
+    events = odds.select("event_id").distinct().select(
+        "event_id", tens.alias("home"), F.when(last.isin(0, 1) | ((last == 2) & (tens % 5 == 0)), 0).otherwise(last).alias("away"), start.alias("start_us"),
+        F.when((last == 1) | (c("event_id") % 3 == 0), named("o")).alias("odds_id"), F.when(last != 1, named("s")).alias("schedule_id"))
+    snaps = odds.select("event_id", "book", F.lit("moneyline").alias("market"), "side", F.expr("captured_at_us div 259200000000").alias("captured_at")).distinct().withColumn("price", F.lit(1.9))
+    w = Window.partitionBy("event_id", "book", "side")
+    return events, snaps.withColumn("is_closing", (c("captured_at") == F.max("captured_at").over(w)) & ((c("event_id") % 2 == 1) | (tens % 3 == 0)))
+
+
+@query(_ORPHANS + " SELECT event_id, book, side, captured_at, is_closing FROM pro UNION ALL SELECT to_id, book, side, captured_at, is_closing AND NOT demoted FROM dem WHERE NOT dupe")
+def u12_repaired_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All prices after the repair, with the closing flags that stand."""
+    events, snaps = _orphaned(spark, sf_dir)
+    return repair.repair(events, snaps, repair.orphans(events))[1].select("event_id", "book", "side", "captured_at", "is_closing")
+
+
+@query(_ORPHANS + " SELECT e.event_id, coalesce(p.odds_id, e.odds_id) AS odds_id, schedule_id FROM e LEFT JOIN p ON to_id = e.event_id WHERE e.event_id NOT IN (SELECT orphan_id FROM p)")
+def u12_repaired_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events after the repair: drained orphans are gone, their ids handed over."""
+    events, snaps = _orphaned(spark, sf_dir)
+    return repair.repair(events, snaps, repair.orphans(events))[0].select("event_id", "odds_id", "schedule_id")
+
+
+@query(
+    _ORPHANS
+    + """ SELECT s.orphan_id, CASE WHEN coalesce(len(siblings), 0) = 0 THEN 'no_sibling' WHEN len(siblings) > 1 THEN 'ambiguous' ELSE 'repairable' END AS state, CASE WHEN len(siblings) = 1 THEN siblings[1] END AS event_id,
+    CASE WHEN len(siblings) = 1 THEN count_if(demoted) END AS demoted, CASE WHEN len(siblings) = 1 THEN count_if(dupe AND dem.is_closing AND NOT demoted) END AS promoted, CASE WHEN len(siblings) = 1 THEN count_if(dupe) END AS duplicates, CASE WHEN len(siblings) = 1 THEN count_if(NOT dupe) END AS repointed
+    FROM sib s LEFT JOIN dem ON dem.event_id = s.orphan_id GROUP BY s.orphan_id, siblings"""
+)
+def u12_repair_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every orphan with its state and what the repair does with its prices."""
+    events, snaps = _orphaned(spark, sf_dir)
+    found = repair.orphans(events)
+    report = repair.repair(events, snaps, found)[2].drop("event_id")
+    return found.select("orphan_id", "state", "event_id").join(report, "orphan_id", "left")
+
+
 @query("WITH h AS (SELECT user_id, arg_max(props, ts) AS latest FROM events WHERE event_id % 2 = 0 GROUP BY user_id), b AS (SELECT user_id, arg_max(props, ts) AS props FROM events WHERE event_id % 2 = 1 GROUP BY user_id) SELECT b.user_id, b.props FROM b LEFT JOIN h USING (user_id) WHERE latest IS DISTINCT FROM props")
 def u7_appended_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of a batch only what differs from the latest known value is written."""
@@ -247,6 +305,51 @@ def s6_stream_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{root}/table").select("event_id", "user_id", "event_type")
 
 
+@query(ORACLE["w7_v7_gaps"])
+def v7_gap_alarm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V7, W7, §2.16: the holes of the archive as the alarm tells them while listings and captures stream by."""
+    odds = B.entity(adopt(spark), sf_dir, "odds")
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    hour = 3_600_000_000
+    rows = alarms.listed(starts(odds), odds.select("event_id", F.col("captured_at_us").alias("at")), "start_us", "at", 10 * hour)
+    rows.write.json(f"{root}/landing")
+    alarms.tick(spark, odds.agg(F.max("captured_at_us")).first()[0] + 100 * 24 * hour if not rows.isEmpty() else 0).write.mode("append").json(f"{root}/landing")
+    alarms.run(spark, f"{root}/landing", f"{root}/alarms", 10 * hour, 2 * hour, "40 days", files=1000).awaitTermination()
+    told = spark.read.schema(alarms.ALARMS).parquet(f"{root}/alarms")
+    return told.where("kind = 'hole'").select(F.col("event_id").cast("bigint").alias("event_id"), "from_us", "to_us")
+
+
+def captures_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[DataFrame]]:
+    """Scheduled events (event_id, home, away, start_us), and three captures of the feed (captured_at, place, json): in the second a sixth of the ids are
+    issued anew and games that nobody scheduled appear, in the third a few are issued again."""
+    o, c = F.col("o_orderkey"), F.col
+    games = table(spark, sf_dir, "orders").select(o, F.concat(F.lit("H"), c("o_custkey") % 40).alias("home"), F.concat(F.lit("A"), c("o_custkey") % 7).alias("away"), F.unix_micros("o_orderdate").alias("start_us"))
+    scheduled = games.where("o_orderkey % 5 <> 4").select(o.cast("string").alias("event_id"), "home", "away", "start_us")
+    listed = [(o % 2 == 0, F.lit("a"), F.lit(0)), ((o % 2 == 0) | (o % 3 == 0), F.when(o % 6 == 0, "b").otherwise("a"), (o % 6 == 0).cast("int")), (o % 4 == 0, F.when(o % 12 == 0, "c").when(o % 6 == 0, "b").otherwise("a"), (o % 12 == 0).cast("int"))]
+    out = []
+    for k, (chosen, mark, drift) in enumerate(listed):
+        start = F.timestamp_micros(c("start_us") + drift * 60_000_000)
+        outcomes = F.array(*[F.struct(c(n).alias("name"), (F.lit(p) + (o + k) % 50 / 100).alias("price")) for n, p in (("home", 1.5), ("away", 1.7))])
+        market = F.struct(F.lit("h2h").alias("key"), outcomes.alias("outcomes"))
+        payload = F.struct(F.concat(mark, o.cast("string")).alias("id"), c("home").alias("home_team"), c("away").alias("away_team"), F.date_format(start, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("commence_time"), F.array(F.struct(F.lit("book").alias("key"), F.array(market).alias("markets"))).alias("bookmakers"))
+        out.append(games.where(chosen).select(F.timestamp_micros(F.lit(662_688_000_000_000 + k * B.DAY_US)).alias("captured_at"), o.alias("place"), F.to_json(payload).alias("json")))
+    return scheduled, out
+
+
+@query()
+def u10_stream_resolver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U10, S6, §2.16: captures land as JSON, a stream resolves each against what those before it wrote; events with their ids and prices."""
+    scheduled, captures = captures_of(adopt(spark), sf_dir)
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    resolver.seed(scheduled, root, buckets=8)
+    for c in captures:
+        c.coalesce(1).write.mode("append").json(f"{root}/landing")  # a capture is one file, so that a batch sees it whole
+    resolver.run(spark, f"{root}/landing", root, buckets=8).awaitTermination()
+    prices = resolver.table(spark, root, "prices").groupBy("event_id").agg(F.count(F.lit(1)).alias("prices"))
+    events = resolver.table(spark, root, "events").join(prices, "event_id", "left")
+    return events.select("event_id", "home", "away", "start_us", "odds_id", F.array_join(F.array_sort(F.coalesce("former_ids", F.array().cast("array<string>"))), ",").alias("former_ids"), F.coalesce("prices", F.lit(0)).alias("prices"))
+
+
 @query()
 def l1_l8_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Form features, walk-forward by season, logistic with calibration, constant baseline; one row a season and model."""

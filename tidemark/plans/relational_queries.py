@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark import schemas
+from tidemark.functions import metrics
 from tidemark.functions.metrics import coverage, rounded
 from tidemark.operators import asof, audit, histories
 from tidemark.plans import bindings as B
@@ -88,7 +89,7 @@ def j3_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STARTS = ", starts AS (SELECT event_id, max(captured_at_us) AS start_us FROM odds WHERE book = 'purchase' GROUP BY event_id)"
 
 
-def _starts(odds: DataFrame) -> DataFrame:
+def starts(odds: DataFrame) -> DataFrame:
     return odds.where("book = 'purchase'").groupBy("event_id").agg(F.max("captured_at_us").alias("start_us"))
 
 
@@ -97,7 +98,7 @@ def j5_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captures within [start - 10 h, start] of each event: an equi-join with a residual, aggregated at once."""
     odds = B.entity(spark, sf_dir, "odds").select("event_id", "snapshot_id", "captured_at_us")
     inside = F.col("captured_at_us").between(F.col("start_us") - 10 * HOUR, F.col("start_us"))
-    joined = odds.join(_starts(B.entity(spark, sf_dir, "odds")), "event_id", "right")
+    joined = odds.join(starts(B.entity(spark, sf_dir, "odds")), "event_id", "right")
     return joined.groupBy("event_id").agg(F.count(F.when(inside, F.col("snapshot_id"))).alias("captures"), F.max(F.when(inside, F.col("captured_at_us"))).alias("last_us"))
 
 
@@ -236,7 +237,8 @@ def a17_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a24_a25_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters with a bounded sorted sample (distinct before collecting, so the array is of keys, not rows)."""
     e = table(spark, sf_dir, "events")
-    users = asof.first_by(e.select("event_type", "user_id").distinct(), ["event_type"], ["user_id"], 5).groupBy("event_type").agg(F.array_sort(F.collect_list("user_id")).alias("sample_users"))
+    users = e.select("event_type", "user_id").distinct().withColumn("part", F.pmod(F.hash("user_id"), F.lit(64)))  # the first five of each part, then of the parts
+    users = asof.first_by(asof.first_by(users, ["event_type", "part"], ["user_id"], 5), ["event_type"], ["user_id"], 5).groupBy("event_type").agg(F.array_sort(F.collect_list("user_id")).alias("sample_users"))
     return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") < 5).alias("low")).join(users, "event_type")
 
 
@@ -251,7 +253,7 @@ def w7_v7_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Holes of over two hours between captures of the last ten hours, up to the start; no capture: one whole hole."""
     odds = B.entity(spark, sf_dir, "odds")
     captures = odds.select("event_id", F.col("captured_at_us").alias("at"))
-    return audit.gaps(_starts(odds), captures, ["event_id"], "start_us", "at", 10 * HOUR, 2 * HOUR).withColumnsRenamed({"from": "from_us", "to": "to_us"})
+    return audit.gaps(starts(odds), captures, ["event_id"], "start_us", "at", 10 * HOUR, 2 * HOUR).withColumnsRenamed({"from": "from_us", "to": "to_us"})
 
 
 @query(
@@ -265,7 +267,7 @@ def v7_capture_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An event without captures is unpriced if some capture ran in its window, else a miss."""
     odds = B.entity(spark, sf_dir, "odds")
     captures = odds.where("book <> 'purchase'").select("event_id", F.col("captured_at_us").alias("at"))
-    return audit.classes(_starts(odds), captures, odds.select((F.expr("captured_at_us div 60000000") * 60000000).alias("run")), ["event_id"], "start_us", "at", HOUR)
+    return audit.classes(starts(odds), captures, odds.select((F.expr("captured_at_us div 60000000") * 60000000).alias("run")), ["event_id"], "start_us", "at", HOUR)
 
 
 @query(
@@ -280,7 +282,7 @@ def a21_archive_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The archive by day: events, those with a capture in their last ten hours, capture runs and rows."""
     odds = B.entity(spark, sf_dir, "odds")
     captures = odds.where("book <> 'purchase'").select("event_id", F.col("captured_at_us").alias("at"))
-    return audit.days(_starts(odds), captures, ["event_id"], "start_us", "at", 10 * HOUR).withColumn("day", F.col("day").cast("string"))
+    return audit.days(starts(odds), captures, ["event_id"], "start_us", "at", 10 * HOUR).withColumn("day", F.col("day").cast("string"))
 
 
 @query(
@@ -307,13 +309,13 @@ def x13_x14_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(B.cte("contests") + ", p AS (SELECT event_id, start_us, home_team, CASE WHEN home_score > away_score THEN 0.9 ELSE -1.0 END AS u FROM contests WHERE status = 'final'), r AS (SELECT *, sum(CAST(u AS DECIMAL(10,1))) OVER (PARTITION BY home_team ORDER BY start_us, event_id) AS bank FROM p), d AS (SELECT *, greatest(0, max(bank) OVER (PARTITION BY home_team ORDER BY start_us, event_id)) AS peak FROM r) SELECT home_team, CAST(max(peak - bank) AS DOUBLE) AS max_drawdown, CAST(sum(CAST(u AS DECIMAL(10,1))) AS DOUBLE) AS units, count(*) AS n FROM d GROUP BY home_team")
 def w8_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Largest fall of a running sum from its peak."""
+    """Largest fall of a running sum from its peak, merged from monthly parts."""
     u = F.when(F.col("home_score") > F.col("away_score"), F.lit(9)).otherwise(F.lit(-10)).cast("bigint")
     rows = B.contests(spark, sf_dir).where("status = 'final'").select("home_team", "start_us", "event_id", u.alias("u"))
-    w = Window.partitionBy("home_team").orderBy("start_us", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("bank", F.sum("u").over(w))
-    rows = rows.withColumn("fall", F.greatest(F.lit(0), F.max("bank").over(w)) - F.col("bank"))
-    return rows.groupBy("home_team").agg((F.max("fall") / 10).alias("max_drawdown"), (F.sum("u") / 10).alias("units"), F.count(F.lit(1)).alias("n"))
+    n = rows.groupBy("home_team").agg(F.count(F.lit(1)).alias("n"))
+    month = F.date_trunc("month", F.timestamp_micros("start_us"))
+    found = metrics.drawdowns(rows, [["home_team"]], ["start_us", "event_id"], "u", month).select("home_team", (F.col("drawdown") / 10).alias("max_drawdown"), (F.col("units") / 10).alias("units"))
+    return found.join(n, "home_team")
 
 
 @query(B.cte("contests") + ", d AS (SELECT start_us, sum(CASE WHEN home_score > away_score THEN 1 ELSE 0 END) AS w, count(*) AS n FROM contests WHERE status = 'final' GROUP BY start_us), r AS (SELECT start_us, sum(w) OVER x AS w, sum(n) OVER x AS n FROM d WINDOW x AS (ORDER BY start_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT start_us, round(coalesce(w / nullif(n, 0), 0.5), 4) AS home_rate FROM r")

@@ -100,21 +100,46 @@ def v6_a20_selection_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("*", rounded(c("published") / F.nullif(c("evaluated"), F.lit(0))).alias("publish_rate"), rounded(1 - c("evaluated") / F.nullif(c("scheduled"), F.lit(0))).alias("unseen"))
 
 
-@query(
-    "WITH " + _PICKS + f""", s AS (SELECT *, {_PROFIT} AS profit, CASE WHEN price < 1.75 THEN 'short' WHEN price < 2.1 THEN 'even' ELSE 'long' END AS band FROM picks WHERE status <> 'pending')
-    SELECT market, book, band, grouping(market, book, band) AS level, count(*) AS n, round(sum(profit), 4) AS flat_units, round(sum(profit * stake), 4) AS real_units, round(sum(profit * stake) / sum(stake), 4) AS yield,
-      round(count_if(status = 'won') / nullif(count_if(status IN ('won', 'lost')), 0), 4) AS win_rate, round(avg(1 / price), 4) AS breakeven,
-      round(greatest(0, count_if(status = 'won') / count(*) - 1.96 * sqrt(count_if(status = 'won') / count(*) * (1 - count_if(status = 'won') / count(*)) / count(*))), 4) AS low FROM s GROUP BY GROUPING SETS ((), (market), (book), (band))"""
-)
+#: What performance is broken down by, and the bankroll at the period's start.
+BREAKDOWNS = ([], ["market"], ["book"], ["band"], ["month"])
+_KEYS = ("market", "book", "band", "month")
+BANKROLL = 1000.0
+
+
+def _performance_sql() -> str:
+    tagged = " UNION ALL ".join(f"SELECT {k} AS k, {', '.join(c if c in s else f'NULL AS {c}' for c in _KEYS)}, created, pick_id, profit FROM s" for k, s in enumerate(BREAKDOWNS))
+    run = f"PARTITION BY k, {', '.join(_KEYS)} ORDER BY created, pick_id ROWS UNBOUNDED PRECEDING"
+    level = " ".join(f"WHEN {k} THEN {sum(1 << (3 - i) for i, c in enumerate(_KEYS) if c not in s)}" for k, s in enumerate(BREAKDOWNS))
+    rate, n = "(count_if(status = 'won') / count(*))", "count(*)"
+    return f"""WITH {_PICKS}, s AS (SELECT *, {_PROFIT} AS profit, CASE WHEN price < 1.75 THEN 'short' WHEN price < 2.1 THEN 'even' ELSE 'long' END AS band, date_trunc('month', created)::DATE::VARCHAR AS month FROM picks WHERE status <> 'pending'),
+    x AS ({tagged}), r AS (SELECT *, sum(profit) OVER ({run}) AS e FROM x), f AS (SELECT *, greatest(0, max(e) OVER ({run})) - e AS fall FROM r),
+    d AS (SELECT CASE k {level} END AS level, {', '.join(_KEYS)}, max(fall) AS drawdown FROM f GROUP BY ALL),
+    g AS (SELECT {', '.join(_KEYS)}, grouping({', '.join(_KEYS)}) AS level, count(*) AS n, round(sum(profit), 4) AS flat_units, round(sum(profit * stake), 4) AS real_units, round(sum(profit * stake) / sum(stake), 4) AS yield, round(sum(profit * stake) / {BANKROLL}, 4) AS roi,
+      round(count_if(status = 'won') / nullif(count_if(status IN ('won', 'lost')), 0), 4) AS win_rate, round(avg(1 / price), 4) AS breakeven, round(avg(edge), 4) AS avg_edge,
+      round(avg(CASE WHEN status IN ('won', 'lost') THEN CASE WHEN (1 / price + edge > 0.5) = (status = 'won') THEN 1.0 ELSE 0.0 END END), 4) AS accuracy,
+      round(greatest(0, {rate} - 1.96 * sqrt({rate} * (1 - {rate}) / {n})), 4) AS low, round(least(1, {rate} + 1.96 * sqrt({rate} * (1 - {rate}) / {n})), 4) AS high FROM s GROUP BY GROUPING SETS ({', '.join('(' + ', '.join(x) + ')' for x in BREAKDOWNS)}))
+    SELECT g.*, round(drawdown, 4) AS max_drawdown FROM g JOIN d ON g.level = d.level AND {' AND '.join(f'g.{c} IS NOT DISTINCT FROM d.{c}' for c in _KEYS)}"""
+
+
+@query(_performance_sql())
 def a22_a23_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Units, yield, win rate against break-even and its interval, overall and by market, book and odds band."""
+    """Units, yield, return, win rate against break-even with both ends of its interval, accuracy, average edge and largest drawdown, overall and by
+    market, book, odds band and month. Drawdown merges from daily parts, so it goes with the other aggregates."""
     d = F.col("price")
-    s = picks(spark, sf_dir).where("status <> 'pending'").withColumn("profit", pricing.settled_profit("status", "price")).withColumn("band", F.when(d < 1.75, "short").when(d < 2.1, "even").otherwise("long"))
-    won, n = F.count_if(F.col("status") == "won"), F.count(F.lit(1))
-    rate = won / n
-    return s.groupingSets([[], ["market"], ["book"], ["band"]], "market", "book", "band").agg(
-        F.grouping_id("market", "book", "band").alias("level"), n.alias("n"), rounded(F.sum("profit")).alias("flat_units"), rounded(F.sum(F.col("profit") * F.col("stake"))).alias("real_units"), rounded(F.sum(F.col("profit") * F.col("stake")) / F.sum("stake")).alias("yield"),
-        rounded(won / F.nullif(F.count_if(F.col("status").isin("won", "lost")), F.lit(0))).alias("win_rate"), rounded(F.avg(1 / d)).alias("breakeven"), rounded(metrics.interval(rate, n)["low"]).alias("low"))
+    s = picks(spark, sf_dir).where("status <> 'pending'").withColumn("profit", pricing.settled_profit("status", "price"))
+    s = s.withColumn("band", F.when(d < 1.75, "short").when(d < 2.1, "even").otherwise("long")).withColumn("month", F.to_date(F.date_trunc("month", "created")).cast("string"))
+    won, n, decided = F.count_if(F.col("status") == "won"), F.count(F.lit(1)), F.col("status").isin("won", "lost")
+    ends = metrics.interval(won / n, n)
+    right = F.when(decided, ((1 / d + F.col("edge") > 0.5) == (F.col("status") == "won")).cast("double"))
+    real = F.sum(F.col("profit") * F.col("stake"))
+    g = s.groupingSets(list(BREAKDOWNS), *_KEYS).agg(
+        F.grouping_id(*_KEYS).alias("level"), n.alias("n"), rounded(F.sum("profit")).alias("flat_units"), rounded(real).alias("real_units"), rounded(real / F.sum("stake")).alias("yield"), rounded(real / BANKROLL).alias("roi"),
+        rounded(won / F.nullif(F.count_if(decided), F.lit(0))).alias("win_rate"), rounded(F.avg(1 / d)).alias("breakeven"), rounded(F.avg("edge")).alias("avg_edge"), rounded(F.avg(right)).alias("accuracy"), rounded(ends["low"]).alias("low"), rounded(ends["high"]).alias("high"))
+    levels = [sum(1 << (3 - i) for i, c in enumerate(_KEYS) if c not in x) for x in BREAKDOWNS]
+    falls = metrics.drawdowns(s, list(BREAKDOWNS), ["created", "pick_id"], "profit", F.to_date("created"))
+    falls = falls.select(F.element_at(F.array(*map(F.lit, levels)), F.col("set") + 1).alias("__level"), *[F.col(c).alias(f"__{c}") for c in _KEYS], rounded(F.col("drawdown")).alias("max_drawdown"))
+    same = [F.col("level") == F.col("__level"), *[F.col(c).eqNullSafe(F.col(f"__{c}")) for c in _KEYS]]
+    return g.join(falls, same).select(*g.columns, "max_drawdown")
 
 
 @query(
@@ -219,15 +244,22 @@ def x2_x12_x16_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         rounded(metrics.logit(F.col("value") / 100), 6).alias("logit"), F.sha2(F.col("event_id").cast("string"), 256).alias("h"))
 
 
-@query("WITH h AS (SELECT doc_id, sha256(doc_id::VARCHAR || ':moneyline') AS x FROM documents) SELECT doc_id, CAST(0.35 + 0.3 * (('0x' || substr(x, 1, 12))::BIGINT % 1000000) / 1000000 AS DOUBLE) BETWEEN 0.35 AND 0.65 AS inside, ('0x' || substr(x, 1, 12))::BIGINT % 1000000 AS draw FROM h")
+@query("WITH h AS (SELECT o_orderkey AS event_id, sha256('moneyline:T' || (o_custkey % 30) || '@T' || (o_orderkey % 29)) AS x FROM orders) SELECT event_id, round(0.35 + 0.30 * (CAST('0x' || substr(x, 1, 16) AS UBIGINT) / 18446744073709551616.0), 9) AS p_home FROM h")
 def x19_hash_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stable number in [0.35, 0.65) from a hash, the stand-in for a model that isn't there."""
-    p, draw = scalars.hashed_probability(F.concat(F.col("doc_id").cast("string"), F.lit(":moneyline")))
-    return table(spark, sf_dir, "documents").select("doc_id", p.between(0.35, 0.65).alias("inside"), draw.alias("draw"))
+    """Each contest's stable number in [0.35, 0.65), the stand-in for a model that isn't there."""
+    team = lambda x: F.concat(F.lit("T"), x.cast("string"))
+    p = scalars.hashed_probability(F.lit("moneyline"), team(F.col("o_custkey") % 30), team(F.col("o_orderkey") % 29))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"), rounded(p, 9).alias("p_home"))
 
 
-@query("SELECT event_id, printf('%.1f%%', (event_id % 100) / 7) AS pct, CASE WHEN event_id % 2 = 0 THEN '+' ELSE '-' END || printf('%.2f', (event_id % 50) / 4 ) AS signed, 'T' || (event_id % 30) || ' @ T' || (event_id % 29) AS game FROM events")
+@query(
+    """WITH v AS (SELECT event_id, (event_id % 1000 + 0.3) / 1000 AS p, (event_id % 401 - 200.3) / 1000 AS edge, 1 + (event_id % 900 + 0.7) / 100 AS odds, (event_id % 200 + 0.3) / 10000 AS stake FROM events)
+    SELECT event_id, printf('%.1f%%', p * 100) AS prob, CASE WHEN edge >= 0 THEN '+' ELSE '' END || printf('%.1f%%', edge * 100) AS signed, printf('%.2f', odds) AS odds, printf('%.2f%%', stake * 100) AS stake, 'T' || (event_id % 30) || ' @ T' || (event_id % 29) AS game FROM v"""
+)
 def x21_display(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Display strings: percent, signed points, the pairing."""
+    """Display strings: probability, signed points, odds, stake, the pairing."""
     c = F.col("event_id")
-    return table(spark, sf_dir, "events").select("event_id", F.format_string("%.1f%%", (c % 100) / 7).alias("pct"), F.concat(F.when(c % 2 == 0, "+").otherwise("-"), F.format_string("%.2f", (c % 50) / 4)).alias("signed"), F.format_string("T%d @ T%d", c % 30, c % 29).alias("game"))
+    team = lambda n: F.concat(F.lit("T"), (c % n).cast("string"))
+    return table(spark, sf_dir, "events").select(
+        "event_id", scalars.percent((c % 1000 + 0.3) / 1000).alias("prob"), scalars.signed_points((c % 401 - 200.3) / 1000).alias("signed"), scalars.shown_odds(1 + (c % 900 + 0.7) / 100).alias("odds"),
+        scalars.shown_stake((c % 200 + 0.3) / 10000).alias("stake"), scalars.pairing(team(29), team(30)).alias("game"))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Set on builders and, where Spark allows it, on sessions that others made.
 SETTINGS = {
@@ -38,3 +39,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     return tempfile.mkdtemp(prefix="tidemark-")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder: what reads it starts a plan anew, and a lost executor costs nothing that was done before."""
+    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

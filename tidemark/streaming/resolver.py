@@ -38,13 +38,13 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return tables.stored(spark, f"{root}/{name}", schema)
 
 
-def seed(events: DataFrame, root: str) -> dict[str, int]:
+def seed(events: DataFrame, root: str, buckets: int = tables.BUCKETS) -> dict[str, int]:
     """Events that the schedule knows, put into the resolver's table; an id that was stamped stays."""
     known = events.select("event_id", "home", "away", "start_us", *[F.lit(None).cast(t).alias(c) for c, t in (("odds_id", "string"), ("stamped_us", "bigint"), ("former_ids", "array<string>")) if c not in events.columns], *[c for c in ("odds_id", "stamped_us", "former_ids") if c in events.columns])
-    return tables.upsert(f"{root}/events", known.select(*[x.split()[0] for x in EVENTS.split(", ")]), ["event_id"], ["event_id"], keep_old=("odds_id", "stamped_us", "former_ids"))
+    return tables.upsert(f"{root}/events", known.select(*[x.split()[0] for x in EVENTS.split(", ")]), ["event_id"], ["event_id"], keep_old=("odds_id", "stamped_us", "former_ids"), buckets=buckets)
 
 
-def take(capture: DataFrame, root: str, captured_us: int) -> dict[str, int]:
+def take(capture: DataFrame, root: str, captured_us: int, buckets: int = tables.BUCKETS) -> dict[str, int]:
     """One capture (captured_at, place, json): its decisions, events and prices written. Gives the decisions' actions and rows of prices."""
     spark = capture.sparkSession
     rows, _ = feeds.odds(capture, keep=("place",))
@@ -59,23 +59,23 @@ def take(capture: DataFrame, root: str, captured_us: int) -> dict[str, int]:
     decided = new.join(resolved, "feed_id").withColumn("event_id", F.coalesce("event_id", new_id()))
     tables.upsert(f"{root}/decisions", decided.select(*[x.split()[0] for x in DECISIONS.split(", ")]), ["captured_us", "feed_id"], ["place"], bucket=F.col("captured_us"))
     made = log()  # what was decided now or before
-    tables.upsert(f"{root}/events", identity.writes(made.drop("event_id", "action"), table(spark, root, "events"), made.select("feed_id", "event_id", "action"), new_id()), ["event_id"], ["odds_id"])
+    tables.upsert(f"{root}/events", identity.writes(made.drop("event_id", "action"), table(spark, root, "events"), made.select("feed_id", "event_id", "action"), new_id()), ["event_id"], ["odds_id"], buckets=buckets)
     found = priced.join(made.select(F.col("feed_id").alias("id"), "event_id"), "id").select("event_id", "book", "market", "side", F.lit(captured_us).cast("bigint").alias("captured_us"), "price_decimal", "price_american")
     prices = tables.upsert(f"{root}/prices", found, PRICE_KEY, ["price_decimal"], bucket=F.col("captured_us"))
     return {r[0]: r[1] for r in made.groupBy("action").count().collect()} | {"prices": prices["inserted"]}
 
 
-def take_batch(batch: DataFrame, root: str) -> list[dict]:
+def take_batch(batch: DataFrame, root: str, buckets: int = tables.BUCKETS) -> list[dict]:
     """The captures of a micro-batch in order: few, as the source bounds the files of one."""
     batch.persist()
     try:
         instants = [r[0] for r in batch.select(F.unix_micros("captured_at")).distinct().orderBy(F.unix_micros("captured_at")).collect()]
-        return [take(batch.where(F.unix_micros("captured_at") == at), root, at) for at in instants]
+        return [take(batch.where(F.unix_micros("captured_at") == at), root, at, buckets) for at in instants]
     finally:
         batch.unpersist()
 
 
-def run(spark: SparkSession, folder: str, root: str, files: int = 8):
-    """All captures that have landed and were not taken yet; the query's progress is kept in root."""
-    stream = source(spark, folder, files).writeStream.foreachBatch(lambda df, _: take_batch(df, root) and None)
+def run(spark: SparkSession, folder: str, root: str, files: int = 8, buckets: int = tables.BUCKETS):
+    """All captures that have landed and were not taken yet; the query's progress is kept in root. buckets: of the table of events."""
+    stream = source(spark, folder, files).writeStream.foreachBatch(lambda df, _: take_batch(df, root, buckets) and None)
     return stream.option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
