@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import metrics
 from tidemark.functions.metrics import rounded
 from tidemark.ml import walkforward
 from tidemark.operators import asof, histories, identity
@@ -19,7 +20,7 @@ from tidemark.plans import jobs, repair
 from tidemark.plans.registry import query
 from tidemark.plans.relational_queries import starts, table
 from tidemark.plans.registry import ORACLE
-from tidemark.session import adopt, shared_dir
+from tidemark.session import adopt, cut, shared_dir
 from tidemark.sources import feeds
 from tidemark.streaming import alarms, capture, resolver
 
@@ -366,20 +367,59 @@ def l1_l8_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(out, "season int, model string, n bigint, log_loss double, brier double, ece double")
 
 
-def train_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The training job, L1, L2, L4-L8: full vectors of both markets, coverage, logistic beside constant, home rate and market prior; one
-    row for each market, season and model, the coverage in rows of season 0. The boosted model (L3) takes minutes a fit and is left to callers of the job."""
+#: Trees of the registered training query; the job's default is 300.
+QUERY_ROUNDS = 10
+
+
+@query()
+def l1_l3_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training job, L1-L5, L7, L8: the full vectors of both markets, the logistic and the boosted model beside constant, home rate and market prior, with
+    the gate; one row for each market, season and model. ``beats_prior`` is NULL while the gate isn't evaluated."""
     from tidemark.plans import feature_queries as Q
 
     games = B.contests(spark, sf_dir).where("status = 'final'")
     fair = games.select("event_id", (F.lit(0.45) + (F.col("event_id") % 11) / 100).alias("p_home")).where("event_id % 4 <> 0")
-    said = jobs.train(games, Q.blocks(spark, sf_dir), {"moneyline": fair}, rounds=0)
+    said = jobs.train(games, Q.blocks(spark, sf_dir), {"moneyline": fair}, rounds=QUERY_ROUNDS)
     out = []
     for market, m in said["markets"].items():
-        out += [(market, 0, k, m["rows"], float(v), None, None) for k, v in m.items() if k.endswith("_coverage")]
         for season, by in m["seasons"].items():
-            out += [(market, int(season), n, r["n"], r["log_loss"], r["brier"], r["ece"]) for n, r in by.items() if n != "market"]
+            beaten = by.get("market", {}).get("gate", {}).get("beaten_by", {})
+            out += [(market, int(season), n, r["n"], r["log_loss"], r["brier"], r["ece"], beaten.get(n)) for n, r in by.items() if n != "market"]
             if "market" in by:
                 r = by["market"]["market_prior"]
-                out.append((market, int(season), "market_prior", r["n"], r["log_loss"], r["brier"], r["ece"]))
-    return spark.createDataFrame(out, "market string, season int, model string, n bigint, log_loss double, brier double, ece double")
+                out.append((market, int(season), "market_prior", r["n"], r["log_loss"], r["brier"], r["ece"], None))
+    return spark.createDataFrame(out, "market string, season int, model string, n bigint, log_loss double, brier double, ece double, beats_prior boolean")
+
+
+_COVERED = {n: c for n, c in jobs.COVERAGE.items() if n in ("sp", "offense", "lineup", "star_out")}
+
+
+def _home_rates(market: str, h: str, a: str) -> str:
+    """Each decided game with the share of home wins among those that start strictly before."""
+    return f"""{market}_g AS (SELECT event_id, start, CAST({h} > {a} AS INTEGER) AS t FROM contests WHERE status = 'final' AND {h} <> {a}), {market}_d AS (SELECT start, sum(t) AS w, count(*) AS n FROM {market}_g GROUP BY start),
+      {market}_r AS (SELECT start, coalesce(sum(w) OVER x / nullif(sum(n) OVER x, 0), 0.5) AS p FROM {market}_d WINDOW x AS (ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
+def _baseline_sql() -> str:
+    share = ", ".join(f"round(avg(CASE WHEN home_{c} IS NOT NULL AND away_{c} IS NOT NULL THEN 1.0 ELSE 0 END), 4) AS {n}_coverage" for n, c in _COVERED.items())
+    p = "least(greatest(p, 0.000001), 0.999999)"
+    one = lambda market, name: f"""SELECT '{market}' AS market, v.season, count(*) AS n, round(avg(v.target), 4) AS home_wins, round(avg(-(v.target * ln({p}) + (1 - v.target) * ln(1 - {p}))), 5) AS home_rate_log_loss,
+      round(avg((p - v.target) * (p - v.target)), 5) AS home_rate_brier, round(avg(-ln(0.5)), 5) AS constant_log_loss, {share} FROM ({ORACLE[name]}) v JOIN {market}_g g USING (event_id) JOIN {market}_r r ON r.start = g.start GROUP BY v.season"""
+    return f"{B.cte('contests')}, {_home_rates('moneyline', 'home_score', 'away_score')}, {_home_rates('f5_moneyline', 'f5_home', 'f5_away')} {one('moneyline', 'f28_full_vector')} UNION ALL {one('f5_moneyline', 'f28_f5_vector')}"
+
+
+@query(_baseline_sql())
+def l6_l8_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of both markets' training vectors by season their number, home wins, coverage, and how a constant and the running home rate score."""
+    from tidemark.plans import feature_queries as Q
+
+    games, blocks = B.contests(spark, sf_dir).where("status = 'final'"), Q.blocks(spark, sf_dir)
+    out = None
+    for market in X.MARKETS:
+        frame = walkforward.home_rate(cut(X.training_frame(games, blocks, market)))
+        both = lambda c: F.avg((F.col(f"home_{c}").isNotNull() & F.col(f"away_{c}").isNotNull()).cast("double"))
+        counts = frame.groupBy("season").agg(rounded(F.avg("target")).alias("home_wins"), rounded(F.avg(-F.ln(F.lit(0.5))), 5).alias("constant_log_loss"), *[rounded(both(c)).alias(f"{n}_coverage") for n, c in _COVERED.items()])
+        scored = metrics.report(frame, ["season"], y="target", p="__home_rate").select("season", "n", F.col("log_loss").alias("home_rate_log_loss"), F.col("brier").alias("home_rate_brier"))
+        rows = scored.join(counts, "season").withColumn("market", F.lit(market))
+        out = rows if out is None else out.unionByName(rows)
+    return out
