@@ -81,8 +81,10 @@ def test_langid_scores_exact_code_lengths():
     got = model.code_lengths(samples)
     for s, row in zip(samples, got):
         assert row == pytest.approx([cost(DE, s), cost(EN, s)], abs=1e-3)
-    long = (EN * 30_000).encode()  # over one chunk
-    assert model.code_lengths([long])[0][1] == pytest.approx(sum(model.code_lengths([long[: 1 << 20]])[0][1:]), rel=1.3)
+    one, two, long = (model.code_lengths([(EN * n).encode()])[0] for n in (1, 2, 30_000))  # the last is over one chunk
+    assert list(long) == pytest.approx([a + 29_999 * (b - a) for a, b in zip(one, two)], rel=1e-4)
+    same = langid.PpmModel.fit({"zz": [EN.encode()], "aa": [EN.encode()]})
+    assert same.predict([EN.encode()])[0] == ["aa"]  # a tie goes to the language that sorts first
     assert model.predict([EN.encode(), DE.encode(), b"", b"1 2"])[0] == ["en", "de", "und", "und"]
 
 
@@ -204,6 +206,12 @@ def test_url_filter(spark):
     assert by[3][2:] == ("net/fr/", "block") and by[4] == ("", "", None, "allow") == by[5] and by[6][2:] == (None, "allow")
     assert by[7][2:] == (None, "block") and by[8][2:] == ("com/", "allow")
     assert urlfilter.judge(df.limit(0), ["page_id"]).count() == 0
+    long = "http://h.org/" + "a" * 500_000
+    odd = spark.createDataFrame([(1, long), (2, long + ".zip"), (3, "http://tracker1.org/x"), (4, "http://träcker.org/é")], "page_id long, url string")
+    by = {r.page_id: (len(r.path), r.verdict) for r in urlfilter.judge(odd, ["page_id"]).collect()}
+    assert by[1] == (500_001, "allow") and by[2] == (500_005, "block") and by[3][1] == "block" and by[4] == (2, "allow")
+    # ``?`` stands for one character, whatever its bytes
+    assert [list(r) for r in urlfilter.WildcardAutomaton(["a?b", "a??b"]).run(["aéb".encode(), b"axb"])] == [[True, False], [True, False]]
 
 
 # -- deduplication
@@ -456,6 +464,17 @@ def test_mixing_weights_and_copies(spark):
 # -- fingerprints
 
 
+def test_mixing_edge_rows(spark):
+    rows = [(1, None, "a", "x"), (2, "", "a", "x"), (3, "w" * 100_000, None, "x"), (4, "one two", "", "y"), (4, "one two", "", "y"), (None, "z", "a", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, tokens string")
+    found = mixing.copies(docs).collect()
+    assert len(found) == len(rows) and all(r["__mx_copies"] >= 1 for r in found) and docs.columns == ["doc_id", "text", "source", "tokens"]
+    assert {r.doc_id: r["__mx_tokens"] for r in found} == {1: 1, 2: 1, 3: 25_000, 4: 2, None: 1}
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns and out.where("doc_id = 4").count() >= 2 and out.where("doc_id is null").count() >= 1
+    assert mixing.mixed(docs.limit(0)).count() == 0
+
+
 def test_lz_pairs_brute_force(docs, texts, empty):
     def phrases(t):
         seen, w = set(), b""
