@@ -323,10 +323,15 @@ def training_frame(games: DataFrame, blocks: dict[str, DataFrame], market: str)
 
     A block that isn't there gives NULLs, but a realised line-up is never a confirmed one: 0. Blocks are joined on the side's key, so each
     is dealt once and no join moves the rows before it."""
-    wanted = vector_columns(market)
     home, away = ("home_score", "away_score") if market == "moneyline" else ("f5_home", "f5_away")
     decided = games.where(F.col(home) != F.col(away)).select("event_id", "start", F.year("start").alias("season"), (F.col(home) > F.col(away)).cast("int").alias("target"))
-    rows = decided.select("event_id", F.explode(F.array(F.lit(True), F.lit(False))).alias("is_home"))
+    return decided.join(vectors(decided, blocks, market), "event_id").select("event_id", "start", "season", "target", *vector_columns(market))
+
+
+def vectors(events: DataFrame, blocks: dict[str, DataFrame], market: str) -> DataFrame:
+    """event_id and both sides' columns of each event's vector in a market."""
+    wanted = vector_columns(market)
+    rows = events.select("event_id", F.explode(F.array(F.lit(True), F.lit(False))).alias("is_home"))
     names = []
     for block, columns in BLOCKS.items():
         if market != "moneyline" and block in BULLPEN_BLOCKS:
@@ -337,7 +342,7 @@ def training_frame(games: DataFrame, blocks: dict[str, DataFrame], market: str)
         else:
             rows = rows.withColumns({c: F.lit(None).cast("double") for c in columns})
     rows = rows.withColumn("lineup_is_confirmed", F.coalesce("lineup_is_confirmed", F.lit(0)).cast("int"))
-    return decided.join(asof.per_side(rows, ["event_id"], names), "event_id").select("event_id", "start", "season", "target", *wanted)
+    return asof.per_side(rows, ["event_id"], names).select("event_id", *wanted)
 
 
 def canonical(features: list[str]) -> Column:
