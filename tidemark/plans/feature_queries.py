@@ -349,10 +349,10 @@ def f32_market_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
 def blocks(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """All blocks of the vector, by name."""
     q = lambda f: f(spark, sf_dir)
-    sp = q(f7_f12_starter_form)
+    sp = q(f7_f12_starter_form).withColumnRenamed("ip_expected", "bullpen_ip_expected")
     return {
         "form": q(f1_f4_rolling_form), "offense": q(f17_f19_offense), "split": q(f20_split_offense), "lineup": q(f23_lineup_projection), "stars": q(f25_star_out),
-        "starter": sp, "expected": sp.withColumnRenamed("ip_expected", "bullpen_ip_expected"), "bullpen": q(f13_f15_bullpen), "arms": q(f16_bullpen_depletion)}
+        "starter": sp, "expected": sp, "bullpen": q(f13_f15_bullpen), "arms": q(f16_bullpen_depletion)}
 
 
 def _vector_sql() -> str:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.metrics import rounded
 from tidemark.operators import asof, topk
+from tidemark.session import cut
 
 DAY = asof.MICROS_PER_DAY
 #: Shrinkage weights and windows of the features' definitions.
@@ -328,6 +329,12 @@ def training_frame(games: DataFrame, blocks: dict[str, DataFrame], market: str)
     return decided.join(vectors(decided, blocks, market), "event_id").select("event_id", "start", "season", "target", *vector_columns(market))
 
 
+def kept(blocks: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The blocks as tables in the shared folder, each frame written once, for callers that read them more than once (as both markets do)."""
+    made = {id(df): cut(df.select("event_id", "is_home", *[c for b, columns in BLOCKS.items() if blocks.get(b) is df for c in columns])) for df in blocks.values()}
+    return {name: made[id(df)] for name, df in blocks.items()}
+
+
 def vectors(events: DataFrame, blocks: dict[str, DataFrame], market: str) -> DataFrame:
     """event_id and both sides' columns of each event's vector in a market."""
     wanted = vector_columns(market)

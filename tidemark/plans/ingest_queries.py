@@ -413,7 +413,7 @@ def l6_l8_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of both markets' training vectors by season their number, home wins, coverage, and how a constant and the running home rate score."""
     from tidemark.plans import feature_queries as Q
 
-    games, blocks = B.contests(spark, sf_dir).where("status = 'final'"), Q.blocks(spark, sf_dir)
+    games, blocks = B.contests(spark, sf_dir).where("status = 'final'"), X.kept(Q.blocks(spark, sf_dir))
     out = None
     for market in X.MARKETS:
         frame = walkforward.home_rate(cut(X.training_frame(games, blocks, market)))
