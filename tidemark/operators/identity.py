@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import asof
+from tidemark.session import ship
 
 #: Distances between starts at which a re-issued id, and an event that has no id yet, may be the same game.
 RESTAMP_US, MERGE_US = 5 * 60_000_000, 3 * 3_600_000_000
@@ -108,6 +109,7 @@ def nearest_first(feed: list[dict], events: list[dict], within: int) -> Iterator
 def _settled(feed: DataFrame, events: DataFrame, within: int, order: list[str], settle: Callable, schema: str) -> DataFrame:
     """What ``settle(feed rows, events)`` gives for every session. feed: feed_id, home, away, at, captured_us and order columns; events:
     event_id, home, away, at, stale, stamped_us."""
+    ship(feed.sparkSession)
     both = feed.withColumn("__feed", F.lit(True)).unionByName(events.withColumn("__feed", F.lit(False)), allowMissingColumns=True)
     cut = sessions(both, TEAMS, "at", "__feed", within)
     key = [*TEAMS, "session"]

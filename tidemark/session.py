@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,3 +48,23 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_PACKAGE = os.path.dirname(os.path.abspath(__file__))
+#: Name of the archive that ships this package to Python workers; one for each driver process.
+_SHIPPED = f"tidemark-core-{uuid.uuid4().hex}.zip"
+
+
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package wherever they run: the driver serves an archive of it."""
+    context = spark.sparkContext
+    if any(x.endswith(_SHIPPED) for x in context._python_includes):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="tidemark-"), _SHIPPED)
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(_PACKAGE):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(_PACKAGE)))
+    context.addPyFile(path)

@@ -17,6 +17,7 @@ from datetime import date, timedelta
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from tidemark.session import ship
 from tidemark.sources import landing
 
 SCHEMA = "path string, params string, json string, error string"
@@ -56,6 +57,8 @@ def register(spark: SparkSession, name: str, fetch: landing.Fetch, today: Callab
     """Makes a transport readable as the format ``name``. Options: kind (of ``landing.requests_for``), start, end, day (ISO dates), ids, games, events
     (comma-separated), markets, regions, tries. A stream takes kind (schedule_range or transactions) and start; ``today`` is the day that hasn't passed yet."""
 
+    ship(spark)
+
     def arguments(options: dict) -> dict:
         out: dict = {k: date.fromisoformat(options[k]) for k in ("start", "end", "day") if options.get(k)}
         out |= {k: _numbers(options[k]) for k in ("ids", "games") if options.get(k)}

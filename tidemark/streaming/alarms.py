@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import ship
+
 #: Rows of the stream: a listing has a start and no capture, a capture no start; ``seen`` is when either was known.
 ROWS = "event_id string, start_us bigint, at_us bigint, seen timestamp"
 ALARMS = "event_id string, kind string, from_us bigint, to_us bigint"
@@ -63,6 +65,8 @@ def gaps(rows: DataFrame, window: int, limit: int, late: str = "10 minutes") ->
 
     Of several listings the one that comes last in the batch's order of ``seen`` gives the start."""
 
+    ship(rows.sparkSession)
+
     def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         start, last, pending, told = state.get if state.exists else (None, None, [], False)
         watch = Watch(window, limit, start, last, pending or [], bool(told))
