@@ -62,3 +62,13 @@ def test_frames_of_a_vector_are_dealt_once(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     rows = found.collect()
     assert len(rows) == 50 and all(r.home_woba_30d == r.event_id and r.away_bullpen_b2b == r.event_id and r.home_star_out_flag is None and r.home_lineup_is_confirmed == 0 for r in rows)
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["r4_boxscore_pitching", "r5_boxscore_batting", "r6_boxscore_lineup"])
+def test_box_scores_are_made_and_parsed_once(spark, name):
+    """Before, each disposition had the box scores made and parsed anew; no shuffle but that of lines and contests is left."""
+    from tidemark import plans
+
+    text = plan(plans.QUERIES[name](spark, SF))
+    assert text.count("lineitem.parquet") == 1 and text.count("Exchange hashpartitioning") <= 2

@@ -93,11 +93,6 @@ def _boxscores(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BOX = B.cte("logs") + ", box AS (SELECT *, row_number() OVER (PARTITION BY event_id, is_home ORDER BY player_id) AS place FROM logs)"
 
 
-def _batting(boxscores: DataFrame) -> DataFrame:
-    rows, left = feeds.batting(boxscores)
-    return rows.select("game", "person", F.lit("kept").alias("disposition")).unionByName(left.select("game", "person", F.col("reason").alias("disposition")))
-
-
 @query(
     _BOX
     + """, s AS (SELECT *, CASE WHEN player_id % 9 = 0 THEN 'batting_missing:hits' WHEN k > outs OR bb % 4 + hr % 2 > k THEN 'batting_inconsistent' WHEN outs + bb = 0 THEN 'zero_pa' END AS reason FROM box),
@@ -106,7 +101,7 @@ def _batting(boxscores: DataFrame) -> DataFrame:
 )
 def r5_boxscore_batting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batting lines by what became of them."""
-    return _batting(_boxscores(spark, sf_dir))
+    return feeds.batting_told(_boxscores(spark, sf_dir))
 
 
 def _pitching(boxscores: DataFrame) -> DataFrame:
@@ -125,12 +120,6 @@ def r4_boxscore_pitching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pitching(_boxscores(spark, sf_dir))
 
 
-def _lineups(boxscores: DataFrame) -> DataFrame:
-    rows, left = feeds.lineups(boxscores)
-    partial = left.where("reason like 'partial%'").select("game", F.lit(None).cast("int").alias("person"), F.lit(None).cast("int").alias("batting_order"), F.concat("side", F.lit(":"), "reason").alias("state"))
-    return rows.select("game", "person", "batting_order", F.lit("kept").alias("state")).unionByName(partial)
-
-
 @query(
     _BOX
     + """, s AS (SELECT *, player_id % 12 * 100 AS ord, row_number() OVER (PARTITION BY event_id, is_home, player_id % 12 ORDER BY player_id) AS n FROM box WHERE player_id % 12 > 0)
@@ -139,7 +128,7 @@ def _lineups(boxscores: DataFrame) -> DataFrame:
 )
 def r6_boxscore_lineup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posted starters; incomplete sides told."""
-    return _lineups(_boxscores(spark, sf_dir))
+    return feeds.lineups_told(_boxscores(spark, sf_dir))
 
 
 @query(
@@ -344,8 +333,8 @@ def u10_stream_resolver(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     resolver.seed(scheduled, root, buckets=8)
     for c in captures:
-        c.coalesce(1).write.mode("append").json(f"{root}/landing")  # a capture is one file, so that a batch sees it whole
-    resolver.run(spark, f"{root}/landing", root, buckets=8).awaitTermination()
+        c.write.mode("append").json(f"{root}/landing")
+    resolver.run(spark, f"{root}/landing", root, files=None, buckets=8).awaitTermination()  # all that has landed is one batch, so it sees each capture whole
     prices = resolver.table(spark, root, "prices").groupBy("event_id").agg(F.count(F.lit(1)).alias("prices"))
     events = resolver.table(spark, root, "events").join(prices, "event_id", "left")
     return events.select("event_id", "home", "away", "start_us", "odds_id", F.array_join(F.array_sort(F.coalesce("former_ids", F.array().cast("array<string>"))), ",").alias("former_ids"), F.coalesce("prices", F.lit(0)).alias("prices"))

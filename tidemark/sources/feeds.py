@@ -88,9 +88,8 @@ def _missing(block: str, names: dict[str, Column]) -> Column:
     return F.concat_ws(",", F.array_compact(F.array(*[F.when(c.isNull(), F.lit(n)) for n, c in names.items()])))
 
 
-def batting(payloads: DataFrame, game: str = "game", text: str = "json") -> tuple[DataFrame, DataFrame]:
-    """Batting lines. Lines without a person or a required count and inconsistent ones are reported, empty ones (reason
-    ``zero_pa``) counted; a side of which no line is kept is reported as a whole."""
+def _batted(payloads: DataFrame, game: str, text: str) -> tuple[DataFrame, dict[str, Column]]:
+    """Batting entries with the reason for which a line is left out, and the counts of a line."""
     e = _entries(payloads, game, text).where("batting is not null")
     b = {n: F.col(f"batting.{f}") for n, f in (("at_bats", "atBats"), ("hits", "hits"), ("strikeouts", "strikeOuts"), ("walks", "baseOnBalls"))}
     z = {n: F.coalesce(f"batting.{f}", F.lit(0)) for n, f in (("doubles", "doubles"), ("triples", "triples"), ("home_runs", "homeRuns"), ("intentional_walks", "intentionalWalks"), ("hit_by_pitch", "hitByPitch"), ("sac_flies", "sacFlies"), ("sac_bunts", "sacBunts"))}
@@ -98,13 +97,30 @@ def batting(payloads: DataFrame, game: str = "game", text: str = "json") -> tupl
     bad = (F.least(*b.values(), *z.values()) < 0) | (b["hits"] > b["at_bats"]) | (z["doubles"] + z["triples"] + z["home_runs"] > b["hits"]) | (z["intentional_walks"] > b["walks"])
     empty = b["at_bats"] + b["walks"] + z["hit_by_pitch"] + z["sac_flies"] + z["sac_bunts"] == 0
     reason = F.when(F.col("person").isNull(), "batting_line_without_person_id").when(gone != "", F.concat(F.lit("batting_missing:"), gone)).when(bad, "batting_inconsistent").when(empty, "zero_pa")
-    e = e.withColumn("reason", reason)
+    return e.withColumn("reason", reason), b | z
+
+
+def batting(payloads: DataFrame, game: str = "game", text: str = "json") -> tuple[DataFrame, DataFrame]:
+    """Batting lines. Lines without a person or a required count and inconsistent ones are reported, empty ones (reason
+    ``zero_pa``) counted; a side of which no line is kept is reported as a whole."""
+    e, counts = _batted(payloads, game, text)
     pa = F.col("batting.plateAppearances").try_cast("int")
-    rows, left = _split(e, "reason", ["game", "person", "name", (F.col("side") == "home").alias("is_home"), *[c.alias(n) for n, c in (b | z).items()], F.when(F.col("batting_order") >= 100, F.col("batting_order")).alias("batting_order"), F.when(pa >= 0, pa).alias("plate_appearances")], ["game", "side", "person"])
+    rows, left = _split(e, "reason", ["game", "person", "name", (F.col("side") == "home").alias("is_home"), *[c.alias(n) for n, c in counts.items()], F.when(F.col("batting_order") >= 100, F.col("batting_order")).alias("batting_order"), F.when(pa >= 0, pa).alias("plate_appearances")], ["game", "side", "person"])
     none = e.where("person is not null").groupBy("game", "side").agg(F.count_if(F.col("reason").isNull()).alias("kept")).where("kept = 0").select("game", "side", F.lit(None).cast("int").alias("person"), F.lit("no_batting_lines_kept").alias("reason"))
     return rows, left.unionByName(none)
 
 
+def batting_told(payloads: DataFrame, game: str = "game", text: str = "json") -> DataFrame:
+    """What became of each batting entry, and a row for each side of which no line is kept: game, person, disposition (``kept`` or the reason). The two
+    frames of ``batting`` say the same, but this reads and parses the payloads once."""
+    e = _batted(payloads, game, text)[0].select("game", "side", "pos", "person", "reason")
+    side = Window.partitionBy("game", "side")
+    empty = (F.count("person").over(side) > 0) & (F.count_if(F.col("reason").isNull()).over(side) == 0) & (F.row_number().over(side.orderBy("pos")) == 1)
+    row = lambda person, said: F.struct(person.alias("person"), said.alias("disposition"))
+    told = F.array(row(F.col("person"), F.coalesce("reason", F.lit("kept"))), F.when(F.col("__empty"), row(F.lit(None).cast("int"), F.lit("no_batting_lines_kept"))))
+    return e.withColumn("__empty", empty).select("game", F.inline(F.array_compact(told)))
+
+
 def pitching(payloads: DataFrame, game: str = "game", text: str = "json") -> tuple[DataFrame, DataFrame]:
     """Pitching lines with one starter a side: the flagged one, of several the first to appear, without a flag the first of
     the appearance order (reported, as is any count but one). Lines without a required count are reported."""
@@ -132,16 +148,32 @@ def pitching(payloads: DataFrame, game: str = "game", text: str = "json") -> tup
     return rows, left.unionByName(told)
 
 
+def _posted(payloads: DataFrame, game: str, text: str) -> DataFrame:
+    e = _entries(payloads, game, text).where("batting_order >= 100 and batting_order % 100 = 0").drop("pitchers", "batting", "pitching")
+    w = Window.partitionBy("game", "side", "batting_order", F.col("person").isNull()).orderBy("pos")
+    return e.withColumn("reason", F.when(F.col("person").isNull(), F.concat(F.lit("lineup_slot_without_person_id:"), F.col("batting_order").cast("string"))).when(F.row_number().over(w) > 1, F.concat(F.lit("duplicate_slot:"), F.col("batting_order").cast("string"))))
+
+
 def lineups(payloads: DataFrame, game: str = "game", text: str = "json") -> tuple[DataFrame, DataFrame]:
     """Posted starters (orders 100, 200, ...); of a slot that comes twice the first entry stands; sides with one to eight are reported."""
-    e = _entries(payloads, game, text).where("batting_order >= 100 and batting_order % 100 = 0")
-    w = Window.partitionBy("game", "side", "batting_order", F.col("person").isNull()).orderBy("pos")
-    e = e.withColumn("reason", F.when(F.col("person").isNull(), F.concat(F.lit("lineup_slot_without_person_id:"), F.col("batting_order").cast("string"))).when(F.row_number().over(w) > 1, F.concat(F.lit("duplicate_slot:"), F.col("batting_order").cast("string"))))
+    e = _posted(payloads, game, text)
     rows, left = _split(e, "reason", ["game", "person", "name", (F.col("side") == "home").alias("is_home"), "batting_order"], ["game", "side"])
     partial = e.where("reason is null").groupBy("game", "side").count().where("count < 9").select("game", "side", F.concat(F.lit("partial_lineup:"), F.col("count").cast("string")).alias("reason"))
     return rows, left.unionByName(partial)
 
 
+def lineups_told(payloads: DataFrame, game: str = "game", text: str = "json") -> DataFrame:
+    """Posted starters and a row for each incomplete side: game, person, batting_order, state (``kept`` or ``<side>:partial_lineup:<n>``); the payloads are
+    read and parsed once."""
+    e = _posted(payloads, game, text).where("reason is null").select("game", "side", "person", "batting_order")
+    side = Window.partitionBy("game", "side")
+    e = e.withColumn("__n", F.count(F.lit(1)).over(side)).withColumn("__at", F.row_number().over(side.orderBy("batting_order")))
+    row = lambda person, order, state: F.struct(person.alias("person"), order.alias("batting_order"), state.alias("state"))
+    none = F.lit(None).cast("int")
+    told = F.when((F.col("__n") < 9) & (F.col("__at") == 1), row(none, none, F.concat("side", F.lit(":partial_lineup:"), F.col("__n").cast("string"))))
+    return e.select("game", F.inline(F.array_compact(F.array(row(F.col("person"), F.col("batting_order"), F.lit("kept")), told))))
+
+
 def people(payloads: DataFrame, text: str = "json") -> DataFrame:
     """Persons of the people feed with their throwing hand; entries without an id are left out, unknown hands NULL."""
     p = payloads.select(F.explode(F.from_json(text, PEOPLE)["people"]).alias("p")).select("p.*").where("id is not null")
