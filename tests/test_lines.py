@@ -72,3 +72,11 @@ def test_box_scores_are_made_and_parsed_once(spark, name):
 
     text = plan(plans.QUERIES[name](spark, SF))
     assert text.count("lineitem.parquet") == 1 and text.count("Exchange hashpartitioning") <= 2
+
+
+def test_copies_of_a_snapshot_meet_before_the_shuffle(spark):
+    rows = [(1, "m", "x", 5), (1, "m", "x", 3), (1, "f", "x", 9), (2, "m", "y", None), (2, "m", "y", 1), (3, "m", "z", 2)]
+    df = spark.createDataFrame(rows, "event_id long, market string, features_hash string, as_of long")
+    found = X.new_snapshots(df, df.where("event_id = 3"))
+    assert "Window" not in plan(found)
+    assert sorted(map(tuple, found.collect()), key=str) == [(1, "f", "x", 9), (1, "m", "x", 3), (2, "m", "y", None)]
