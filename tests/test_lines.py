@@ -80,3 +80,20 @@ def test_copies_of_a_snapshot_meet_before_the_shuffle(spark):
     found = X.new_snapshots(df, df.where("event_id = 3"))
     assert "Window" not in plan(found)
     assert sorted(map(tuple, found.collect()), key=str) == [(1, "f", "x", 9), (1, "m", "x", 3), (2, "m", "y", None)]
+
+
+def test_columns_that_are_read_travel_together(spark, monkeypatch):
+    """Before, all blocks were made, written one by one and joined to each market's games to count four columns."""
+    games = spark.range(60).selectExpr("id AS event_id", "timestamp_micros(id * 86400000000) AS start", "id % 3 AS home_score", "1 AS away_score", "id % 5 AS f5_home", "2 AS f5_away")
+    sides = spark.range(120).selectExpr("id % 60 AS event_id", "id < 60 AS is_home")
+    value = lambda k: F.when((F.col("event_id") + F.col("is_home").cast("int")) % k > 0, F.col("event_id") % k)
+    blocks = {b: sides.where(F.col("event_id") % (k + 5) > 0).select("*", *[value(k + i + 2).cast("double").alias(c) for i, c in enumerate(X.BLOCKS[b])]) for k, b in enumerate(("form", "offense", "stars", "starter"))}
+    only, written = {"woba_30d", "star_out_flag", "sp_kbb_l5"}, []
+    monkeypatch.setattr(X, "cut", lambda df: written.append(df.columns) or df)
+    few = X.together(blocks, only)
+    assert set(few) == {"offense", "starter", "stars"} and len({id(df) for df in few.values()}) == 1
+    assert written == [["event_id", "is_home", "woba_30d", "star_out_flag", "sp_kbb_l5"]] and X.together(blocks, {"bullpen_b2b"}) == {}
+    for market in X.MARKETS:
+        got = X.training_frame(games, few, market, only)
+        assert plan(got).count("Join") == 1 and len(got.columns) == 10
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, X.training_frame(games, blocks, market).select(got.columns).collect()), key=str)

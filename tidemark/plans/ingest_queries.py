@@ -20,7 +20,7 @@ from tidemark.plans import jobs, repair
 from tidemark.plans.registry import query
 from tidemark.plans.relational_queries import starts, table
 from tidemark.plans.registry import ORACLE
-from tidemark.session import adopt, cut, shared_dir
+from tidemark.session import adopt, cut, shared_dir, side_by_side
 from tidemark.sources import feeds
 from tidemark.streaming import alarms, capture, resolver
 
@@ -402,10 +402,11 @@ def l6_l8_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of both markets' training vectors by season their number, home wins, coverage, and how a constant and the running home rate score."""
     from tidemark.plans import feature_queries as Q
 
-    games, blocks = B.contests(spark, sf_dir).where("status = 'final'"), X.kept(Q.blocks(spark, sf_dir))
+    games, only = B.contests(spark, sf_dir).where("status = 'final'"), set(_COVERED.values())
+    blocks = X.together(Q.blocks(spark, sf_dir, [b for b, columns in X.BLOCKS.items() if only & set(columns)]), only)
+    frames = side_by_side([lambda m=m: cut(X.training_frame(games, blocks, m, only)) for m in X.MARKETS])
     out = None
-    for market in X.MARKETS:
-        frame = walkforward.home_rate(cut(X.training_frame(games, blocks, market)))
+    for market, frame in zip(X.MARKETS, map(walkforward.home_rate, frames)):
         both = lambda c: F.avg((F.col(f"home_{c}").isNotNull() & F.col(f"away_{c}").isNotNull()).cast("double"))
         counts = frame.groupBy("season").agg(rounded(F.avg("target")).alias("home_wins"), rounded(F.avg(-F.ln(F.lit(0.5))), 5).alias("constant_log_loss"), *[rounded(both(c)).alias(f"{n}_coverage") for n, c in _COVERED.items()])
         scored = metrics.report(frame, ["season"], y="target", p="__home_rate").select("season", "n", F.col("log_loss").alias("home_rate_log_loss"), F.col("brier").alias("home_rate_brier"))
