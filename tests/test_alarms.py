@@ -59,3 +59,24 @@ def test_alarms_equal_the_audit(spark, tmp_path):
     again = alarms.run(spark, folder, out, WINDOW, LIMIT, "30 minutes")
     again.awaitTermination()
     assert spark.read.parquet(out).count() == len(got)
+
+
+def test_states_are_kept_by_bucket(spark, tmp_path):
+    """Before, each event was a state and a call of its own in every batch and at every trigger."""
+    events = [(f"e{k}", T0 + (20 + k % 7) * H) for k in range(60)]
+    captures = [(e, s - k * H) for e, s in events for k in (9, 6, 5)] + [(None, T0)]
+    e, c = spark.createDataFrame(events, "event_id string, start long"), spark.createDataFrame(captures, "event_id string, at long")
+    rows = alarms.listed(e, c, "start", "at", WINDOW)
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    held = []
+    for more in (rows, alarms.tick(spark, T0 + 22 * H), alarms.tick(spark, T0 + 100 * H)):
+        more.coalesce(1).write.mode("append").json(folder)
+        found = alarms.gaps(alarms.source(spark, folder), WINDOW, LIMIT, "1 hour", buckets=4)
+        query = found.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", f"{out}.progress").trigger(availableNow=True).start()
+        query.awaitTermination()
+        held += [s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]]
+    assert 0 < max(held) <= 4
+    got = sorted((r.event_id, r.from_us, r.to_us) for r in spark.read.parquet(out).where("kind = 'hole'").collect())
+    assert got == sorted((r.event_id, r["from"], r.to) for r in audit.gaps(e, c, ["event_id"], "start", "at", WINDOW, LIMIT).collect()) and len(got) == 120
+    w = {"a": alarms.Watch(1, 2, 9, 4, [5, 6], True), None: alarms.Watch(1, 2, pending=[3])}
+    assert {k: vars(x) for k, x in alarms._watches(alarms._state(w), 1, 2).items()} == {k: vars(x) for k, x in w.items()}

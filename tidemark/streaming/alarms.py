@@ -1,13 +1,15 @@
 """The archive audit as an alarm: holes between captures are told while the event can still be saved.
 
-Two kinds of rows come on one stream, keyed by event: that an event is due (its start), and that a price was captured. A state for each event
+Two kinds of rows come on one stream, dealt by event: that an event is due (its start), and that a price was captured. The state of each event
 holds its start, the last capture that the watermark has passed, and those that it hasn't; event-time timers fire when the next capture
 is overdue and at the start. So captures that come late or out of order within the watermark's delay count at their own time, and a restart goes
-on from the state. An event's state is dropped at its start.
+on from the state. An event's state is dropped at its start. States are kept in buckets of events by hash, so that a batch calls Python once a bucket and
+trigger; a bucket holds the events that are live at once over the number of buckets.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,7 +21,10 @@ from tidemark.session import ship
 #: Rows of the stream: a listing has a start and no capture, a capture no start; ``seen`` is when either was known.
 ROWS = "event_id string, start_us bigint, at_us bigint, seen timestamp"
 ALARMS = "event_id string, kind string, from_us bigint, to_us bigint"
-STATE = "start bigint, last bigint, pending array<bigint>, told boolean"
+#: A bucket's events, one after the other; ``counts``: how many of ``pending`` are each one's.
+STATE = "events array<string>, starts array<bigint>, lasts array<bigint>, told array<boolean>, counts array<int>, pending array<bigint>"
+#: Buckets that events are dealt to. It is fixed for a stream's life, since states are kept by it.
+BUCKETS = 4096
 
 
 class Watch:
@@ -33,8 +38,9 @@ class Watch:
         """(kind, from, to) of what is known when all rows until ``now`` are: ``overdue`` once a hole is longer than the limit, ``hole`` when it ends."""
         if self.start is None:
             return
-        while self.pending and self.pending[0] <= min(now, self.start - 1):
-            at = self.pending.pop(0)
+        known = bisect_right(self.pending, min(now, self.start - 1))
+        passed, self.pending = self.pending[:known], self.pending[known:]
+        for at in passed:
             if at < self.start - self.window:
                 continue
             if self.last is not None and at - self.last > self.limit:
@@ -53,45 +59,65 @@ class Watch:
         if self.start is None:
             return None
         due = [self.start] + self.pending[:1]
-        if self.last is not None and not self.told:
+        if self.last is not None and not self.told and self.start - self.last > self.limit:
             due.append(self.last + self.limit + 1)
         return min(due)
 
 
-def gaps(rows: DataFrame, window: int, limit: int, late: str = "10 minutes") -> DataFrame:
+def _watches(state: tuple, window: int, limit: int) -> dict[str | None, Watch]:
+    """A bucket's events from its state."""
+    out, place = {}, 0
+    for event, start, last, told, n in zip(*state[:5]):
+        out[event] = Watch(window, limit, start, last, state[5][place : place + n], told)
+        place += n
+    return out
+
+
+def _state(watches: dict[str | None, Watch]) -> tuple:
+    own = list(watches.values())
+    return (list(watches), [w.start for w in own], [w.last for w in own], [w.told for w in own], [len(w.pending) for w in own], [x for w in own for x in w.pending])
+
+
+def gaps(rows: DataFrame, window: int, limit: int, late: str = "10 minutes", buckets: int = BUCKETS) -> DataFrame:
     """Alarms of a stream of listings and captures (``ROWS``): ``overdue`` (to: NULL) as soon as an event has had no capture for over ``limit``
     microseconds, ``hole`` when it is over. Holes are those that ``audit.gaps`` finds in the whole archive: along the captures of [start - window,
     start), the start being the last point; none before the first capture, but one over the whole window if there is none.
 
-    Of several listings the one that comes last in the batch's order of ``seen`` gives the start."""
+    Of several listings of a batch the one with the last ``seen`` gives the start, of equal ones the latest start."""
 
     ship(rows.sparkSession)
 
     def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        start, last, pending, told = state.get if state.exists else (None, None, [], False)
-        watch = Watch(window, limit, start, last, pending or [], bool(told))
+        watches = _watches(state.get, window, limit) if state.exists else {}
         if not state.hasTimedOut:
-            listed = None
+            listed: dict = {}
+            taken: dict = {}
             for pdf in frames:
-                watch.pending = sorted({*watch.pending, *(int(x) for x in pdf["at_us"].dropna())})
+                own = pdf.dropna(subset=["at_us"])
+                for event, at in zip(own["event_id"].tolist(), own["at_us"].astype("int64").tolist()):
+                    taken.setdefault(event, set()).add(at)
                 own = pdf.dropna(subset=["start_us"])
-                if len(own):
-                    row = own.loc[own["seen"].idxmax()]
-                    listed = max(filter(None, (listed, (row["seen"], int(row["start_us"])))))
-            watch.start = listed[1] if listed else watch.start
+                for event, *said in zip(own["event_id"].tolist(), own["seen"].tolist(), own["start_us"].astype("int64").tolist()):
+                    listed[event] = max(listed.get(event, said), said)
+            for event in {**taken, **listed}:
+                watch = watches.setdefault(event, Watch(window, limit))
+                watch.pending = sorted(taken.get(event, set()).union(watch.pending))
+                watch.start = listed[event][1] if event in listed else watch.start
         now = state.getCurrentWatermarkMs() * 1000
-        found = list(watch.up_to(now))
-        if watch.start is not None and now >= watch.start:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((watch.start, watch.last, watch.pending, watch.told))
-            due = watch.next_time()
+        found = [(event, *x) for event, watch in watches.items() for x in watch.up_to(now)]
+        watches = {event: w for event, w in watches.items() if w.start is None or now < w.start}
+        if watches:
+            state.update(_state(watches))
+            due = min((t for w in watches.values() if (t := w.next_time()) is not None), default=None)
             if due is not None:
                 state.setTimeoutTimestamp(max(due // 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([(key[0], *x) for x in found], columns=["event_id", "kind", "from_us", "to_us"]).astype({"from_us": "Int64", "to_us": "Int64"})
+        elif state.exists:
+            state.remove()
+        if found:
+            yield pd.DataFrame(found, columns=["event_id", "kind", "from_us", "to_us"]).astype({"from_us": "Int64", "to_us": "Int64"})
 
-    return rows.withWatermark("seen", late).groupBy("event_id").applyInPandasWithState(step, ALARMS, STATE, "append", "EventTimeTimeout")
+    dealt = rows.withWatermark("seen", late).withColumn("bucket", F.pmod(F.xxhash64("event_id"), F.lit(buckets)))
+    return dealt.groupBy("bucket").applyInPandasWithState(step, ALARMS, STATE, "append", "EventTimeTimeout")
 
 
 def source(spark: SparkSession, folder: str, files: int = 1) -> DataFrame:
