@@ -243,3 +243,40 @@ def test_stream_query_equals_one_writer(spark):
     assert {k: r.prices for k, r in got.items() if r.prices} == prices
     assert {k: r.former_ids for k, r in got.items() if r.former_ids} == {k: ",".join(sorted(set(v) - {events[k][3]})) for k, v in former.items() if set(v) - {events[k][3]}}
     assert any(k.startswith("odds:") for k in got) and former
+
+
+def test_capture_of_many_files_is_taken_whole(spark, tmp_path):
+    """Before, a capture had to be one file, and so was written by one task, whatever its size."""
+    at = DAY0 + 6 * H
+    games = [(f"g{k}", f"H{k % 3}", "A", DAY0 + 20 * H + k * H) for k in range(40)]
+    one, many = ((str(tmp_path / n / "landing"), str(tmp_path / n / "root")) for n in ("one", "many"))
+    for _, root in (one, many):
+        resolver.seed(spark.createDataFrame(games[::2], "event_id string, home string, away string, start_us long"), root)
+    landing.land_capture(spark, [payload(*g) for g in games], one[0], captured(at))
+    rows = spark.createDataFrame([(k, json.dumps(payload(*g))) for k, g in enumerate(games)], "place long, json string").repartition(4)
+    landing.land_whole(rows.limit(0), many[0], captured(at - H))  # a capture without payloads
+    landing.land_whole(rows, many[0], captured(at))
+    names = lambda folder: [f for _, _, fs in os.walk(folder) for f in fs if f.startswith("part-")]
+    assert len(names(many[0])) == 2 and len(names(f"{many[0]}.parts")) >= 4
+    for folder, root in (one, many):
+        resolver.run(spark, folder, root).awaitTermination()
+    got = stream_tables(spark, many[1])
+    assert got == stream_tables(spark, one[1]) and len(got[2]) == 40
+    rows.write.json(f"{many[0]}.parts/later")  # parts that nothing names yet
+    resolver.run(spark, many[0], many[1]).awaitTermination()
+    assert stream_tables(spark, many[1]) == got
+
+
+def test_large_bucket_is_written_by_many_tasks(spark, tmp_path):
+    """Before, all rows of a bucket (such as a capture's prices) went to one task."""
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "16k")
+    try:
+        rows = spark.range(40_000).select(F.col("id").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+        path = str(tmp_path / "t")
+        assert tables.upsert(path, rows, ["k"], ["v"], bucket=F.lit(7))["inserted"] == 40_000
+    finally:
+        spark.conf.set(key, before)
+    assert len(files(path)) > 1 and spark.read.parquet(path).agg(F.countDistinct("k", "v")).first()[0] == 40_000
+    assert tables.upsert(path, rows.where("k < 9"), ["k"], ["v"], bucket=F.lit(7))["unchanged"] == 9

@@ -10,10 +10,11 @@ import json
 import time
 import urllib.parse
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Fetch = Callable[[str, dict], object]
@@ -98,6 +99,19 @@ def land_capture(spark: SparkSession, payloads: list[dict], folder: str, capture
     spark.createDataFrame(rows, CAPTURE).coalesce(1).write.mode("append").json(folder)
 
 
+#: What a stream of captures reads: rows of a capture that is one file, or for a capture of many files where they lie.
+LANDED = f"{CAPTURE}, parts string"
+
+
+def land_whole(capture: DataFrame, folder: str, captured_at) -> None:
+    """Appends one capture (place, json) of any size: first its payloads as many files beside the folder, then one file in it that names
+    them, so that a stream sees the capture when it is whole. captured_at: its instant, a column or a value."""
+    parts = f"{folder.rstrip('/')}.parts/{uuid.uuid4().hex}"
+    capture.select("place", "json").write.json(parts)
+    at = captured_at if isinstance(captured_at, Column) else F.lit(captured_at).cast("timestamp")
+    capture.sparkSession.range(1).select(at.alias("captured_at"), F.lit(parts).alias("parts")).coalesce(1).write.mode("append").json(folder)
+
+
 def landed(spark: SparkSession, folder: str) -> DataFrame:
     """All payloads of a landing folder (path, json)."""
     return spark.read.schema("path string, json string").json(folder)
